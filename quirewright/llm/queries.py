@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirewright.llm import neighbours
+from pyspark.sql import functions as F
+
+from quirewright.llm import leakage, near_duplicates, neighbours
 from quirewright.plans.storage import table
 
 
@@ -14,8 +16,41 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, folder, "papers"), "row_id", "vector", k=5, min_cosine=0.8)
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    papers = table(spark, folder, "extracted_papers").select(F.lit("paper").alias("kind"), F.col("paper_id").alias("id"), "text")
+    chunks = table(spark, folder, "papers").select(F.lit("chunk").alias("kind"), F.col("row_id").alias("id"), "text")
+    return papers.unionByName(chunks)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates.near_duplicates(_texts(spark, folder), near_duplicates.JoinParams(threshold=0.6, words=3))
+    return near_duplicates.expand(found).select(F.col("kind").alias("record_type"), "id_a", "id_b")
+
+
+def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per text with its class and the number of other classes that it is similar to, at the default five words and 0.8."""
+    found = near_duplicates.near_duplicates(_texts(spark, folder))
+    ends = found.pairs.select("kind", F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("kind", "rep").agg(F.count("*").alias("links"))
+    return found.members.join(ends, ["kind", "rep"], "left").select(F.col("kind").alias("record_type"), "id", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = table(spark, folder, "eval_items").select(F.col("item_id").alias("id"), "text")
+    return leakage.leaks(docs, items)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).where(F.col("exact_words") > 0).select("doc_id", "item_id").distinct()
+
+
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact and re-parameterised leaks, with the share of the item that leaked."""
+    return _leaks(spark, folder).withColumn("share", F.round(F.greatest("exact_words", "template_words") / F.col("item_words"), 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found}
+    return {q.__name__: q for q in (p2_found, p6_found, p6_classes, p7_found, p7_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
