@@ -8,14 +8,48 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quirewright.llm import leakage, near_duplicates, neighbours
+from quirewright.llm import leakage, near_duplicates, neighbours, splitting, truncation
 from quirewright.plans.storage import table
 
 
+def _ends(spark: SparkSession, folder: str) -> DataFrame:
+    papers, replies = table(spark, folder, "extracted_papers"), table(spark, folder, "analysis_results")
+    records = papers.select(F.lit("abstract").alias("kind"), F.col("paper_id").alias("id"), F.col("abstract").alias("text")).unionByName(
+        replies.select(F.lit("analysis").alias("kind"), F.col("result_id").alias("id"), F.col("content").alias("text"))
+    )
+    copies = papers.select(F.explode("sections.content").alias("text")).unionByName(papers.select("text"))
+    return truncation.ends(records, copies, papers.select("title").unionByName(replies.select(F.col("paper_title").alias("title"))))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _ends(spark, folder).where("truncated").select(F.col("kind").alias("record_type"), F.col("id").alias("record_id"))
+
+
+def p1_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source of papers and each model cuts its texts."""
+    papers = table(spark, folder, "extracted_papers").select(F.lit("abstract").alias("kind"), F.col("paper_id").alias("id"), F.try_element_at("metadata", F.lit("source")).alias("origin"))
+    replies = table(spark, folder, "analysis_results").select(F.lit("analysis").alias("kind"), F.col("result_id").alias("id"), F.nullif(F.lower(F.trim("model_used")), F.lit("")).alias("origin"))
+    named = _ends(spark, folder).join(papers.unionByName(replies), ["kind", "id"])
+    rates = named.groupBy(F.col("kind").alias("record_type"), "origin").agg(F.count("*").alias("records"), F.count_if("truncated").alias("cut"))
+    return rates.withColumn("share", F.round(F.col("cut") / F.col("records"), 6))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, folder, "papers"), "row_id", "vector", k=5, min_cosine=0.8)
 
 
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of all oversized chunks and sections."""
+    chunks = table(spark, folder, "text_chunks").select(F.lit("chunk").alias("item_type"), F.col("chunk_id").alias("item_id"), F.lit(-1).alias("section_idx"), F.col("source_section").alias("name"), "text")
+    papers = table(spark, folder, "extracted_papers").select("paper_id", F.posexplode("sections").alias("i", "s"))
+    sections = papers.select(F.lit("section").alias("item_type"), F.col("paper_id").alias("item_id"), F.col("i").alias("section_idx"), F.col("s.name").alias("name"), F.col("s.content").alias("text"))
+    return splitting.split_oversized(chunks.unionByName(sections), table(spark, folder, "size_limits"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_pieces(spark, folder).where((F.col("piece") == 0) & (F.col("pieces") > 1)).select("item_type", "item_id", "section_idx")
+
+
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
     papers = table(spark, folder, "extracted_papers").select(F.lit("paper").alias("kind"), F.col("paper_id").alias("id"), "text")
     chunks = table(spark, folder, "papers").select(F.lit("chunk").alias("kind"), F.col("row_id").alias("id"), "text")
@@ -50,7 +84,7 @@ def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p2_found, p6_found, p6_classes, p7_found, p7_leaks)}
+    return {q.__name__: q for q in (p1_found, p1_sources, p2_found, p4_found, p4_pieces, p6_found, p6_classes, p7_found, p7_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
