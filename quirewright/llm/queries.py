@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quirewright.llm import leakage, near_duplicates, neighbours, splitting, truncation
+from quirewright.llm import leakage, near_duplicates, neighbours, sentences, splitting, truncation
 from quirewright.plans.storage import table
 
 
@@ -50,6 +50,23 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_pieces(spark, folder).where((F.col("piece") == 0) & (F.col("pieces") > 1)).select("item_type", "item_id", "section_idx")
 
 
+def _units(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections of the papers that aren't scanned, or their whole text where they have none."""
+    papers = table(spark, folder, "extracted_papers").where(~F.coalesce(F.startswith("path", F.lit("/library/scans/")), F.lit(False)))
+    whole = F.array(F.struct(F.lit(-1).alias("i"), F.col("text").alias("text")))
+    split = F.transform("sections", lambda s, i: F.struct(i.alias("i"), s["content"].alias("text")))
+    units = papers.select("paper_id", F.explode(F.when(F.size("sections") > 0, split).otherwise(whole)).alias("u"))
+    return units.select("paper_id", F.col("u.i").alias("section_idx"), F.col("u.text").alias("text"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentences(_units(spark, folder)).select("paper_id", "section_idx", "end_pos")
+
+
+def p5_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentences(_units(spark, folder), with_text=True)
+
+
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
     papers = table(spark, folder, "extracted_papers").select(F.lit("paper").alias("kind"), F.col("paper_id").alias("id"), "text")
     chunks = table(spark, folder, "papers").select(F.lit("chunk").alias("kind"), F.col("row_id").alias("id"), "text")
@@ -84,7 +101,7 @@ def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p1_found, p1_sources, p2_found, p4_found, p4_pieces, p6_found, p6_classes, p7_found, p7_leaks)}
+    return {q.__name__: q for q in (p1_found, p1_sources, p2_found, p4_found, p4_pieces, p5_found, p5_sentences, p6_found, p6_classes, p7_found, p7_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
