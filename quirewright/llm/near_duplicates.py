@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirewright.llm.shingles import Sketcher, mix, shingle_sets
@@ -30,6 +31,7 @@ class JoinParams:
     threshold: float = 0.8
     words: int = 5
     width: int = 64
+    short: int = 24
     runs: int = 10
     small_node: int = 24
     levels: int = 5
@@ -48,6 +50,20 @@ class Duplicates:
     recall: float
 
 
+def _rows(df: DataFrame) -> DataFrame:
+    return df.where(F.col("text").isNotNull() & F.col("id").isNotNull() & F.col("kind").isNotNull()).select("kind", F.col("id").cast("long").alias("id"), "text")
+
+
+def _least_matches(params: JoinParams) -> int:
+    """Equal values of two short sketches that all but one in a thousand pairs at the threshold reach."""
+    p, n, below = params.threshold, params.short, 0.0
+    for m in range(n + 1):
+        below += comb(n, m) * p**m * (1 - p) ** (n - m)
+        if below > 0.001:
+            return m
+    return n
+
+
 def _sets(df: DataFrame, params: JoinParams) -> DataFrame:
     sketcher = Sketcher(params.width, params.seed)
 
@@ -65,11 +81,10 @@ def _sets(df: DataFrame, params: JoinParams) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "kind": b.column("kind").take(pa.array(keep)), "id": b.column("id").take(pa.array(keep)),
                     "k1": pa.array([k[0] for k in key], pa.int64()), "k2": pa.array([k[1] for k in key], pa.int64()),
-                    "sketch": pa.array([r.astype("<u4").tobytes() for r in sketch], pa.binary()), "hashes": pa.array([s.astype("<u8").tobytes() for s in got], pa.binary()),
+                    "sketch": pa.array([r.astype("<u4").tobytes() for r in sketch], pa.binary()),
                 })
 
-    rows = df.where(F.col("text").isNotNull() & F.col("id").isNotNull() & F.col("kind").isNotNull()).select("kind", F.col("id").cast("long").alias("id"), "text")
-    return materialise(rows.mapInArrow(run, "kind string, id long, k1 long, k2 long, sketch binary, hashes binary"), "shingle-sets")
+    return materialise(_rows(df).mapInArrow(run, "kind string, id long, k1 long, k2 long, sketch binary"), "shingle-sets")
 
 
 def _chosen(node: np.ndarray, params: JoinParams) -> np.ndarray:
@@ -108,10 +123,25 @@ def _children(rows: DataFrame, params: JoinParams, roots: list[int] | None) -> D
     return rows.select(*need).mapInArrow(run, "node long, run int, rep long")
 
 
-def _bucket_pairs(buckets: DataFrame, low: str = "reps") -> DataFrame:
-    """All pairs within lists of bounded length."""
-    inner = F.transform(F.sequence(F.lit(0), F.size(low) - 2), lambda i: F.transform(F.slice(low, i + 2, F.size(low)), lambda y: F.struct(F.get(F.col(low), i).alias("a"), y.alias("b"))))
-    return buckets.select("run", F.explode(F.flatten(inner)).alias("p")).select("p.a", "p.b", "run")
+def _bucket_pairs(rows: DataFrame, keys: list[str], params: JoinParams) -> DataFrame:
+    """Pairs within buckets of bounded size whose short sketches agree often enough."""
+    least = _least_matches(params)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [[], [], []]
+            for r, low in zip(b.column("run").to_pylist(), b.column("low").to_pylist()):
+                rep = np.array([x["rep"] for x in low], np.int64)
+                short = np.frombuffer(b"".join(x["short"] for x in low), "<u2").reshape(len(rep), -1)
+                i, j = np.nonzero(np.triu((short[:, None, :] == short[None, :, :]).sum(axis=2) >= least, 1))
+                if len(i):
+                    for c, v in zip(out, (np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]), np.full(len(i), r))):
+                        c.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "run"])
+
+    low = rows.groupBy(*keys, "run").agg(F.collect_set(F.struct("rep", "short")).alias("low")).where(F.size("low") > 1)
+    return low.select("run", "low").mapInArrow(run, "a long, b long, run int")
 
 
 def _candidates(classes: DataFrame, roots: list[int], params: JoinParams) -> DataFrame:
@@ -120,9 +150,9 @@ def _candidates(classes: DataFrame, roots: list[int], params: JoinParams) -> Dat
     for level in range(params.levels):
         rows = materialise(rows, f"nodes-{level}")
         size = rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-        sized = materialise(rows.join(size, "node"), f"sized-{level}")
-        small = sized.where(F.col("n") <= params.small_node).groupBy("node", "run").agg(F.array_sort(F.collect_set("rep")).alias("reps"))
-        found.append(_bucket_pairs(small.where(F.size("reps") > 1)))
+        # Most nodes hold one class; only the others get their short sketches.
+        sized = materialise(rows.join(size, "node").join(classes.select("rep", "short"), "rep"), f"sized-{level}")
+        found.append(_bucket_pairs(sized.where(F.col("n") <= params.small_node), ["node"], params))
         large = sized.where(F.col("n") > params.small_node)
         if large.isEmpty():
             break
@@ -130,9 +160,9 @@ def _candidates(classes: DataFrame, roots: list[int], params: JoinParams) -> Dat
             # Tiles: each class goes to every pair of tiles that holds its own.
             tiles = F.ceil(F.col("n") / params.tile).cast("int")
             own = large.withColumn("tiles", tiles).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-            cells = own.select("node", "run", "rep", "mine", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-            cells = cells.select("run", "node", "rep", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
-            found.append(_bucket_pairs(cells.groupBy("node", "run", "x", "y").agg(F.array_sort(F.collect_set("rep")).alias("reps")).where(F.size("reps") > 1)))
+            cells = own.select("node", "run", "rep", "short", "mine", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+            cells = cells.select("run", "node", "rep", "short", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
+            found.append(_bucket_pairs(cells, ["node", "x", "y"], params))
             break
         rows = _children(large.join(classes.select("rep", "sketch"), "rep"), params, None)
     every = found[0]
@@ -141,16 +171,44 @@ def _candidates(classes: DataFrame, roots: list[int], params: JoinParams) -> Dat
     return every.groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1L, run)")).alias("mask"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, params: JoinParams) -> DataFrame:
-    """Pairs whose sketches could reach the threshold, then the exact similarity."""
-    slack = params.threshold - 4 * (params.threshold * (1 - params.threshold) / params.width) ** 0.5
-    s = classes.select("rep", "sketch")
+def _short(sketch: str, values: int) -> Column:
+    """The lower halves of the first values of a sketch."""
+    return F.expr(f"concat({', '.join(f'substring({sketch}, {4 * i + 1}, 2)' for i in range(values))})")
+
+
+def _id_hash(bits: int) -> Column:
+    return F.pmod(F.xxhash64("kind", "id"), F.lit(1 << bits))
+
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _id_bitmap(named: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of fixed size over hashed (kind, id): a filter that may let others pass, and loses none."""
+    h = named.select(_id_hash(bits).alias("h"))
+    maps = h.groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"), F.min("h").alias("h")).collect()
+    out = np.zeros((1 << bits) + 1, bool)
+    for r in maps:
+        on = np.nonzero(np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little"))[0]
+        # Buckets of positive values begin at a multiple of 32768 plus 1; 0 is alone in its own.
+        out[(r["bucket"] - 1) * 32_768 + 1 + on if r["bucket"] > 0 else on] = True
+    return out
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, df: DataFrame, params: JoinParams) -> DataFrame:
+    """The pairs with their exact similarity. Only the texts of their classes are read into sets again."""
+    spark = pairs.sparkSession
+    pairs = materialise(pairs, "likely-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    named = classes.select("rep", "kind", F.col("rep_id").alias("id")).join(ids, "rep", "left_semi")
+    bits = 22
+    shared = spark.sparkContext.broadcast(_id_bitmap(named, bits))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
         for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(b.num_rows, -1) for c in ("sa", "sb"))
-                yield b.select(["a", "b", "mask"]).filter(pa.array((x == y).mean(axis=1) >= slack))
+            b = b.filter(pa.array(wanted[b.column("h").to_numpy()]))
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                sets = shingle_sets(part.column("text").to_pylist(), params.words)
+                yield pa.RecordBatch.from_arrays([part.column("kind"), part.column("id"), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["kind", "id", "hashes"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,11 +221,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, params: JoinParams) -> DataF
                 r = pa.RecordBatch.from_arrays([*(b.column(c) for c in ("kind", "a", "b", "mask")), pa.array(out, pa.float64())], names=["kind", "a", "b", "mask", "jaccard"])
                 yield r.filter(pa.array(np.array(out) >= params.threshold - 1e-12))
 
-    with_a = pairs.join(s.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
-    with_b = with_a.join(s.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-    some = materialise(with_b.select("a", "b", "mask", "sa", "sb").mapInArrow(likely, "a long, b long, mask long"), "likely-pairs")
-    h = classes.select("rep", "kind", "hashes")
-    both = some.join(h.select(F.col("rep").alias("a"), "kind", F.col("hashes").alias("ha")), "a").join(h.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b")
+    texts = _rows(df).withColumn("h", _id_hash(bits)).mapInArrow(again, "kind string, id long, hashes binary").dropDuplicates(["kind", "id"])
+    h = materialise(named.join(texts, ["kind", "id"]).select("rep", "kind", "hashes"), "pair-sets")
+    both = pairs.join(h.select(F.col("rep").alias("a"), "kind", F.col("hashes").alias("ha")), "a").join(h.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b")
     return materialise(both.select("kind", "a", "b", "mask", "ha", "hb").mapInArrow(exact, "kind string, a long, b long, mask long, jaccard double"), "verified-pairs")
 
 
@@ -180,12 +236,13 @@ def near_duplicates(df: DataFrame, params: JoinParams = JoinParams()) -> Duplica
     sets = _sets(df, params)
     # Classes get a number of their own: ids of different kinds may clash.
     classes = materialise(
-        sets.groupBy("kind", "k1", "k2").agg(F.min("id").alias("rep_id"), F.min_by("sketch", "id").alias("sketch"), F.min_by("hashes", "id").alias("hashes")).withColumn("rep", F.xxhash64("kind", "k1", "k2")),
+        sets.groupBy("kind", "k1", "k2").agg(F.min("id").alias("rep_id"), F.first("sketch").alias("sketch"))
+        .withColumns({"rep": F.xxhash64("kind", "k1", "k2"), "short": _short("sketch", params.short)}),
         "set-classes",
     )
     pairs, recall = None, 0.0
     for at in range(params.rounds):
-        new = _verified(_candidates(classes, list(range(at * params.runs, (at + 1) * params.runs)), params), classes, params)
+        new = _verified(_candidates(classes, list(range(at * params.runs, (at + 1) * params.runs)), params), classes, df, params)
         pairs = new if pairs is None else materialise(pairs.unionByName(new).groupBy("kind", "a", "b", "jaccard").agg(F.bit_or("mask").alias("mask")), "verified-pairs")
         even = sum(1 << i for i in range(0, (at + 1) * params.runs, 2))
         a, b = F.col("mask").bitwiseAND(even) != 0, F.col("mask").bitwiseAND(even << 1) != 0
