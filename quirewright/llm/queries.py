@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quirewright.llm import leakage, near_duplicates, neighbours, sentences, splitting, truncation
+from quirewright.llm import leakage, near_duplicates, neighbours, personal, sentences, splitting, truncation
 from quirewright.plans.storage import table
 
 
@@ -100,8 +100,17 @@ def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).withColumn("share", F.round(F.greatest("exact_words", "template_words") / F.col("item_words"), 6))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.personal_spans(table(spark, folder, "documents"))
+
+
+def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents with placeholders."""
+    return personal.redact(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p1_found, p1_sources, p2_found, p4_found, p4_pieces, p5_found, p5_sentences, p6_found, p6_classes, p7_found, p7_leaks)}
+    return {q.__name__: q for q in (p1_found, p1_sources, p2_found, p4_found, p4_pieces, p5_found, p5_sentences, p6_found, p6_classes, p7_found, p7_leaks, p9_found, p9_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
