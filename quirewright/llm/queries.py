@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quirewright.llm import leakage, near_duplicates, neighbours, personal, sentences, splitting, truncation
+from quirewright.llm import leakage, mixing, near_duplicates, neighbours, personal, sentences, splitting, truncation
 from quirewright.plans.storage import table
 
 
@@ -100,6 +100,25 @@ def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).withColumn("share", F.round(F.greatest("exact_words", "template_words") / F.col("item_words"), 6))
 
 
+def _mix(spark: SparkSession, folder: str, params: mixing.MixParams) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang", F.col("doc_kind").alias("domain"))
+    return mixing.mix(docs, table(spark, folder, "mix_targets"), params)
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of each mix, as many as let every source reach its share."""
+    return _mix(spark, folder, mixing.MixParams())
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(p8_mix(spark, folder))
+
+
+def p8_shares_full(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares reached when a mix must be as large as its sources' supply: shortages go to siblings first."""
+    return mixing.shares(_mix(spark, folder, mixing.MixParams(budget=1.0)))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return personal.personal_spans(table(spark, folder, "documents"))
 
@@ -110,7 +129,7 @@ def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p1_found, p1_sources, p2_found, p4_found, p4_pieces, p5_found, p5_sentences, p6_found, p6_classes, p7_found, p7_leaks, p9_found, p9_redacted)}
+    return {q.__name__: q for q in (p1_found, p1_sources, p2_found, p4_found, p4_pieces, p5_found, p5_sentences, p6_found, p6_classes, p7_found, p7_leaks, p8_mix, p8_shares, p8_shares_full, p9_found, p9_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
