@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quirewright.llm import leakage, mixing, near_duplicates, neighbours, personal, sentences, splitting, truncation
+from quirewright.llm import leakage, mixing, near_duplicates, neighbours, personal, scan_repair, sentences, splitting, truncation
 from quirewright.plans.storage import table
 
 
@@ -50,13 +50,32 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_pieces(spark, folder).where((F.col("piece") == 0) & (F.col("pieces") > 1)).select("item_type", "item_id", "section_idx")
 
 
-def _units(spark: SparkSession, folder: str) -> DataFrame:
-    """Sections of the papers that aren't scanned, or their whole text where they have none."""
-    papers = table(spark, folder, "extracted_papers").where(~F.coalesce(F.startswith("path", F.lit("/library/scans/")), F.lit(False)))
+def _scanned() -> Column:
+    return F.coalesce(F.startswith("path", F.lit("/library/scans/")), F.lit(False))
+
+
+def _units(spark: SparkSession, folder: str, scanned: bool = False) -> DataFrame:
+    """Sections of the papers that are or aren't scanned, or their whole text where they have none."""
+    papers = table(spark, folder, "extracted_papers").where(_scanned() == scanned)
     whole = F.array(F.struct(F.lit(-1).alias("i"), F.col("text").alias("text")))
     split = F.transform("sections", lambda s, i: F.struct(i.alias("i"), s["content"].alias("text")))
-    units = papers.select("paper_id", F.explode(F.when(F.size("sections") > 0, split).otherwise(whole)).alias("u"))
-    return units.select("paper_id", F.col("u.i").alias("section_idx"), F.col("u.text").alias("text"))
+    units = papers.select("paper_id", "title", F.explode(F.when(F.size("sections") > 0, split).otherwise(whole)).alias("u"))
+    return units.select("paper_id", "title", F.col("u.i").alias("section_idx"), F.col("u.text").alias("text"))
+
+
+def _repaired(spark: SparkSession, folder: str) -> DataFrame:
+    papers = table(spark, folder, "extracted_papers").select("paper_id", "title", "text", _scanned().alias("scanned"))
+    return scan_repair.repair(_units(spark, folder, scanned=True), papers)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    lines = _repaired(spark, folder).select("paper_id", "section_idx", F.explode("found").alias("f"))
+    return lines.select("paper_id", "section_idx", F.col("f.line").alias("line_no"), F.col("f.kind").alias("kind"))
+
+
+def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """The scanned papers' units as continuous paragraphs."""
+    return _repaired(spark, folder).select("paper_id", "section_idx", "text")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,7 +148,7 @@ def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p1_found, p1_sources, p2_found, p4_found, p4_pieces, p5_found, p5_sentences, p6_found, p6_classes, p7_found, p7_leaks, p8_mix, p8_shares, p8_shares_full, p9_found, p9_redacted)}
+    return {q.__name__: q for q in (p1_found, p1_sources, p2_found, p3_found, p3_repaired, p4_found, p4_pieces, p5_found, p5_sentences, p6_found, p6_classes, p7_found, p7_leaks, p8_mix, p8_shares, p8_shares_full, p9_found, p9_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
