@@ -35,8 +35,8 @@ def distance(vector: Column, query: list[float] | Column, metric: str = "l2sq")
 
 
 def similarity(d: Column) -> Column:
-    """1 / (1 + distance)."""
-    return 1 / (1 + d)
+    """1 / (1 + distance); null at distance -1, which only the dot metric reaches."""
+    return F.try_divide(F.lit(1.0), 1 + d)
 
 
 def search(table: DataFrame, query: list[float], n: int = 5, where: dict[str, str] | None = None, vector: str = "vector", id_col: str = "id", metric: str = "l2sq") -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 from quirewright.operators.store import VectorStore
 from quirewright.sources.papers import Decoder, decode, pdf_decoder, structure
 
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
 
 def ingest_folder(spark: SparkSession, folder: str, store: VectorStore, checkpoint: str, decoder: Decoder = pdf_decoder, pattern: str = "*.pdf", once: bool = True) -> StreamingQuery:
     """Start a stream over a folder. A repeated batch adds nothing, as stored paths are skipped."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).load(folder)
 
     def add(batch: DataFrame, _: int) -> None:
         decoded = decode(batch.select("path", "content"), decoder)
