@@ -445,6 +445,18 @@ def prompt_render(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "extracted_papers").select("paper_id", F.md5(user.cast("binary")).alias("prompt"), F.length(system).cast("long").alias("system_length"))
 
 
+@_query(
+    rf"""SELECT chunk_id, coalesce(start_pos, 0)::BIGINT AS start_pos, coalesce(end_pos, 0)::BIGINT AS end_pos, len(list_filter(string_split_regex(text, '{_WS}+'), lambda w: w <> ''))::BIGINT AS word_count,
+    coalesce(token_count, 0)::BIGINT AS token_count, source_section, total_chunks::BIGINT AS total_chunks FROM text_chunks WHERE text IS NOT NULL"""
+)
+def chunk_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """The facts that go with a chunk."""
+    rows = table(spark, folder, "text_chunks").where(F.col("text").isNotNull()).withColumn("chunk_text", F.col("text"))
+    m = rows.select("chunk_id", chunking.chunk_metadata().alias("m"))
+    long = lambda c: F.coalesce(F.col(f"m.{c}"), F.lit(0)).cast("long").alias(c)
+    return m.select("chunk_id", long("start_pos"), long("end_pos"), long("word_count"), long("token_count"), "m.source_section", F.col("m.total_chunks").cast("long").alias("total_chunks"))
+
+
 _SPECS = ", ".join(f"('{a.name}', {a.budget}, [{', '.join(repr(s.lower()) for s in a.sections)}]::VARCHAR[])" for a in ANALYSES.values())
 
 

@@ -116,3 +116,23 @@ def test_settings(spark, tmp_path):
     env.write_text("CHUNK_SIZE=10\n# comment\nOLLAMA_MODEL='m'\n")
     s = Settings.load(None, {"chunk_overlap": "3"}, str(env))
     assert (s.chunk_size, s.chunk_overlap, s.ollama_model, s.embedding_dimensions) == (10, 3, "m", 768)
+
+
+def test_sql_functions(spark):
+    from quirewright.plans.sql import register
+
+    register(spark)
+    assert spark.sql("SELECT c.* FROM VALUES ('one two three four') t(x), LATERAL chunk(x, 2, 0) c").count() >= 2
+    row = spark.sql("SELECT rigor_rating(3.5) AS a, rigor_severity(7) AS b, similarity(1) AS c").head()
+    assert (row["a"], row["b"], row["c"]) == ("Good", "bad", 0.5)
+
+
+def test_arrivals(spark, tmp_path):
+    from quirewright.streaming.ingest import arrivals
+
+    folder = str(tmp_path / "rows")
+    spark.sql("SELECT * FROM VALUES (TIMESTAMP '2024-01-01 10:00:00', 'a'), (TIMESTAMP '2024-01-01 11:00:00', 'a'), (TIMESTAMP '2024-01-20 00:00:00', 'b') t(ts, kind)").write.parquet(folder)
+    stream = spark.readStream.schema("ts timestamp, kind string").parquet(folder)
+    q = arrivals(stream, "ts", "kind").writeStream.format("memory").queryName("arrived").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted((r["kind"], r["n"]) for r in spark.table("arrived").collect()) == [("a", 2), ("b", 1)]
