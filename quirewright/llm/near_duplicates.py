@@ -32,7 +32,7 @@ class JoinParams:
     words: int = 5
     width: int = 64
     short: int = 24
-    runs: int = 10
+    runs: int = 7
     small_node: int = 24
     levels: int = 5
     recall: float = 0.99
