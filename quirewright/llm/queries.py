@@ -151,5 +151,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (p1_found, p1_sources, p2_found, p3_found, p3_repaired, p4_found, p4_pieces, p5_found, p5_sentences, p6_found, p6_classes, p7_found, p7_leaks, p8_mix, p8_shares, p8_shares_full, p9_found, p9_redacted)}
 
 
+_WHITE = r"[ \t\n\r\x{00a0}\x{3000}]"
+
+P4_FOUND = rf"""WITH items AS (
+    SELECT 'chunk' AS item_type, chunk_id AS item_id, -1 AS section_idx, source_section AS name, text FROM text_chunks
+    UNION ALL SELECT 'section', paper_id, i, s.name, s.content FROM (SELECT paper_id, unnest(sections) AS s, generate_subscripts(sections, 1) - 1 AS i FROM extracted_papers)),
+counted AS (SELECT item_type, item_id, section_idx, lower(regexp_replace(coalesce(name, ''), '^{_WHITE}+|{_WHITE}+$', '', 'g')) AS rule,
+    length(regexp_replace(regexp_replace(text, '[A-Za-z0-9]+', 'a', 'g'), '{_WHITE}+', '', 'g')) AS n FROM items),
+rules AS (SELECT item_kind, lower(section_name) AS rule, min(max_tokens) AS most FROM size_limits GROUP BY ALL)
+SELECT item_type, item_id::BIGINT AS item_id, section_idx::INT AS section_idx FROM counted
+LEFT JOIN rules o ON o.item_kind = item_type AND o.rule = counted.rule LEFT JOIN rules r ON r.item_kind = item_type AND r.rule = '*'
+WHERE n > coalesce(o.most, r.most)"""
+
+P6_FOUND = rf"""WITH texts AS (SELECT 'paper' AS kind, paper_id AS id, text FROM extracted_papers UNION ALL SELECT 'chunk', row_id, text FROM papers),
+words AS (SELECT kind, id, list_filter(string_split_regex(lower(text), '{_WHITE}+'), lambda w: w <> '') AS w FROM texts WHERE text IS NOT NULL),
+shingles AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM words WHERE len(w) >= 3),
+sizes AS (SELECT kind, id, count(*) AS n FROM shingles GROUP BY ALL),
+shared AS (SELECT a.kind, a.id AS id_a, b.id AS id_b, count(*) AS n FROM shingles a JOIN shingles b ON a.kind = b.kind AND a.s = b.s AND a.id < b.id GROUP BY ALL)
+SELECT shared.kind AS record_type, id_a::BIGINT AS id_a, id_b::BIGINT AS id_b FROM shared
+JOIN sizes x ON x.kind = shared.kind AND x.id = id_a JOIN sizes y ON y.kind = shared.kind AND y.id = id_b WHERE shared.n / (x.n + y.n - shared.n) >= 0.6"""
+
+P7_FOUND = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\pL\\p{Nd}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\pL\\p{Nd}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS s FROM d WHERE len(w) >= 13),
+iw AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS s FROM i WHERE len(w) >= 13)
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (s)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the query; the others are tested against brute force, round trips or labelled noise."""
+    return {"p4_found": P4_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
