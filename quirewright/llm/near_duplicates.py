@@ -33,7 +33,7 @@ class JoinParams:
     width: int = 64
     short: int = 24
     runs: int = 7
-    small_node: int = 24
+    small_node: int = 256
     levels: int = 5
     recall: float = 0.99
     rounds: int = 4
@@ -130,9 +130,13 @@ def _bucket_pairs(rows: DataFrame, keys: list[str], params: JoinParams) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [[], [], []]
-            for r, low in zip(b.column("run").to_pylist(), b.column("low").to_pylist()):
-                rep = np.array([x["rep"] for x in low], np.int64)
-                short = np.frombuffer(b"".join(x["short"] for x in low), "<u2").reshape(len(rep), -1)
+            low = b.column("low")
+            flat = low.flatten()
+            reps = flat.field("rep").to_numpy(zero_copy_only=False)
+            shorts = np.frombuffer(b"".join(flat.field("short").to_pylist()), "<u2").reshape(len(reps), -1)
+            ends = np.cumsum(low.value_lengths().to_numpy(zero_copy_only=False))
+            for r, end, begin in zip(b.column("run").to_pylist(), ends, np.concatenate([[0], ends[:-1]])):
+                rep, short = reps[begin:end], shorts[begin:end]
                 i, j = np.nonzero(np.triu((short[:, None, :] == short[None, :, :]).sum(axis=2) >= least, 1))
                 if len(i):
                     for c, v in zip(out, (np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]), np.full(len(i), r))):
