@@ -28,13 +28,14 @@ from quirewright.plans.storage import materialise
 
 @dataclass(frozen=True)
 class TreeParams:
-    """Bounds of the index. sample_rows and probes don't depend on the table's size."""
+    """Bounds of the index: the sample has 16 rows per leaf, within least_sample and sample_rows; the number of leaves follows the table up to max_leaves."""
 
-    sample_rows: int = 16_384
+    least_sample: int = 16_384
+    sample_rows: int = 65_536
     probes: int = 192
     rows_per_leaf: int = 600
     branch: int = 16
-    max_leaves: int = 1_024
+    max_leaves: int = 4_096
     recall: float = 0.98
     tile_rows: int = 4_096
     seed: int = 7
@@ -73,7 +74,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 def fit_tree(sample: np.ndarray, leaves: int, params: TreeParams) -> Tree:
     """Two levels: branches, then each branch's share of the leaves."""
     rng = np.random.default_rng(params.seed)
-    branches = _kmeans(sample, max(1, min(params.branch, leaves)), rng)
+    branches = _kmeans(sample, max(1, min(max(params.branch, math.isqrt(leaves)), leaves)), rng)
     of = (sample @ branches.T).argmax(axis=1)
     parts, parent = [], []
     for b in range(len(branches)):
@@ -169,7 +170,9 @@ def nearest_rows(
 
 def _fit(rows: DataFrame, n_classes: int, params: TreeParams) -> Tree:
     """The tree, from at most sample_rows classes chosen by their hash."""
-    step = max(1, math.ceil(n_classes / params.sample_rows))
+    leaves = int(min(params.max_leaves, max(1, n_classes // params.rows_per_leaf)))
+    wanted = min(params.sample_rows, max(params.least_sample, 16 * leaves))
+    step = max(1, math.ceil(n_classes / wanted))
     sample = rows.where(F.pmod("h2", F.lit(step)) == 0)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +187,7 @@ def _fit(rows: DataFrame, n_classes: int, params: TreeParams) -> Tree:
         got = rows.limit(1).mapInArrow(pack, "rows int, h array<long>, packed binary").collect()
     x = np.concatenate([_unpack(bytes(r["packed"]), r["rows"]) for r in got])
     h = np.concatenate([np.array(r["h"]) for r in got])
-    x = x[np.unique(h, return_index=True)[1]][: params.sample_rows * 2]
-    return fit_tree(x, int(min(params.max_leaves, max(1, n_classes // params.rows_per_leaf))), params)
+    return fit_tree(x[np.unique(h, return_index=True)[1]], leaves, params)
 
 
 def _calibrate(rows: DataFrame, tree: Tree, k: int, min_cosine: float, n_classes: int, params: TreeParams) -> int:
