@@ -23,7 +23,7 @@ from quirewright.plans.storage import materialise
 MARKS = regex.compile(r"(?:\s*(?:\[\s*(?:\.{2,}|…|truncated|cut|more|continued|cont\.?|snip)\s*\]|\(\s*(?:\.{2,}|…|truncated|cut|more|continued|cont\.?|snip)\s*\)|<\s*(?:truncated|cut|more|snip)\s*>|…|\.{3,}|�|-{2,}|—|–|>>|»{2}|\[…?))+\s*$", regex.I)
 #: Abbreviations that do not end a sentence, as they are spelled.
 ABBREVIATIONS = frozenset(
-    "Dr Mr Mrs Ms Mme Mlle Prof St Sr Jr vs No Nos no nr Nr Fig Figs fig Eq Eqs eq Ref Refs ref Sec Secs Tab Tabs Vol Vols vol Ch ch Chap pp approx ca cf viz e.g i.e resp Abb Kap Hr Fr bzw z.B d.h vgl Vgl Mio Mrd sog MM env c.-à-d Sra Srta pág págs núm p.ej ej EE Fa Dept ed eds U.S U.K".split()
+    "Dr Mr Mrs Ms Mme Mlle Prof St Sr Jr vs No Nos no nr Nr Fig Figs fig Eq Eqs eq Ref Refs ref Sec Secs Tab Tabs Vol Vols vol Ch ch Chap pp approx ca cf viz e.g i.e resp Abb Kap Hr Fr bzw z.B d.h vgl Vgl Mio Mrd sog MM env c.-à-d Sra Srta pág págs núm p.ej ej EE Fa Dept ed eds U.S U.K Ltd".split()
 )
 _CLOSED = frozenset(".!?。！？।؟…۔।॥．")
 _CLOSERS = regex.compile(r"[\"'”’»)\]）」』】》›*_\s]+$")
@@ -87,6 +87,9 @@ def end_of(text: str) -> tuple[bool, str, str, str]:
             unit = len(spoken) > 1 and spoken[-2][-1].isdigit()
             if token in ABBREVIATIONS or not unit and regex.fullmatch(r"\p{L}|(?:\p{L}\.)+\p{L}", token) and token.lower() not in ("a.m", "p.m"):
                 return marked, "cut", word, last
+        # A name with 'et al.' alone, or the first half of 'between 9 a.m. and ...', is no sentence.
+        if regex.search(r"(?:^|[.!?][\"')”’]*\s)\S+ et al\.$|\bbetween \d+(?:\.\d+)? [ap]\.m\.$", last):
+            return marked, "cut", word, last
         return marked, "whole", word, last
     tail = core[-1]
     if "฀" <= tail <= "๿":  # Thai ends its sentences without a mark
