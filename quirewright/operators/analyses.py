@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirewright.functions import score
 from quirewright.functions.prompts import ANALYSES, FULL_ANALYSIS
 from quirewright.functions.sections import has_abstract
-from quirewright.operators.chunking import chunk_papers
-from quirewright.operators.context import assemble, budget_prefix, get_template, messages, render
+from quirewright.operators.chunking import chunk_lists
+from quirewright.operators.context import SEPARATOR, assemble, budget_prefix, get_template, messages, render
 from quirewright.operators.models import Completer, HeuristicCompleter, complete
 
 
@@ -18,25 +18,38 @@ def _specs(names: list[str]):
     return F.array(*(F.struct(F.lit(a.name).alias("analysis"), F.array(*(F.lit(s.lower()) for s in a.sections)).cast("array<string>").alias("targets"), F.lit(a.budget).alias("budget")) for a in (ANALYSES[n] for n in names)))
 
 
-def contexts(papers: DataFrame, names: list[str], size: int = 2_000, overlap: int = 200, budget_factor: float = 1.0) -> DataFrame:
-    """(paper_path, analysis, context, sections_analyzed, chunks_processed, n_chunks, context_empty) per paper and analysis.
+def _fitting(chunks: Column, budget: Column) -> Column:
+    """The chunks before the first that would exceed the budget."""
+    zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("n"))
 
-    papers: (paper_path, text, sections). Where no target section is found, all sections are taken.
+    def step(acc: Column, c: Column) -> Column:
+        total = acc["total"] + c["token_count"]
+        return F.struct(total.alias("total"), (acc["n"] + F.when(total <= budget, 1).otherwise(0)).alias("n"))
+
+    return F.slice(chunks, F.lit(1), F.aggregate(chunks, zero, step, lambda acc: acc["n"]))
+
+
+def contexts(papers: DataFrame, names: list[str], size: int = 2_000, overlap: int = 200) -> DataFrame:
+    """Each paper with each analysis: its other columns, analysis, context, sections_analyzed, chunks_processed, n_chunks, context_empty.
+
+    papers: (text, sections, and any others). A paper is cut once; its chunks stay in one row, so
+    nothing is shuffled. Where no target section is found, all sections are taken.
     """
-    chunks = chunk_papers(papers.select("paper_path", "text", "sections"), "sections", None, size, overlap)
-    fanned = chunks.withColumn("spec", F.explode(_specs(names))).select("paper_path", "spec.*", "chunk_text", "token_count", "source_section", "chunk_index")
-    everything = papers.select("paper_path", F.explode(_specs(names)).alias("spec")).select("paper_path", "spec.analysis").distinct()
-    wanted = (F.size("targets") == 0) | F.array_contains("targets", F.lower("source_section")) | F.col("source_section").isNull()
-    keys, order = ["paper_path", "analysis"], ["chunk_index"]
-    limit = (F.col("budget") * budget_factor).cast("long")
-    own = assemble(budget_prefix(fanned.where(wanted), keys, order, "token_count", limit), keys, order, "chunk_text", "source_section")
-    rest = assemble(budget_prefix(fanned, keys, order, "token_count", limit), keys, order, "chunk_text", "source_section")
-    rest = rest.select(*keys, *(F.col(c).alias(f"all_{c}") for c in ("context", "sections_analyzed", "chunks_processed", "n_chunks")))
-    both = everything.join(own, keys, "left").join(rest, keys, "left")
-    use = F.col("context").isNull() | (F.trim("context") == "")
-    picked = [F.when(use, F.col(f"all_{c}")).otherwise(F.col(c)).alias(c) for c in ("context", "sections_analyzed", "chunks_processed", "n_chunks")]
-    out = both.select(*keys, *picked)
-    return out.select(*keys, F.coalesce("context", F.lit("")).alias("context"), F.coalesce("sections_analyzed", F.array().cast("array<string>")).alias("sections_analyzed"), F.coalesce("chunks_processed", F.lit(0)).alias("chunks_processed"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.col("context").isNull().alias("context_empty"))
+    cut = chunk_lists(papers, "sections", None, size, overlap).withColumn("__spec", F.explode(_specs(names)))
+    spec = F.col("__spec")
+    named = F.filter("chunks", lambda c: (F.size(spec["targets"]) == 0) | c["source_section"].isNull() | F.array_contains(spec["targets"], F.lower(c["source_section"])))
+    own, every = _fitting(named, spec["budget"]), _fitting(F.col("chunks"), spec["budget"])
+    used = cut.withColumn("__used", F.when(F.size(own) > 0, own).otherwise(every))
+    sections = F.array_distinct(F.filter(F.transform("__used", lambda c: c["source_section"]), lambda s: s.isNotNull()))
+    made = {
+        "analysis": spec["analysis"],
+        "context": F.array_join(F.transform("__used", lambda c: c["chunk_text"]), SEPARATOR),
+        "sections_analyzed": sections,
+        "chunks_processed": F.size(sections),
+        "n_chunks": F.size("__used"),
+        "context_empty": F.size("__used") == 0,
+    }
+    return used.withColumns(made).drop("chunks", "__spec", "__used")
 
 
 def analyse(papers: DataFrame, names: list[str] | None = None, completer: Completer | None = None, size: int = 2_000, overlap: int = 200) -> DataFrame:
@@ -52,7 +65,7 @@ def analyse(papers: DataFrame, names: list[str] | None = None, completer: Comple
             raise ValueError(f"unknown analysis {n!r}; there are {', '.join(ANALYSES)}")
     completer = completer or HeuristicCompleter()
     own = list(dict.fromkeys([*names, *(["summarize"] if "summarize_brief" in names else [])]))
-    ready = contexts(papers, own, size, overlap).join(papers.select("paper_path", F.col("title").alias("paper_title"), "abstract"), "paper_path")
+    ready = contexts(papers.select("paper_path", F.col("title").alias("paper_title"), "abstract", "text", "sections"), own, size, overlap)
     brief = has_abstract(F.col("abstract"))
     if "summarize_brief" in names and "summarize" not in names:
         ready = ready.where(((F.col("analysis") != "summarize") | ~brief) & ((F.col("analysis") != "summarize_brief") | brief))

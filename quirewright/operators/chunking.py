@@ -20,7 +20,8 @@ from quirewright.functions.text import ABBREVIATIONS
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 _SENTENCE = re.compile(r"[.!?]\s+")
-_OUT = "chunk_text string, start_pos int, end_pos int, token_count int, source_section string, chunk_index int, total_chunks int"
+CHUNK = T.StructType([T.StructField(n, k) for n, k in (("chunk_text", T.StringType()), ("start_pos", T.IntegerType()), ("end_pos", T.IntegerType()), ("token_count", T.IntegerType()), ("source_section", T.StringType()), ("chunk_index", T.IntegerType()), ("total_chunks", T.IntegerType()))])
+_ARROW = pa.list_(pa.struct([(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int32()) for f in CHUNK]))
 
 Spans = Callable[[str], list[int]]
 
@@ -94,13 +95,13 @@ def chunk_text(text: str | None, size: int = 2_000, overlap: int = 200, starts:
     return out
 
 
-def chunk_papers(papers: DataFrame, mode: str = "sections", targets: list[str] | None = None, size: int = 2_000, overlap: int = 200, starts: Spans = token_starts) -> DataFrame:
-    """The chunks of papers (paper_path, text, sections): all other columns but sections and text stay.
+def chunk_lists(papers: DataFrame, mode: str = "sections", targets: list[str] | None = None, size: int = 2_000, overlap: int = 200, starts: Spans = token_starts) -> DataFrame:
+    """Papers (text, sections, and any others) with their chunks as an array, in place of text and sections.
 
     Mode 'sections' cuts each section, or the whole text where there are none; 'full' the whole text.
     With ``targets`` only sections of these names (case ignored) are cut; a paper whose sections have
-    none of them gives nothing. Chunk numbers and totals run over the paper; offsets over the text
-    that was cut. No rows move between tasks.
+    none of them has an empty array. Chunk numbers and totals run over the paper; offsets over the text
+    that was cut. A column named chunks is replaced. No rows move between tasks.
     """
     if mode not in ("sections", "full"):
         raise ValueError("mode must be 'sections' or 'full'")
@@ -108,29 +109,25 @@ def chunk_papers(papers: DataFrame, mode: str = "sections", targets: list[str] |
     whole = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.col("text").alias("content")))
     named = F.transform(pick_sections(sections, F.array(*(F.lit(t.lower()) for t in targets))) if targets else sections, lambda s: F.struct(s["name"].alias("name"), s["content"].alias("content")))
     units = whole if mode == "full" else F.when(F.size(sections) > 0, named).otherwise(whole)
-    clash = {c.split()[0] for c in _OUT.split(", ")}
-    keep = [c for c in papers.columns if c not in ("text", "sections") and c not in clash]
+    keep = [c for c in papers.columns if c not in ("text", "sections", "chunks")]
     rows = papers.select(*keep, units.alias("__units"))
-    schema = rows.drop("__units").schema
-    for part in _OUT.split(", "):
-        name, kind = part.split()
-        schema = schema.add(name, {"string": T.StringType(), "int": T.IntegerType()}[kind])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, cols = [], [[] for _ in range(7)]
-            for i, units in enumerate(b.column("__units").to_pylist()):
+            lists = []
+            for units in b.column("__units").to_pylist():
                 made = [(*c, u["name"]) for u in units or [] for c in chunk_text(u["content"], size, overlap, starts)]
-                for k, (piece, start, end, tokens, name) in enumerate(made):
-                    at.append(i)
-                    for c, v in zip(cols, (piece, start, end, tokens, name, k, len(made))):
-                        c.append(v)
-            if at:
-                kept = b.select(keep).take(pa.array(at))
-                types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, t) for c, t in zip(cols, types))], names=[*keep, *(p.split()[0] for p in _OUT.split(", "))])
-
-    return rows.mapInArrow(run, schema)
+                lists.append([dict(zip(CHUNK.names, (*c, k, len(made)))) for k, c in enumerate(made)])
+            yield pa.RecordBatch.from_arrays([*b.select(keep).columns, pa.array(lists, _ARROW)], names=[*keep, "chunks"])
+
+    return rows.mapInArrow(run, rows.drop("__units").schema.add("chunks", T.ArrayType(CHUNK)))
+
+
+def chunk_papers(papers: DataFrame, mode: str = "sections", targets: list[str] | None = None, size: int = 2_000, overlap: int = 200, starts: Spans = token_starts) -> DataFrame:
+    """One row per chunk, as chunk_lists makes them; columns named like those of a chunk are replaced."""
+    keep = [c for c in papers.columns if c not in ("text", "sections", "chunks") and c not in CHUNK.names]
+    lists = chunk_lists(papers.select(*keep, "text", "sections"), mode, targets, size, overlap, starts)
+    return lists.select(*keep, F.inline("chunks"))
 
 
 def chunk_metadata() -> Column:

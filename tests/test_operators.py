@@ -140,3 +140,8 @@ def test_embedder(spark):
     e = models.HashEmbedder(32)
     rows = spark.createDataFrame([("a b",), (None,), ("",)], "t string").select(models.embed(F.col("t"), e, 1).alias("v")).collect()
     assert abs(sum(x * x for x in rows[0]["v"]) - 1) < 1e-5 and rows[1]["v"] is None and set(rows[2]["v"]) == {0.0}
+
+
+def test_analyses_do_not_shuffle(spark):
+    df = analyses.rigor_scores(papers(spark))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
