@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quirewright.config import Settings
 from quirewright.operators import analyses
-from quirewright.operators.models import Completer, Embedder
+from quirewright.operators.models import Completer, Embedder, HeuristicCompleter
 from quirewright.operators.store import VectorStore
 from quirewright.plans.ship import ship
 from quirewright.sources import arxiv, papers
@@ -69,6 +71,22 @@ class Library:
     def rigor(self, rows: DataFrame) -> DataFrame:
         return analyses.rigor_scores(rows, self.completer)
 
+    def chat(self, messages: list[dict]) -> dict:
+        """One reply to a conversation of any length: content, model and token counts (0 where unknown)."""
+        completer = self.completer or HeuristicCompleter()
+        r = completer.complete(messages)
+        p, c = r.get("prompt_tokens") or 0, r.get("completion_tokens") or 0
+        return {"content": r["content"], "model": completer.name, "prompt_tokens": p, "completion_tokens": c, "total_tokens": p + c}
+
+    def generate(self, prompt: str, system: str | None = None) -> dict:
+        return self.chat([*([{"role": "system", "content": system}] if system is not None else []), {"role": "user", "content": prompt}])
+
+    def stream(self, prompt: str, system: str | None = None) -> Iterator[str]:
+        """The reply in pieces; whole at once where the completer can't stream."""
+        messages = [*([{"role": "system", "content": system}] if system is not None else []), {"role": "user", "content": prompt}]
+        completer = self.completer or HeuristicCompleter()
+        yield from completer.stream(messages) if hasattr(completer, "stream") else [completer.complete(messages)["content"]]
+
     def ask(self, question: str, n: int = 5) -> DataFrame:
         return analyses.ask(self.search(question, n), "rag_query", {"question": question}, completer=self.completer)
 

@@ -117,6 +117,18 @@ class HttpModel:
         r = self._post("/api/chat", {"model": self.name, "messages": messages, "stream": False, "options": options})
         return {"content": r["message"]["content"], "prompt_tokens": r.get("prompt_eval_count", 0), "completion_tokens": r.get("eval_count", 0)}
 
+    def stream(self, messages: list[dict]) -> Iterator[str]:
+        """The reply in pieces, as the server sends them; on the driver only."""
+        body = {"model": self.name, "messages": messages, "stream": True, "options": {"temperature": self.temperature, "num_ctx": self.context_length}}
+        request = urllib.request.Request(self.host.rstrip("/") + "/api/chat", json.dumps(body).encode(), {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+            for line in reply:
+                piece = json.loads(line)
+                if text := piece.get("message", {}).get("content"):
+                    yield text
+                if piece.get("done"):
+                    return
+
     def info(self) -> dict | None:
         """What the server knows of the model; None on any error."""
         try:

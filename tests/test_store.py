@@ -106,6 +106,8 @@ def test_library_and_cli(spark, tmp_path, capsys):
     assert run([*base, "remove", "nothing"], spark) == 1
     library = Library(spark, str(tmp_path / "s"))
     assert library.ask("Where are herons?").head()["model_used"] == "offline-heuristic"
+    assert "".join(library.stream("One. Two.")).split() == library.generate("One. Two.", "sys")["content"].split()
+    assert library.chat([{"role": "user", "content": "Hi there."}])["total_tokens"] > 0
     assert library.remove("HERON") == 4
     assert run([*base, "add", str(tmp_path / "none.pdf")], spark) == 1
     assert run([*base, "config"], spark) == 0
@@ -136,3 +138,46 @@ def test_arrivals(spark, tmp_path):
     q = arrivals(stream, "ts", "kind").writeStream.format("memory").queryName("arrived").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r["kind"], r["n"]) for r in spark.table("arrived").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_http_model():
+    """Against a small server of our own."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from quirewright.operators.models import HttpModel
+
+    class Handler(BaseHTTPRequestHandler):
+        def log_message(self, *_):
+            pass
+
+        def _send(self, *parts):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write("\n".join(json.dumps(p) for p in parts).encode())
+
+        def do_GET(self):
+            self._send({"models": [{"name": "m:latest"}]})
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if self.path == "/api/embed":
+                self._send({"embeddings": [[float(len(t))] for t in body["input"]]})
+            elif body.get("stream"):
+                self._send({"message": {"content": "a "}}, {"message": {"content": "b"}, "done": True})
+            elif self.path == "/api/chat":
+                self._send({"message": {"content": "reply"}, "eval_count": 2})
+            else:
+                self._send({"name": body["model"]})
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        m = HttpModel(f"http://127.0.0.1:{server.server_port}", "m:7b")
+        assert m.embed(["ab", "c"]) == [[2.0], [1.0]] and m.is_available() and m.info() == {"name": "m:7b"}
+        assert m.complete([{"role": "user", "content": "x"}]) == {"content": "reply", "prompt_tokens": 0, "completion_tokens": 2}
+        assert list(m.stream([{"role": "user", "content": "x"}])) == ["a ", "b"]
+    finally:
+        server.shutdown()
+    assert not HttpModel("http://127.0.0.1:9", "m", timeout=1).is_available() and HttpModel("http://127.0.0.1:9", "m", timeout=1).info() is None
