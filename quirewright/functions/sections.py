@@ -34,7 +34,8 @@ HEADERS = [
     r"^appendix\s*",
     r"^supplementary\s+materials?\s*$",
 ]
-HEADER = "(?imdU)" + "|".join(HEADERS)
+# All begin at a line's start, which is so tested once per place.
+HEADER = "(?imdU)^(?:" + "|".join(h.removeprefix("^") for h in HEADERS) + ")"
 
 #: How an abstract is introduced and ended.
 ABSTRACT_AFTER_HEADER = r"(?isdU)(?:^|\n)\s*abstract[:\s]*\n(.*?)(?=\n\s*(?:introduction|keywords?|1[\.\s]|background)|\n\n\n)"
@@ -53,26 +54,31 @@ def detect_sections(text: Column, include_front_matter: bool = False) -> Column:
     Contents are cleaned; sections without content, and text before the first header unless
     ``include_front_matter``, are left out. Offsets point into the text.
     """
-    heads, pieces = F.regexp_extract_all(text, F.lit(HEADER), 0), F.split(text, HEADER, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    both = F.zip_with(heads, F.slice(pieces, 2, F.size(heads)), lambda h, p: F.struct(F.length(h).alias("h"), F.length(p).alias("p")))
+    # Cut the text once: a lambda's variable is computed once, however often it is used.
+    cut = F.struct(F.regexp_extract_all(text, F.lit(HEADER), 0).alias("heads"), F.split(text, HEADER, -1).alias("pieces"))
+    made = F.get(F.transform(F.array(cut), lambda c: _aligned(c["heads"], c["pieces"], include_front_matter)), F.lit(0))
+    return F.filter(made, lambda s: s["content"] != "")
+
+
+def _aligned(heads: Column, pieces: Column, include_front_matter: bool) -> Column:
+    """The sections of headers and the pieces around them."""
+    after = F.slice(pieces, F.lit(2), F.size(heads))
+    sizes = F.zip_with(heads, after, lambda h, p: F.struct(F.length(h).alias("h"), F.length(p).alias("p")))
     first = F.length(F.get(pieces, F.lit(0)))
+    start = F.struct(first.alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["h"]
-        end = start + x["p"]
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("spans"))
-
-    spans = F.aggregate(both, F.struct(first.alias("at"), zero["spans"].alias("spans")), step, lambda acc: acc["spans"])
-    made = F.zip_with(
-        F.zip_with(heads, F.slice(pieces, 2, F.size(heads)), lambda h, p: F.struct(title_case(h).alias("name"), clean_text(p).alias("content"))),
-        spans,
-        lambda a, s: F.struct(a["name"].alias("name"), a["content"].alias("content"), s["start"].alias("start_pos"), s["end"].alias("end_pos")),
-    )
+        begin = acc["at"] + x["h"]
+        end = begin + x["p"]
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("spans"))
+
+    spans = F.aggregate(sizes, start, step, lambda acc: acc["spans"])
+    named = F.zip_with(heads, after, lambda h, p: F.struct(title_case(h).alias("name"), clean_text(p).alias("content")))
+    made = F.zip_with(named, spans, lambda a, s: F.struct(a["name"].alias("name"), a["content"].alias("content"), s["start"].alias("start_pos"), s["end"].alias("end_pos")))
     if include_front_matter:
         front = F.struct(F.lit("Front Matter").alias("name"), clean_text(F.get(pieces, F.lit(0))).alias("content"), F.lit(0).alias("start_pos"), first.alias("end_pos"))
         made = F.when(F.size(heads) > 0, F.concat(F.array(front), made)).otherwise(made)
-    return F.filter(made, lambda s: s["content"] != "")
+    return made
 
 
 def get_section(sections: Column, name: str) -> Column:
