@@ -109,8 +109,8 @@ def _units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys = np.stack([batch.column("h1").to_numpy(zero_copy_only=False), batch.column("h2").to_numpy(zero_copy_only=False)], axis=1)
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("f4", copy=False)
     x = flat.reshape(len(ids), -1)
-    norm = np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
-    return ids, keys, (x / norm).astype("f4")
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x, dtype="f8")).astype("f4")
+    return ids, keys, x / norm[:, None]
 
 
 def _usable(df: DataFrame, id_col: str, vector_col: str, width: int | None) -> DataFrame:
@@ -297,7 +297,7 @@ def _search(rows: DataFrame, tree: Tree, hot: dict, k: int, min_cosine: float, p
                 ok = keep(ids, keys, dropped)
                 held.append((ids[ok], keys[ok], unit[ok]))
                 n += int(ok.sum())
-            if n >= 16_384:
+            if n >= 8_192:
                 if (r := flush(held)) is not None:
                     yield r
                 held, n = [], 0
