@@ -3,7 +3,8 @@
 Plan. A tree of centroids is fitted on a bounded sample and sent to every task. Each row goes to its
 home leaf and, as a query, to the leaves that a best-bin-first walk reaches next; how many is
 calibrated against exact neighbours of a few probe rows over the whole table. A leaf's rows meet in
-one task, in tiles of bounded size. Copies of one vector form a class: they are searched once and
+one task, in tiles of bounded size; a tile too large for brute force gets a tree of its own, calibrated in
+the same way, so the work per row doesn't follow the leaf's size. Copies of one vector form a class: they are searched once and
 share their neighbours, so a vector that fills a third of the table costs one search.
 
 Best-bin-first. The walk pops the most promising node from a max-heap and pushes its children. A leaf
@@ -37,7 +38,9 @@ class TreeParams:
     branch: int = 16
     max_leaves: int = 4_096
     recall: float = 0.98
-    tile_rows: int = 4_096
+    tile_rows: int = 65_536
+    brute_rows: int = 4_096
+    local_probes: int = 64
     seed: int = 7
 
 
@@ -59,6 +62,54 @@ class Tree:
         return self.keys(unit).argmax(axis=1)
 
 
+@dataclass
+class LocalTree:
+    """A tree over the rows of one tile, with the rows of each leaf."""
+
+    tree: Tree
+    members: list[np.ndarray]
+
+    def visited(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each leaf that some queries reach: these queries, and the leaf's rows."""
+        path = self.tree.keys(queries)
+        visits = min(self.tree.visits, path.shape[1])
+        walk = np.argpartition(-path, visits - 1, axis=1)[:, :visits]
+        for leaf in np.unique(walk):
+            if len(self.members[leaf]):
+                yield np.nonzero((walk == leaf).any(axis=1))[0], self.members[leaf]
+
+
+def _local_tree(unit: np.ndarray, k: int, min_cosine: float, params: "TreeParams") -> LocalTree:
+    """A tree over a tile, fitted on a bounded sample of it and calibrated on exact neighbours of a few of its rows."""
+    leaves = max(2, len(unit) // params.rows_per_leaf)
+    rng = np.random.default_rng(params.seed)
+    tree = fit_tree(unit[rng.choice(len(unit), min(len(unit), 16 * leaves), replace=False)], leaves, params)
+    home = np.concatenate([tree.home(unit[lo : lo + 8_192]) for lo in range(0, len(unit), 8_192)])
+    members = [np.nonzero(home == i)[0] for i in range(len(tree.leaves))]
+    probe = rng.choice(len(unit), min(len(unit), params.local_probes), replace=False)
+    sims = unit[probe] @ unit.T
+    sims[np.arange(len(probe)), probe] = -2
+    near = np.argpartition(-sims, min(k, len(unit) - 1) - 1, axis=1)[:, :k]
+    rank = np.argsort(np.argsort(-tree.keys(unit[probe]), axis=1), axis=1)
+    at, col = np.nonzero(np.take_along_axis(sims, near, axis=1) >= min_cosine)
+    ranks = np.sort(rank[at, home[near[at, col]]])
+    share = (1 + params.recall) / 2
+    tree.visits = 2 if not len(ranks) else int(ranks[min(len(ranks) - 1, math.ceil(share * len(ranks)) - 1)]) + 1
+    return LocalTree(tree, members)
+
+
+def _nearest(qk: np.ndarray, qu: np.ndarray, keys: np.ndarray, ids: np.ndarray, unit: np.ndarray, k: int, min_cosine: float, cols: dict[str, list]) -> None:
+    """Append the k nearest classes of each query by brute force."""
+    sims = np.round((qu @ unit.T).astype("f8"), 5)
+    sims[(qk[:, None, 0] == keys[None, :, 0]) & (qk[:, None, 1] == keys[None, :, 1])] = -2
+    m = min(k, len(keys))
+    # Ties at the k-th place all stay; the smaller id wins when lists are merged.
+    edge = np.partition(sims, -m, axis=1)[:, -m]
+    q, i = np.nonzero((sims >= np.maximum(edge, min_cosine)[:, None]) & (sims > -2))
+    for n, v in (("q1", qk[q, 0]), ("q2", qk[q, 1]), ("h1", keys[i, 0]), ("h2", keys[i, 1]), ("first_id", ids[i]), ("cosine", sims[q, i])):
+        cols[n].append(v)
+
+
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     """Spherical k-means; empty centres are dropped."""
     centres = x[rng.choice(len(x), size=min(k, len(x)), replace=False)].copy()
@@ -317,19 +368,14 @@ def _search(rows: DataFrame, tree: Tree, hot: dict, k: int, min_cosine: float, p
             first = np.ones(len(keys), bool)
             first[1:] = (keys[1:] != keys[:-1]).any(axis=1)
             keys, ids, unit = keys[first], ids[first], unit[first]
+            sub = _local_tree(unit, k, min_cosine, params) if len(unit) > params.brute_rows else None
             queries = [(keys, unit)] + [(p[0], p[2], p[3]) for p in parts[True]]
             for part in queries:
                 qk, qu = part if len(part) == 2 else (part[0], _unpack(part[1], part[2]))
                 for lo in range(0, len(qk), 2_048):
-                    sims = np.round((qu[lo : lo + 2_048] @ unit.T).astype("f8"), 5)
-                    own = qk[lo : lo + 2_048]
-                    sims[(own[:, None, 0] == keys[None, :, 0]) & (own[:, None, 1] == keys[None, :, 1])] = -2
-                    m = min(k, len(keys))
-                    # Ties at the k-th place all stay; the smaller id wins when lists are merged.
-                    edge = np.partition(sims, -m, axis=1)[:, -m]
-                    q, i = np.nonzero((sims >= np.maximum(edge, min_cosine)[:, None]) & (sims > -2))
-                    for n, v in (("q1", own[q, 0]), ("q2", own[q, 1]), ("h1", keys[i, 0]), ("h2", keys[i, 1]), ("first_id", ids[i]), ("cosine", sims[q, i])):
-                        cols[n].append(v)
+                    own, mine = qk[lo : lo + 2_048], qu[lo : lo + 2_048]
+                    for rows_, members in [(slice(None), slice(None))] if sub is None else sub.visited(mine):
+                        _nearest(own[rows_], mine[rows_], keys[members], ids[members], unit[members], k, min_cosine, cols)
         types = {"cosine": pa.float64()}
         return pa.table({n: pa.array(np.concatenate(v) if v else [], types.get(n, pa.int64())) for n, v in cols.items()})
 

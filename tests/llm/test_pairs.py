@@ -48,6 +48,15 @@ def test_neighbours_against_brute_force(spark):
     assert len(found & full) >= 0.9 * len(full)
 
 
+def test_trees_within_tiles(spark):
+    x = vectors(1500, seed=4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row long, vec array<float>")
+    params = TreeParams(rows_per_leaf=40, max_leaves=3, brute_rows=60, tile_rows=400, probes=60)
+    got = {tuple(r) for r in neighbours.neighbour_pairs(df, "row", "vec", 5, 0.8, params).collect()}
+    want = brute(list(range(1500)), x, 5, 0.8)
+    assert len(got & want) >= 0.96 * len(want) and len(got - want) <= 0.04 * len(want)
+
+
 def test_a_hot_vector(spark):
     x = vectors(300)
     x[100:250] = x[7]
