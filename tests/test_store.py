@@ -181,3 +181,15 @@ def test_http_model():
     finally:
         server.shutdown()
     assert not HttpModel("http://127.0.0.1:9", "m", timeout=1).is_available() and HttpModel("http://127.0.0.1:9", "m", timeout=1).info() is None
+
+
+def test_tables_in_the_shared_folder(spark, tmp_path):
+    from quirewright.plans.storage import materialise, release, shared_dir
+
+    folder = shared_dir(spark)
+    assert folder.rstrip("/") == folder
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    assert configured is None or folder == configured.rstrip("/")
+    df = materialise(spark.range(5), "five")
+    assert df.count() == 5 and folder.removeprefix("file://") + "/tables/five-" in df.inputFiles()[0]
+    assert release(spark) >= 1 and release(spark) == 0
