@@ -28,6 +28,9 @@ def spark():
 
     ship(s)
     yield s
+    from quirewright.plans.storage import release
+
+    release(s)
     s.stop()
 
 
