@@ -164,6 +164,13 @@ def _units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, keys, x / norm[:, None]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2_048) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, as each becomes several matrices."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def _usable(df: DataFrame, id_col: str, vector_col: str, width: int | None) -> DataFrame:
     """Rows that take part: a vector of the common width, without null or NaN, not all zero."""
     v = F.col("vector")
@@ -227,7 +234,7 @@ def _fit(rows: DataFrame, n_classes: int, params: TreeParams) -> Tree:
     sample = rows.where(F.pmod("h2", F.lit(step)) == 0)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             if b.num_rows:
                 _, keys, unit = _units(b)
                 keep = np.unique(keys[:, 1], return_index=True)[1]
@@ -260,13 +267,13 @@ def _calibrate(rows: DataFrame, tree: Tree, k: int, min_cosine: float, n_classes
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, p, mine = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _slices(batches):
             _, keys, unit = _units(b)
             sims = unit @ p.T
             sims[keys[:, :1] == mine[None, :]] = -2
-            q, i = np.nonzero(np.vstack([(sims >= max(min_cosine, np.partition(sims, -min(k, len(sims)), axis=0)[-min(k, len(sims))].min())).T]))
+            m = min(k, len(sims))
+            edge = np.maximum(np.partition(sims, -m, axis=0)[-m], min_cosine)
+            q, i = np.nonzero((sims >= edge[None, :]).T)
             leaf = t.home(unit[i]) if len(i) else np.array([], int)
             yield pa.RecordBatch.from_pydict({"q": pa.array(q, pa.int32()), "h": pa.array(keys[i, 0], pa.int64()), "s": pa.array(sims[i, q].astype("f8")), "leaf": pa.array(leaf, pa.int32())})
 
@@ -297,7 +304,7 @@ def _search(rows: DataFrame, tree: Tree, hot: dict, k: int, min_cosine: float, p
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, dropped = shared.value
-        for b in batches:
+        for b in _slices(batches):
             if b.num_rows:
                 ids, keys, unit = _units(b)
                 ok = keep(ids, keys, dropped)
@@ -342,7 +349,7 @@ def _search(rows: DataFrame, tree: Tree, hot: dict, k: int, min_cosine: float, p
             return write(got) if got else None
 
         held, n = [], 0
-        for b in batches:
+        for b in _slices(batches):
             if b.num_rows:
                 ids, keys, unit = _units(b)
                 ok = keep(ids, keys, dropped)
