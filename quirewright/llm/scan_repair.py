@@ -3,8 +3,8 @@
 Plan. Document frequencies of words are counted over all papers. Words of scanned pages that the
 other papers don't know meet correction candidates through an inverted join of character trigrams
 (each word asks with its rarest trigrams only), and boosted trees rank the candidates. Two more
-boosted models look at pairs of lines: whether a line is furniture, and whether a word broken at its
-end continues on the next line. All three are trained on the driver on a bounded sample of clean
+boosted models look at pairs of lines: whether a line is furniture, and then whether a word broken at
+its end continues on the next line that isn't, however much furniture stands between. All three are trained on the driver on a bounded sample of clean
 papers that is wrapped, hyphenated, misread and paginated artificially and goes through the very same
 joins; their number is ``RepairParams.train_papers``.
 """
@@ -61,6 +61,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _VOLUME = re.compile(r"\(\d{4}\)$|[Vv]ol\.? ?\d+")
 _EQUATION = re.compile(r"\(\d+(?:\.\d+)?\)")
 _HEAD = re.compile(r"\s*([^\W_][\w@!|ﬁﬂ]*)")
+_HALF = re.compile(r"\s*[^\W\d_]+(?=\W|$)")
 
 
 def _broken(line: str) -> re.Match | None:
@@ -105,48 +106,45 @@ def edit_distance(a: str, b: str, most: int = 3) -> int:
 # ---------------------------------------------------------------- lines and their words
 
 
-def _continuation(lines: list[str], i: int, skip: int = 6) -> list[int]:
-    """The lines that may continue line i: the next ones that aren't blank, past possible furniture."""
-    out = []
-    for j in range(i + 1, min(len(lines), i + 1 + skip)):
-        if lines[j].strip():
-            out.append(j)
-        if len(out) == 3:
-            break
-    return out
+def _continuation(lines: list[str], i: int, furniture: np.ndarray | None = None) -> int:
+    """The line that may continue line i: the next one that is neither blank nor furniture; -1 if none."""
+    for j in range(i + 1, len(lines)):
+        if lines[j].strip() and (furniture is None or not furniture[j]):
+            return j
+    return -1
 
 
 def words_of(text: str, familiar: frozenset[str] = frozenset()) -> list[tuple[int, str, str]]:
-    """(line, role, word) of a unit, without familiar whole words: w a word; L, R, J, C the halves, the joined and the hyphenated form of a broken word, where R0.. name the candidate lines."""
-    lines = text.split("\n")
+    """(line, role, word) of a unit, without familiar and broken words; role h: a line's first word, which may be the half of a broken one; w: the others."""
     out = []
-    halves = set()
-    for i, line in enumerate(lines):
+    for i, line in enumerate(text.split("\n")):
         broken = _broken(line)
         body = line[: broken.start(1)] if broken else line
-        if i in halves:
-            # The half of a broken word is judged with its other half.
-            half = re.match(r"\s*[^\W\d_]+(?=\W|$)", body)
-            body = body[half.end() :] if half else body
-        if broken:
-            halves.update(_continuation(lines, i)[:1])
-        for chunk in body.split():
+        head = bool(_HALF.match(body))
+        for n, chunk in enumerate(body.split()):
             if "/" in chunk or "@" in chunk and "." in chunk or chunk.startswith("www."):
                 continue
             bare = chunk.strip(_MARKS)
-            for part in _DASHES.split(bare) if _DASHES.search(bare) else (bare,):
+            for k, part in enumerate(_DASHES.split(bare) if _DASHES.search(bare) else (bare,)):
                 if part.lower() in familiar:
                     continue
                 m = _TOKEN.fullmatch(part)
                 if m and len(part) >= 3 and (part.isalpha() or sum(map(str.isalpha, part)) >= 2):
-                    out.append((i, "w", part))
+                    out.append((i, "h" if head and n == k == 0 else "w", part))
+    return out
+
+
+def breaks_of(lines: list[str], furniture: np.ndarray) -> list[tuple[int, str, str]]:
+    """(line, role, word) of broken words outside furniture: L and R the halves, J and C the joined and the hyphenated form."""
+    out = []
+    for i, line in enumerate(lines):
+        broken = None if furniture[i] else _broken(line)
         if broken:
             left = broken.group(1)
             out.append((i, "L", left))
-            for k, j in enumerate(_continuation(lines, i)):
-                right = _HEAD.match(lines[j])
-                if right:
-                    out += [(i, f"R{k}", right.group(1)), (i, f"J{k}", left + right.group(1)), (i, f"C{k}", f"{left}-{right.group(1)}")]
+            right = _HEAD.match(lines[j]) if (j := _continuation(lines, i, furniture)) >= 0 else None
+            if right:
+                out += [(i, "R", right.group(1)), (i, "J", left + right.group(1)), (i, "C", f"{left}-{right.group(1)}")]
     return out
 
 
@@ -374,44 +372,29 @@ def _line_features(lines: list[str], title: str, shapes: list[int], known: list[
     return np.array(out) if out else np.zeros((0, 38))
 
 
-def _break_features(line: str, facts: dict, k: int) -> list[float]:
-    """A broken word and its k-th candidate line: how well known halves, joined and hyphenated forms are."""
+def _break_features(line: str, facts: dict) -> list[float]:
+    """A broken word and the line that may continue it: how well known halves, joined and hyphenated forms are."""
     mark = _broken(line).group(2)
     f = lambda role: facts.get(role, ("", 0, 0.0))
-    left, right, joined, compound = f("L"), f(f"R{k}"), f(f"J{k}"), f(f"C{k}")
+    left, right, joined, compound = f("L"), f("R"), f("J"), f("C")
     log = lambda t: float(np.log1p(max(0, t[1])))
     return [float("-‐‑¬\xad".find(mark)), log(left), log(right), log(joined), log(compound), joined[2], left[2], right[2], float(len(left[0])), float(len(right[0])), float(right[0][:1].islower()), float(line.endswith(" "))]
 
 
-def _facts(entries: list[dict], lines: list[str]) -> tuple[list[tuple[int, int]], dict[int, dict], dict[int, list]]:
-    """Known and unknown words per line, the facts of broken words, and the scored words of each line; known words have no entry."""
+def _known(entries: list[dict], lines: list[str]) -> list[tuple[int, int]]:
+    """Known and unknown words per line; known words have no entry, and what may be the half of a broken word doesn't count as unknown."""
     known = [[len(x.split()), 0] for x in lines]
-    broken: dict[int, dict] = {}
-    scored: dict[int, list] = {}
+    halves = {_continuation(lines, i) for i, x in enumerate(lines) if _broken(x)}
     for e in entries:
-        i, role = e["line"], e["role"]
-        if role == "w":
+        i = e["line"]
+        if e["role"] == "w" or i not in halves:
             known[i][0] -= 1
             known[i][1] += 1
-            if e["score"] is not None:
-                scored.setdefault(i, []).append((e["word"], e["best"], e["score"]))
-        else:
-            broken.setdefault(i, {})[role] = (e["word"], e["df"], e["score"] or 0.0, e["best"])
-    return [(max(0, a), b) for a, b in known], {i: {r: v[:3] for r, v in d.items()} | {"best": {r: v[3] for r, v in d.items()}} for i, d in broken.items()}, scored
-
-
-def _next_content(lines: list[str], i: int, furniture: np.ndarray) -> int:
-    """Which of line i's candidate lines is the first that isn't furniture; -1 if none."""
-    for k, j in enumerate(_continuation(lines, i)):
-        if not furniture[j]:
-            return k
-    return -1
+    return [(max(0, a), b) for a, b in known]
 
 
 @dataclass
 class Models:
-    furniture: Boosted
-    furniture_cut: float
     breaks: Boosted
     break_cut: float
     misread_cut: float
@@ -419,44 +402,55 @@ class Models:
 
 @dataclass
 class Unit:
-    """A unit's lines with all that the models need."""
+    """A unit's lines, which of them are furniture, the facts of its broken words, and the scored words and first words of its lines."""
 
     lines: list[str]
-    x: np.ndarray
+    furniture: np.ndarray
     broken: dict[int, dict]
     scored: dict[int, list]
+    heads: dict[int, tuple]
 
 
-def _unit(text: str, title: str, entries: list[dict], shapes: list[int]) -> Unit:
+def _unit(text: str, furniture: list[int], entries: list[dict]) -> Unit:
     lines = text.split("\n")
-    known, broken, scored = _facts(entries, lines)
-    return Unit(lines, _line_features(lines, title, shapes, known), broken, scored)
+    u = Unit(lines, np.isin(np.arange(len(lines)), furniture), {}, {}, {})
+    for e in entries:
+        i, role = e["line"], e["role"]
+        if role in "wh":
+            if e["score"] is not None:
+                scored = (e["word"], e["best"], e["score"])
+                u.scored.setdefault(i, []).append(scored) if role == "w" else u.heads.update({i: scored})
+        else:
+            facts = u.broken.setdefault(i, {"best": {}})
+            facts[role] = (e["word"], e["df"], e["score"] or 0.0)
+            facts["best"][role] = e["best"]
+    return u
 
 
 def judge(units: list[Unit], models: Models) -> list[tuple[list[tuple[int, str]], str]]:
-    """For each unit the (line from 1, kind) that need repair, and the repaired text. Each model is asked once for all units."""
-    ends = np.cumsum([len(u.x) for u in units])
-    p = np.split(models.furniture.predict(np.concatenate([u.x for u in units])), ends[:-1])
-    furniture = [(q >= models.furniture_cut) & np.array([bool(s.strip()) for s in u.lines]) for q, u in zip(p, units)]
+    """For each unit the (line from 1, kind) that need repair, and the repaired text. The model is asked once for all units."""
     asked, features = [], []
     for n, u in enumerate(units):
         for i, facts in u.broken.items():
-            if furniture[n][i]:
-                continue
-            k = _next_content(u.lines, i, furniture[n])
-            if k >= 0 and f"J{k}" in facts and (facts[f"R{k}"][0][0].islower() or facts["L"][0].isupper()):
-                asked.append((n, i, k))
-                features.append(_break_features(u.lines[i], facts, k))
+            if "J" in facts and (facts["R"][0][0].islower() or facts["L"][0].isupper()):
+                asked.append((n, i))
+                features.append(_break_features(u.lines[i], facts))
     joined = models.breaks.predict(np.array(features)) >= models.break_cut if features else []
     joins: list[dict[int, int]] = [{} for _ in units]
-    for (n, i, k), yes in zip(asked, joined):
+    for (n, i), yes in zip(asked, joined):
         if yes:
-            joins[n][i] = k
-    return [_repaired_unit(u, f, j, models.misread_cut) for u, f, j in zip(units, furniture, joins)]
-
-
-def _repaired_unit(u: Unit, furniture: np.ndarray, continued: dict[int, int], cut: float) -> tuple[list[tuple[int, str]], str]:
-    lines, broken, scored = u.lines, u.broken, u.scored
+            joins[n][i] = _continuation(units[n].lines, i, units[n].furniture)
+    return [_repaired_unit(u, j, models.misread_cut) for u, j in zip(units, joins)]
+
+
+def _repaired_unit(u: Unit, continued: dict[int, int], cut: float) -> tuple[list[tuple[int, str]], str]:
+    lines, furniture, broken = u.lines, u.furniture, u.broken
+    # The half of a broken word is judged with its other half.
+    halves = {_continuation(lines, i, furniture) for i in broken}
+    scored = {i: list(s) for i, s in u.scored.items()}
+    for i, head in u.heads.items():
+        if i not in halves:
+            scored.setdefault(i, []).append(head)
     found: list[tuple[int, str]] = []
     joins: dict[int, tuple[int, str]] = {}
     for i in range(len(lines)):
@@ -464,11 +458,10 @@ def _repaired_unit(u: Unit, furniture: np.ndarray, continued: dict[int, int], cu
             found.append((i + 1, "furniture"))
             continue
         if i in continued:
-            k = continued[i]
             found.append((i + 1, "hyphen"))
-            joined = broken[i][f"J{k}"]
-            best = broken[i]["best"].get(f"J{k}") if joined[1] <= 0 and joined[2] >= cut else None
-            joins[i] = (_continuation(lines, i)[k], best or joined[0])
+            joined = broken[i]["J"]
+            best = broken[i]["best"].get("J") if joined[1] <= 0 and joined[2] >= cut else None
+            joins[i] = (continued[i], best or joined[0])
             if best:
                 at_left = not best.startswith(broken[i]["L"][0].lower())
                 found.append((i + 1 if at_left else joins[i][0] + 1, "misread"))
@@ -550,22 +543,50 @@ def repair(units: DataFrame, papers: DataFrame, params: RepairParams = RepairPar
                 yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.string()))], names=["paper_id", "section_idx", "train", "line", "role", "word"])
 
     spelled = materialise(every.select("paper_id", "section_idx", "text", "train").mapInArrow(spell, "paper_id long, section_idx int, train boolean, line int, role string, word string"), "scanned-words")
-    words = spelled.where(F.col("role") != "s")
+
     # A training text's own paper doesn't count among those that know its words.
-    status = words.select("word", "train").distinct().withColumn("low", F.lower("word")).join(known.withColumnRenamed("word", "low"), "low", "left")
-    status = materialise(status.select("word", "train", (F.coalesce("df", F.lit(0)) - F.col("train").cast("int")).cast("int").alias("df")), "word-status")
-    unknown = status.where((F.col("df") <= 0) & ~F.contains("word", F.lit("-")) & (F.length("word") >= 3)).select("word", "train")
-    fixes, cut = _corrections(unknown, known, truth, params)
-    looked = status.join(fixes, ["word", "train"], "left")
-    shapes = spelled.where(F.col("role") == "s").groupBy("word", "train").agg(F.count_distinct("paper_id").cast("int").alias("df"))
-    shapes = shapes.select("word", "train", "df", F.lit(None).cast("string").alias("best"), F.lit(None).cast("double").alias("score"), F.lit(True).alias("shape"))
-    looked = looked.withColumn("shape", F.lit(False)).unionByName(shapes.select(*looked.columns, "shape"))
+    def standing(words: DataFrame) -> DataFrame:
+        status = words.select("word", "train").distinct().withColumn("low", F.lower("word")).join(known.withColumnRenamed("word", "low"), "low", "left")
+        return status.select("word", "train", (F.coalesce("df", F.lit(0)) - F.col("train").cast("int")).cast("int").alias("df"))
+
+    shapes = spelled.where(F.col("role") == "s").groupBy("word", "train").agg(F.count_distinct("paper_id").cast("int").alias("df")).withColumn("shape", F.lit(True))
+    looked = standing(spelled.where(F.col("role") != "s")).where(F.col("df") <= 0).withColumn("shape", F.lit(False)).unionByName(shapes)
     marked = spelled.withColumn("shape", F.col("role") == "s").join(looked, ["word", "train", "shape"])
-    marked = marked.where((F.col("role") != "w") | (F.col("df") <= 0))
-    entries = marked.groupBy("paper_id", "section_idx").agg(F.collect_list(F.struct("line", "role", "word", "df", "best", "score")).alias("entries"))
+    entries = marked.groupBy("paper_id", "section_idx").agg(F.collect_list(F.struct("line", "role", "word", "df")).alias("entries"))
     described = materialise(every.join(entries, ["paper_id", "section_idx"], "left"), "described-units")
 
-    models = _train_lines(described.where("train").collect(), labels, cut)
+    # Furniture first: it decides which line continues a broken word. Training units have their own labels.
+    lined = spark.sparkContext.broadcast((*_train_furniture(described.where("train").collect(), labels), {n: sorted(done["furniture"]) for n, done in labels.items()}))
+    word = pa.list_(pa.struct([("line", pa.int32()), ("role", pa.string()), ("word", pa.string())]))
+    fields = pa.schema([("paper_id", pa.int64()), ("section_idx", pa.int32()), ("text", pa.string()), ("train", pa.bool_()), ("furniture", pa.list_(pa.int32())), ("words", word)])
+
+    def line_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, least, labelled = lined.value
+        for b in batches:
+            for lo in range(0, b.num_rows, 128):
+                rows = b.slice(lo, 128).to_pylist()
+                split = [_split_entries(r["entries"], r["text"]) for r in rows]
+                lines = [r["text"].split("\n") for r in rows]
+                x = [_line_features(ls, r["title"], shapes, _known(words, ls)) for r, ls, (words, shapes) in zip(rows, lines, split)]
+                p = np.split(model.predict(np.concatenate(x)), np.cumsum([len(q) for q in x])[:-1])
+                out = []
+                for r, ls, (words, _), q in zip(rows, lines, split, p):
+                    at = labelled[r["paper_id"]] if r["train"] else [i for i in np.flatnonzero(q >= least).tolist() if ls[i].strip()]
+                    breaks = breaks_of(ls, np.isin(np.arange(len(ls)), at))
+                    words = [{k: e[k] for k in ("line", "role", "word")} for e in words] + [{"line": i, "role": role, "word": w} for i, role, w in breaks]
+                    out.append({k: r[k] for k in ("paper_id", "section_idx", "text", "train")} | {"furniture": at, "words": words})
+                yield pa.RecordBatch.from_pylist(out, schema=fields)
+
+    parted = materialise(described.mapInArrow(line_up, "paper_id long, section_idx int, text string, train boolean, furniture array<int>, words array<struct<line:int,role:string,word:string>>"), "lined-units")
+    pieces = parted.select("paper_id", "section_idx", "train", F.inline("words"))
+    status = materialise(standing(pieces), "word-status")
+    unknown = status.where((F.col("df") <= 0) & ~F.contains("word", F.lit("-")) & (F.length("word") >= 3)).select("word", "train")
+    fixes, cut = _corrections(unknown, known, truth, params)
+    scored = pieces.join(status.join(fixes, ["word", "train"], "left"), ["word", "train"])
+    entries = scored.groupBy("paper_id", "section_idx").agg(F.collect_list(F.struct("line", "role", "word", "df", "best", "score")).alias("entries"))
+    judged = materialise(parted.drop("words").join(entries, ["paper_id", "section_idx"], "left"), "scored-units")
+
+    models = Models(*_train_breaks(judged.where("train").collect(), labels), cut)
     shared = spark.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -573,14 +594,14 @@ def repair(units: DataFrame, papers: DataFrame, params: RepairParams = RepairPar
             out = []
             for lo in range(0, b.num_rows, 128):
                 part = b.slice(lo, 128)
-                ids, idx, titles, texts, entries = (part.column(n).to_pylist() for n in ("paper_id", "section_idx", "title", "text", "entries"))
-                units = [_unit(t, title, *_split_entries(e, t)) for t, title, e in zip(texts, titles, entries)]
+                ids, idx, texts, furniture, entries = (part.column(n).to_pylist() for n in ("paper_id", "section_idx", "text", "furniture", "entries"))
+                units = [_unit(t, f, e or []) for t, f, e in zip(texts, furniture, entries)]
                 for p, s, (found, text) in zip(ids, idx, judge(units, shared.value)):
                     out.append({"paper_id": p, "section_idx": s, "found": [{"line": i, "kind": k} for i, k in found], "text": text})
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("paper_id", pa.int64()), ("section_idx", pa.int32()), ("found", pa.list_(pa.struct([("line", pa.int32()), ("kind", pa.string())]))), ("text", pa.string())]))
 
-    return described.where(~F.col("train")).select("paper_id", "section_idx", "title", "text", "entries").mapInArrow(run, schema)
+    return judged.where(~F.col("train")).select("paper_id", "section_idx", "text", "furniture", "entries").mapInArrow(run, schema)
 
 
 def _split_entries(entries: list | None, text: str) -> tuple[list, list[int]]:
@@ -595,36 +616,37 @@ def _split_entries(entries: list | None, text: str) -> tuple[list, list[int]]:
     return words, shapes
 
 
-def _train_lines(units: list, labels: dict, cut: float) -> Models:
-    """Both line models, from the training units; every third unit is held out for the thresholds."""
-    lx, ly, lh, bx, by, bh = [], [], [], [], [], []
+def _fit(x: list, y: list, held: list) -> tuple[Boosted, float]:
+    """A model of lines and its threshold, from the part held out."""
+    x, y, held = np.array(x), np.array(y), np.array(held, bool)
+    if len(y) < 20 or len(set(y)) < 2:
+        return Boosted(trees=0), 2.0
+    model = Boosted(trees=50, depth=4).fit(x[~held], y[~held])
+    return model, min(0.7, calibrate(model.predict(x[held]), y[held], 0.85)) if held.any() and y[held].any() else 0.5
+
+
+def _train_furniture(units: list, labels: dict) -> tuple[Boosted, float]:
+    """The model of furniture, from the training units; every third unit is held out for the threshold."""
+    x, y, held = [], [], []
     for u in units:
         done, lines = labels[u["paper_id"]], u["text"].split("\n")
         words, shapes = _split_entries([e.asDict() for e in u["entries"] or []], u["text"])
-        known, broken, _ = _facts(words, lines)
-        x = _line_features(lines, u["title"], shapes, known)
-        held = u["paper_id"] % 3 == 0
-        for i, row in enumerate(x):
+        for i, row in enumerate(_line_features(lines, u["title"], shapes, _known(words, lines))):
             if lines[i].strip():
-                lx.append(row)
-                ly.append(float(i in done["furniture"]))
-                lh.append(held)
-        furniture = np.array([i in done["furniture"] for i in range(len(lines))])
-        for i, facts in broken.items():
-            k = _next_content(lines, i, furniture)
-            if furniture[i] or k < 0:
-                continue
-            bx.append(_break_features(lines[i], facts, k))
-            by.append(float(i in done["hyphen"]))
-            bh.append(held)
-
-    def fit(x: list, y: list, held: list) -> tuple[Boosted, float]:
-        x, y, held = np.array(x), np.array(y), np.array(held, bool)
-        if len(y) < 20 or len(set(y)) < 2:
-            return Boosted(trees=0), 2.0
-        model = Boosted(trees=50, depth=4).fit(x[~held], y[~held])
-        return model, calibrate(model.predict(x[held]), y[held], 0.85) if held.any() and y[held].any() else 0.5
-
-    f, fc = fit(lx, ly, lh)
-    b, bc = fit(bx, by, bh)
-    return Models(f, min(fc, 0.7), b, min(bc, 0.7), cut)
+                x.append(row)
+                y.append(float(i in done["furniture"]))
+                held.append(u["paper_id"] % 3 == 0)
+    return _fit(x, y, held)
+
+
+def _train_breaks(units: list, labels: dict) -> tuple[Boosted, float]:
+    """The model of broken words, in the same way."""
+    x, y, held = [], [], []
+    for u in units:
+        unit = _unit(u["text"], u["furniture"], [e.asDict() for e in u["entries"] or []])
+        for i, facts in unit.broken.items():
+            if "J" in facts:
+                x.append(_break_features(unit.lines[i], facts))
+                y.append(float(i in labels[u["paper_id"]]["hyphen"]))
+                held.append(u["paper_id"] % 3 == 0)
+    return _fit(x, y, held)

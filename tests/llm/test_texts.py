@@ -231,3 +231,15 @@ def test_repair(spark):
     assert hit >= 0.85 * said and hit >= 0.8 * true
     assert scan_repair.repair(units.limit(0), every).count() == 0
     assert scan_repair.repair(units, every.where("scanned")).count() == 0
+
+
+@pytest.mark.parametrize("between", [0, 3, 8])
+def test_broken_word_around_much_furniture(between):
+    lines = ["The design was a blin-", "", *["Page 164", "Vol. 29, No. 3"] * between, "", "ded trial of membranes."]
+    furniture = [i for i, x in enumerate(lines) if x[:1] in "PV" and x]
+    words = scan_repair.breaks_of(lines, np.isin(np.arange(len(lines)), furniture))
+    assert words == [(0, "L", "blin"), (0, "R", "ded"), (0, "J", "blinded"), (0, "C", "blin-ded")]
+    entries = [{"line": i, "role": k, "word": w, "df": int(k == "J"), "best": None, "score": None} for i, k, w in words]
+    models = scan_repair.Models(Boosted(trees=0, base=5.0), 0.5, 0.5)
+    found, text = scan_repair.judge([scan_repair._unit("\n".join(lines), furniture, entries)], models)[0]
+    assert (1, "hyphen") in found and len(found) == 1 + 2 * between and text.replace("\n\n", " ") == "The design was a blinded trial of membranes."
