@@ -1,8 +1,8 @@
 """Repair of text from scanned pages: broken words, misread characters, running headers and page numbers.
 
 Plan. Document frequencies of words are counted over all papers. Words of scanned pages that the
-other papers don't know meet correction candidates through an inverted join of character trigrams
-(each word asks with its rarest trigrams only), and boosted trees rank the candidates. Two more
+other papers don't know meet all correction candidates within the edit distance, and all that look alike,
+through an inverted join of keys that no such pair can miss, and boosted trees rank the candidates. Two more
 boosted models look at pairs of lines: whether a line is furniture, and then whether a word broken at
 its end continues on the next line that isn't, however much furniture stands between. All three are trained on the driver on a bounded sample of clean
 papers that is wrapped, hyphenated, misread and paginated artificially and goes through the very same
@@ -19,9 +19,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quirewright.llm.boosting import Boosted, calibrate
 from quirewright.plans.storage import materialise
@@ -29,14 +28,13 @@ from quirewright.plans.storage import materialise
 
 @dataclass(frozen=True)
 class RepairParams:
-    """train_papers: clean papers used as training text; common: papers that must know a candidate; rarest: trigrams by which a word asks.
+    """train_papers: clean papers used as training text; common: papers that must know a candidate.
 
     familiar: how many of the commonest words every task knows without a join; no result depends on it.
     """
 
     train_papers: int = 160
     common: int = 3
-    rarest: int = 5
     familiar: int = 20_000
     seed: int = 23
 
@@ -245,9 +243,48 @@ def _frequencies(papers: DataFrame) -> DataFrame:
     return materialise(papers.where(~F.col("scanned") & F.col("text").isNotNull()).select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("df")), "word-frequencies")
 
 
-def _grams(column: str) -> Column:
-    """The distinct trigrams of a word with its edges marked."""
-    return F.expr(f"array_distinct(transform(sequence(1, length({column})), i -> substring(concat('^', {column}, '$'), i, 3)))")
+def _fewer(word: str, k: int) -> set[str]:
+    """The word with at most k of its letters left out: two words within edit distance k have one of these in common."""
+    out = last = {word}
+    for _ in range(k):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+def _most(word: str) -> int:
+    """How far a candidate may be from a word."""
+    return 1 if len(word) <= 4 else 2 if len(word) < 9 else 3
+
+
+def _posted_keys(best: str) -> set[str]:
+    """The keys under which a candidate is found: its look, and for each distance that askers of about its length allow what _asking_keys names."""
+    n, keys = len(best), {"=" + skeleton(best)}
+    if n <= 5:
+        keys |= {"1" + w for w in _fewer(best, 1)}
+    if 3 <= n <= 10:
+        keys |= {"2" + w for w in _fewer(best, 2)}
+    if n >= 6:
+        keys |= {"<" + w for w in _fewer(best[: n // 2], 1)} | {">" + w for w in _fewer(best[n // 2 :], 1)}
+    return keys
+
+
+def _asking_keys(low: str, longest: int) -> set[str]:
+    """The keys by which a word asks; longest: letters of the longest candidate.
+
+    Up to distance 2 both sides leave letters out. At distance 3 one of the candidate's halves is at
+    most 1 away from a beginning or an end of the word, of at most 1 letter more or less.
+    """
+    n, k, keys = len(low), _most(low), {"=" + skeleton(low)}
+    if n > longest + k:
+        return keys
+    if k < 3:
+        return keys | {f"{k}{w}" for w in _fewer(low, k)}
+    for m in range((n - 3) // 2 - 1, (n + 3) // 2 + 2):
+        keys |= {"<" + w for w in _fewer(low[:m], 1)}
+    for m in range((n - 2) // 2 - 1, (n + 4) // 2 + 2):
+        keys |= {">" + w for w in _fewer(low[max(0, n - m) :], 1)}
+    return keys
 
 
 def _distance(word: str, best: str | None) -> int | None:
@@ -255,11 +292,13 @@ def _distance(word: str, best: str | None) -> int | None:
     if best is None:
         return None
     low = word.lower()
-    most = 1 if len(word) <= 4 else 2 if len(word) < 9 else 3
-    if len(set(low) ^ set(best)) > 2 * most + 2:
+    if skeleton(low) == skeleton(best):
+        return edit_distance(low, best)
+    most = _most(low)
+    if len(set(low) ^ set(best)) > 2 * most:
         return None
     d = edit_distance(low, best)
-    return d if d <= most or skeleton(low) == skeleton(best) else None
+    return d if d <= most else None
 
 
 def _pair_features(word: str, best: str | None, df: int, distance: int | None) -> list[float]:
@@ -273,18 +312,28 @@ def _pair_features(word: str, best: str | None, df: int, distance: int | None) -
     return base + [float(distance), float(same), float(np.log1p(df)), float(len(best) - len(low)), float(low[0] == best[0])]
 
 
+def _keyed(words: DataFrame, keys) -> DataFrame:
+    """(word, key) for each of a word's keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                pairs = [(w, k) for w in whole.slice(lo, 1024).column(0).to_pylist() for k in keys(w)]
+                yield pa.RecordBatch.from_arrays([pa.array([p[n] for p in pairs], pa.string()) for n in (0, 1)], names=["word", "key"])
+
+    return words.mapInArrow(run, "word string, key string")
+
+
 def _ask(tokens: DataFrame, known: DataFrame, params: RepairParams) -> DataFrame:
-    """(word, train, best, df) of unknown words: candidates that share rare trigrams, or one row with a null."""
-    keys = tokens.select(F.lower("word").alias("low")).distinct()
+    """(word, train, best, df) of unknown words: all candidates that _distance accepts, or one row with a null."""
     vocabulary = known.where((F.col("df") >= params.common) & ~F.contains("word", F.lit("-")) & (F.length("word") >= 3)).withColumnRenamed("word", "best")
-    postings = materialise(vocabulary.select("best", "df", F.explode(_grams("best")).alias("gram")), "postings")
-    counts = postings.groupBy("gram").agg(F.count("*").alias("n"))
-    asked = keys.select("low", F.explode(_grams("low")).alias("gram")).join(counts, "gram")
-    rank = F.row_number().over(Window.partitionBy("low").orderBy("n", "gram"))
-    asked = asked.withColumn("rank", rank).where(F.col("rank") <= params.rarest).select("low", "gram")
-    near = asked.join(postings, "gram").where(F.abs(F.length("best") - F.length("low")) <= 2)
-    near = near.groupBy("low", "best", "df").agg(F.count("*").alias("shared")).where((F.col("shared") >= 2) | (F.length("low") <= 5))
-    return tokens.withColumn("low", F.lower("word")).join(near.drop("shared"), "low", "left").select("word", "train", "best", "df")
+    longest = vocabulary.agg(F.max(F.length("best"))).first()[0] or 0
+    postings = _keyed(vocabulary.select("best"), _posted_keys).withColumnRenamed("word", "best")
+    asked = _keyed(tokens.select(F.lower("word")).distinct(), lambda low: _asking_keys(low, longest)).withColumnRenamed("word", "low")
+    most = F.when(F.length("low") <= 4, 1).when(F.length("low") < 9, 2).otherwise(3)
+    near = asked.join(postings, "key").where(F.startswith("key", F.lit("=")) | ((F.abs(F.length("best") - F.length("low")) <= most) & F.levenshtein("low", "best", 3).between(0, most)))
+    near = near.select("low", "best").distinct().join(vocabulary, "best")
+    return tokens.withColumn("low", F.lower("word")).join(near, "low", "left").select("word", "train", "best", "df")
 
 
 def _corrections(tokens: DataFrame, known: DataFrame, truth: dict[str, str], params: RepairParams) -> tuple[DataFrame, float]:

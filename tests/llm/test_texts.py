@@ -243,3 +243,35 @@ def test_broken_word_around_much_furniture(between):
     models = scan_repair.Models(Boosted(trees=0, base=5.0), 0.5, 0.5)
     found, text = scan_repair.judge([scan_repair._unit("\n".join(lines), furniture, entries)], models)[0]
     assert (1, "hyphen") in found and len(found) == 1 + 2 * between and text.replace("\n\n", " ") == "The design was a blinded trial of membranes."
+
+
+def test_all_candidates_are_met(spark):
+    r = random.Random(7)
+    words = {"sediment", "secondary", "summary", "willow", "modern", "window", "illumination", "minimum", "ammonium"}
+    words |= {"".join(r.choice("abcdelmnr") for _ in range(n)) for n in range(3, 15) for _ in range(60)}
+    words |= {"sedim" + "".join(r.choice("eclmn") for _ in range(3)) for _ in range(60)}  # the vocabulary knows the misread trigrams
+    known = [(w, 3) for w in sorted(words)] + [("secliments", 2), ("well-known", 9)]
+    ask = ["secliment", "seconclary", "surnrnary", "vvillovv", "rnodern", "1llurn1nat1on", "rninirnurn", "arnrnoniurn", "x" * 5_000]
+    for w in r.sample(sorted(words), 150):
+        for _ in range(r.randint(1, 3)):
+            at = r.randrange(len(w))
+            w = w[:at] + r.choice(["", "c", "rn", "m"]) + w[at + r.randint(0, 1) :]
+        ask.append(w)
+    tokens = spark.createDataFrame([(w, False) for w in sorted({*ask, "Secliment"} - words - {""})], "word string, train boolean")
+    got = {(x["word"], x["best"]) for x in scan_repair._ask(tokens, spark.createDataFrame(known, "word string, df int"), scan_repair.RepairParams()).collect()}
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a):
+            last, row = row, [i + 1]
+            for j, d in enumerate(b):
+                row.append(min(last[j] + (c != d), last[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    want = set()
+    for (w, _) in map(tuple, tokens.collect()):
+        low, most = w.lower(), 1 if len(w) <= 4 else 2 if len(w) < 9 else 3
+        near = {(w, b) for b in words if scan_repair.skeleton(low) == scan_repair.skeleton(b) or abs(len(low) - len(b)) <= most and plain(low, b) <= most}
+        assert all(scan_repair._distance(*p) is not None for p in near)
+        want |= near or {(w, None)}
+    assert got == want and {("secliment", "sediment"), ("Secliment", "sediment"), ("seconclary", "secondary"), ("surnrnary", "summary"), ("vvillovv", "willow")} <= got
