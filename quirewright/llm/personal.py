@@ -3,13 +3,16 @@
 Plan. Generators with high recall propose overlapping spans; boosted trees score each from its format
 and context; spans that pass their kind's calibrated threshold compete, and the best of overlapping
 ones wins. The trees are trained on the driver on invented examples, ``train_rows`` at most, set into
-neutral text; thresholds come from held-out examples. Documents are scored where they lie: no shuffle.
+neutral text; thresholds come from held-out examples. Any two capitalised words may be a name: a list of
+given names and the words' frequencies in a bounded sample of the documents are features of the trees.
+Documents are scored where they lie: no shuffle.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -50,6 +53,20 @@ _AFTER = re.compile(rf"(?:-(?:{_NAMES}))?(?:[ \t ]+(?:{_NAMES}))?(?:[ \t ]+[A-
 _BEFORE = re.compile(rf"(?<![\w.@/-])((?:(?:van|von|der|den|ten|ter|zu|VAN|VON)\s+){{0,2}}{_FAMILY}),\s+$")
 _MIDDLE = re.compile(r"(?:\s+[A-ZÀ-Þ]\.)*")
 
+#: Capitalised words that begin sentences, titles and roles, marks of companies, and words before places.
+_STARTERS = frozenset(
+    """a all although an and any as at because before both but by contact dear each every for from had has he her his how if in is it its many most neither no nor not of on once one only or our
+    return samples see send she signed so some that the their then there these they this those to under until we were what when where whether which while who why with you à aucune au aux après ce
+    cette chaque de des du elle en et il la le les leur mais ni pour quand que quel quelle sans selon si son sur un une am an auf aus bei das dem den der des die ein eine einen einer es für gilt im
+    ist jede jeder kein keine laut manche mit nach nur ob seither sie und vgl von vor wenn wir zu al alguna cada como con del el ella ese esta este los las ningún ninguna para pero por según sin su tras y""".split()
+)
+_TITLES = frozenset("mr mrs ms miss dr prof professor sir dame lady lord mme mlle m mm madame monsieur maître herr hr frau fr fräulein sr sra srta señor señora don doña professorin doktor doctor president director dean participant".split())
+_COMPANY = frozenset("ltd inc gmbh ag corp co llc plc sa sarl bv group press university institute laboratories".split())
+_PLACES = frozenset("in at near from to of à de près bei nach von aus en cerca lane street road avenue court terrace square drive".split())
+_FIRST = r"[^\W\d_a-zß-öø-ÿ]"  # capitals of all scripts are among these
+_NAME = rf"{_FIRST}(?:['’]{_FIRST})?[^\W\d_]+(?:['’]{_FIRST}[^\W\d_]+)?(?:-{_FIRST}[^\W\d_]+)*"
+_PAIR = re.compile(rf"{_FIRST}(?<![\w@/.'’-].)(?=(?<=(.))((?:['’]{_FIRST})?[^\W\d_]+(?:['’]{_FIRST}[^\W\d_]+)?(?:-{_FIRST}[^\W\d_]+)*)(?:(?:[ \t\u00a0]+{_FIRST}\.)*[ \t\u00a0]+{_PARTICLE}({_NAME})|,[ \t\u00a0]+({_NAME})(?:[ \t\u00a0]+{_FIRST}\.)*)(?![\w@]))")
+
 _LOCAL = r"[A-Za-z0-9_](?:[A-Za-z0-9_.+%-]*[A-Za-z0-9_+])?"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|\s+(?:dot|DOT|punkt|punto)\s+|\.)"
 _EMAIL = re.compile(rf"{_LOCAL}(?:[@＠]|\s*[\[({{<]\s*(?:at|AT|@|arroba)\s*[\])}}>]\s*|\s+(?:at|AT)\s+(?=[\w-]+\s+(?:dot|DOT)\b))[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}")
@@ -129,9 +146,27 @@ def candidates(text: str) -> list[Found]:
             # A middle initial belongs to the name; the next word's full stop doesn't.
             tail = _MIDDLE.match(text, b)
             out.append(Found(back.start(1), tail.end() if tail else b, 4, 6))
+    known = {(f.start, f.end) for f in out if f.kind == 4}
+    for m in _PAIR.finditer(text):
+        last = 3 if m[3] else 4
+        if _capital(m[1]) and _capital(m[last][0]) and (m.start(), m.end(last)) not in known:
+            out.append(Found(m.start(), m.end(last), 4, 4 + last))
     return out
 
 
+def _capital(c: str) -> bool:
+    return c.isupper() or c.istitle()
+
+
+def frequencies(texts: list[str]) -> dict[str, tuple[float, float]]:
+    """The lower-case share and the logarithmic frequency of words in sampled documents."""
+    small, great = Counter(), Counter()
+    for t in texts:
+        for w in set(_WORD.findall(t)):
+            (small if w.islower() else great)[w.lower()] += 1
+    return {w: (small[w] / n, float(np.log1p(1e4 * (n - 3) / (len(texts) + 1000)))) for w in {*small, *great} if (n := small[w] + great[w]) > 3}
+
+
 _SHAPES = [
     re.compile(p)
     for p in (
@@ -142,8 +177,11 @@ _SHAPES = [
 ]
 
 
-def features(text: str, f: Found) -> list[float]:
-    """Format and context of a candidate."""
+_PAIR_FEATURES = 17
+
+
+def features(text: str, f: Found, common: dict[str, tuple[float, float]] | None = None) -> list[float]:
+    """Format and context of a candidate; the last _PAIR_FEATURES only of open pairs. common: the frequencies of words."""
     s = text[f.start : f.end]
     left, right = text[max(0, f.start - 48) : f.start], text[f.end : f.end + 32]
     # Only the same sentence speaks of the candidate; the next word counts only where it follows at once.
@@ -151,15 +189,25 @@ def features(text: str, f: Found) -> list[float]:
     after = [w.lower() for w in _WORD.findall(right)][:1] if re.match(r"\s+[^\W\d_]", right) else []
     flat = re.sub(r"\s+", " ", s)
     words = _WORD.findall(s)
-    family = (words[0] if f.form == 6 else words[-1]).lower() if words else ""
+    family = (words[0] if f.form in (6, 8) else words[-1]).lower() if words else ""
     near = lambda known: float(f.kind in (1, 2) and sum(w in known for w in before))
     digits = sum(c.isdigit() for c in s)
     out = [float(f.kind == k) for k in range(len(KINDS))] + [float(f.form), 0 if f.kind == 4 else len(s), digits, digits / len(s), 0 if f.kind == 4 else len(words), s.count("\n"), s.count("@"), s.count(",")]
-    out += [float(bool(p.fullmatch(flat))) for p in _SHAPES]
+    out += [0.0] * len(_SHAPES) if f.kind == 4 else [float(bool(p.fullmatch(flat))) for p in _SHAPES]
     out += [near(_PHONE_WORDS), near(_ID_WORDS), float(f.kind in (1, 2) and any(w in _OTHER_WORDS for w in before[-2:])), float(f.kind in (1, 2) and bool(after) and after[0] in _OTHER_WORDS)]
     out += [float(family in NOT_FAMILY), float(bool(after) and after[0] in NOT_FAMILY), float(right[:1].isalnum()), float(right[:1] == "-"), float(left[-1:] in "-/@#._" and left != ""), float(left.endswith(":")), float(right[:1] == "@")]
     out += [float(right.startswith("-") and right[1:2].isupper()), float(bool(re.search(r"\b(?:the|The|THE)\s+$", left)))]
-    return out
+    if f.form < 7:
+        return out + [0.0] * _PAIR_FEATURES
+    given = words[-1] if f.form == 8 else words[0]
+    g, first = given.lower(), words[0].lower()
+    (g_low, g_often), (f_low, f_often) = ((common or {}).get(w, (0.0, 0.0)) for w in (g, family))
+    last = before[-1] if before and re.search(r"[^\W\d_]\W*$", left) else ""
+    start = not left.strip() or left.rstrip()[-1] in ".!?:;“”\"»"
+    return out + [
+        float(given in _GIVEN), float(words[-1] in _GIVEN if f.form != 8 else words[0] in _GIVEN), g_low, g_often, f_low, f_often, float(g in _STARTERS or first in _STARTERS), float(family in _STARTERS),
+        float(first in _TITLES or family in _TITLES), float(family in _COMPANY or bool(after) and after[0] in _COMPANY), float(last in _PLACES), float(start), float(len(given) < 3 or len(family) < 3), float(bool(re.search(rf"\b{_FIRST}\.\s*$", left))), float(g in NOT_FAMILY), float(s.isupper()), float(right[:1] == ":"),
+    ]
 
 
 def _examples(n: int, seed: int) -> tuple[list[tuple[str, Found]], list[int]]:
@@ -213,11 +261,77 @@ def _examples(n: int, seed: int) -> tuple[list[tuple[str, Found]], list[int]]:
     return rows[:n], labels[:n]
 
 
+def _pair_examples(n: int, seed: int) -> tuple[list[tuple[str, Found, dict]], list[int]]:
+    """Invented pairs of capitalised words in context, with the frequencies of their words and their labels; n at most."""
+    r = random.Random(seed)
+    pick = r.choice
+    syll = "ar bel cor den el far gil hol ist jor kal lan mer nor os pel quin ros sel tam ul ven wex yar zel".split()
+    name = lambda: (pick(syll) + pick(syll) + pick(["", "a", "son", "er", "man", "berg", "ley"])).capitalize()
+    noun = lambda: (name() + pick(["ung", "e", "en", ""])).capitalize()
+    town = lambda: (pick(syll) + pick(["ton", "ham", "ville", "dorf", "by", "ford", "stadt"])).capitalize()
+    letter = lambda: pick("ABCDEFGHJKLMNPRSTWXYZ")
+    closing = lambda: pick(sorted(NOT_FAMILY | _COMPANY))
+    plain = "the sample was measured again and results were stable over time we found that model values remain open under field conditions while other groups did not respond".split()
+    words = lambda k: " ".join(pick(plain) for _ in range(k))
+    rows, labels = [], []
+
+    def add(left: str, s: str, right: str, form: int, label: int, kinds: str) -> None:
+        """kinds: for the first and the last word, c a common one, n a noun that is always capitalised, r a rare name, f a name of any frequency."""
+        often = {}
+        for w, k in zip((s.split()[0].strip(",").lower(), s.split()[-1].lower()), kinds):
+            often[w] = {"c": (r.uniform(0.2, 1), r.uniform(0, 9)), "n": (pick([0.0, 0.0, 0.1]), r.uniform(5, 9)), "r": (0.0, pick([0.0, r.uniform(0, 3.2)])), "f": (0.0, r.uniform(0, 5.3))}[k]
+        rows.append((left + s + right, Found(len(left), len(left) + len(s), 4, form), often))
+        labels.append(label)
+
+    while len(rows) < n:
+        left, right = words(5) + " ", pick([" ", ". ", ", ", ") ", "; "]) + words(4)
+        # The same contexts for names and others, so that the words decide.
+        place = lambda: pick([left, left, left.rstrip() + ". ", left.rstrip() + ".\n\n", "", *(left + c for c in ("by ", "Contact: ", "Dr. ", "for ", "with ", "of ", "Contact ", "and "))])  # noqa: E731,B023
+        for _ in range(3):
+            stranger = f"{name()} {pick(['', '', letter() + '. '])}{name()}"
+            add(place(), pick([stranger, stranger, stranger.upper(), f"{pick(GIVEN)} {name()}"]), right, 7, 1, pick(["rr", "fr", "ff", "rf"]))
+            add(place(), f"{pick([name(), name().upper()])}, {pick([name(), name(), pick(GIVEN)])}", right, 8, 1, pick(["rr", "rf", "ff", "fr"]))
+        starter, title = pick(sorted(_STARTERS)).capitalize(), pick(sorted(_TITLES)).capitalize()
+        add(place(), f"{starter} {name()}", right, 7, 0, pick(["cr", "cc", "cn", "rr"]))
+        add(place(), f"{name()} {starter}", right, 7, 0, pick(["rc", "rr"]))
+        add(place(), f"{noun()} {noun()}", right, 7, 0, pick(["cc", "cr", "rc", "nn", "cn", "nr", "rn"]))
+        add(place(), f"{noun()} {pick(['der', 'de', 'del', 'la'])} {noun()}", right, 7, 0, pick(["nn", "nr", "cr", "cn"]))
+        add(place(), f"{noun()} {noun()}".upper(), right, 7, 0, pick(["cc", "cr", "rc", "nn"]))
+        add(place(), f"{noun()} {noun()}".upper(), ":" + right, 7, 0, pick(["rr", "ff", "rf"]))
+        add(place(), f"{title} {name()}", right, 7, 0, pick(["rr", "nr", "cr"]))
+        add(place(), f"{name()} {closing().capitalize()}", right, 7, 0, pick(["rr", "rc", "rn"]))
+        add(place(), f"{name()} {name()}", f" {closing()}{right}", 7, 0, "rr")
+        add(place(), f"{name()} {pick(GIVEN)}", right, 7, 0, pick(["cr", "rr", "nr"]))
+        add(left + pick(["the ", "The "]), f"{name()} {name()}", right, 7, 0, "rr")
+        add(place(), f"{noun()}, {noun()}", right, 8, 0, pick(["nn", "cc", "nr", "rn", "cr", "rc"]))
+        add(place(), f"{town()}, {pick(['ZZ', letter() + letter(), 'Ph'])}", right, 8, 0, "rr")
+        add(place(), f"{starter}, {name()}", right, 8, 0, "cr")
+        add(place(), f"{closing().capitalize()}, {town()}", right, 8, 0, "rr")
+        add(left + pick(sorted(_PLACES)) + " ", f"{town()}, {town()}", right, 8, 0, "rr")
+        add(left + f"{letter()}. ", f"{name()}, {name()}", right, 8, 0, "rr")
+    return rows[:n], labels[:n]
+
+
+@dataclass(frozen=True)
+class Models:
+    """Trees for all but open pairs, and for those; the latter also see lists and frequencies of words."""
+
+    listed: Boosted
+    pairs: Boosted
+
+    def predict(self, found: list[Found], x: np.ndarray) -> np.ndarray:
+        open_pair = np.array([f.form >= 7 for f in found], bool)
+        p = np.zeros(len(found))
+        p[~open_pair] = self.listed.predict(x[~open_pair, :-_PAIR_FEATURES])
+        p[open_pair] = self.pairs.predict(x[open_pair])
+        return p
+
+
 @lru_cache
-def train(train_rows: int = 9_000, seed: int = 5) -> tuple[Boosted, tuple[float, ...]]:
-    """The trees and each kind's threshold, from at most train_rows invented examples, a third of them held out."""
+def train(train_rows: int = 9_000, seed: int = 5) -> tuple[Models, tuple[float, ...]]:
+    """The trees and each kind's threshold, the last for open pairs; both from at most train_rows invented examples, a third of them held out."""
     rows, labels = _examples(train_rows, seed)
-    x, y = np.array([features(t, f) for t, f in rows]), np.array(labels)
+    x, y = np.array([features(t, f)[:-_PAIR_FEATURES] for t, f in rows]), np.array(labels)
     kind = np.array([f.kind for _, f in rows])
     fit = np.arange(len(y)) % 3 != 0
     model = Boosted(trees=40, depth=4).fit(x[fit], y[fit])
@@ -226,33 +340,38 @@ def train(train_rows: int = 9_000, seed: int = 5) -> tuple[Boosted, tuple[float,
     for k in range(len(KINDS)):
         own = kind[~fit] == k
         cuts.append(min(0.5, max(0.3, calibrate(p[own], y[~fit][own]))) if len(set(y[~fit][own])) > 1 else 0.3)
-    return model, tuple(cuts)
+    rows, labels = _pair_examples(train_rows, seed)
+    x, y = np.array([features(*row) for row in rows]), np.array(labels)
+    fit = np.arange(len(y)) % 3 != 0
+    pairs = Boosted(trees=80, depth=4).fit(x[fit], y[fit])
+    return Models(model, pairs), (*cuts, max(0.3, calibrate(pairs.predict(x[~fit]), y[~fit])))
 
 
 def choose(text: str, found: list[Found], p: np.ndarray, cuts: tuple[float, ...]) -> list[Found]:
-    """The spans that pass, without overlaps: addresses and e-mails first, then the likelier and longer."""
-    good = [(f.kind not in (0, 3), -round(float(q), 2), f.start - f.end, f) for f, q in zip(found, p) if q >= cuts[f.kind]]
+    """The spans that pass, without overlaps: addresses and e-mails first, pairs without a listed name last, and the likelier and longer before others."""
+    good = [(f.kind not in (0, 3), f.form >= 7, -round(float(q), 2), f.start - f.end, f) for f, q in zip(found, p) if q >= (cuts[-1] if f.form >= 7 else cuts[f.kind])]
     out: list[Found] = []
-    for *_, f in sorted(good, key=lambda g: g[:3] + (g[3].start,)):
+    for *_, f in sorted(good, key=lambda g: g[:4] + (g[4].start,)):
         if all(f.end <= o.start or f.start >= o.end for o in out):
             out.append(f)
     return sorted(out, key=lambda f: f.start)
 
 
 def _score(docs: DataFrame, schema: str, emit, train_rows: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(train(train_rows))
+    sample = docs.where(F.length("text") > 0).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(4_000).select(F.substring("text", 1, 4_000).alias("text")).collect()
+    shared = docs.sparkSession.sparkContext.broadcast((*train(train_rows), frequencies([x["text"] for x in sample])))
     names = [c.split()[0] for c in schema.split(", ")]
     types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cuts = shared.value
+        model, cuts, common = shared.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
                 ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
                 found = [candidates(t) for t in texts]
-                x = [features(t, f) for t, fs in zip(texts, found) for f in fs]
-                p = model.predict(np.array(x)) if x else np.array([])
+                x = [features(t, f, common) for t, fs in zip(texts, found) for f in fs]
+                p = model.predict([f for fs in found for f in fs], np.array(x)) if x else np.array([])
                 rows, at = [], 0
                 for i, t, fs in zip(ids, texts, found):
                     rows += emit(i, t, choose(t, fs, p[at : at + len(fs)], cuts))

@@ -275,3 +275,11 @@ def test_all_candidates_are_met(spark):
         assert all(scan_repair._distance(*p) is not None for p in near)
         want |= near or {(w, None)}
     assert got == want and {("secliment", "sediment"), ("Secliment", "sediment"), ("seconclary", "secondary"), ("surnrnary", "summary"), ("vvillovv", "willow")} <= got
+
+
+@pytest.mark.parametrize("name", ["Priya Sharma", "José García", "Élodie Dupont", "Łukasz Nowak", "Иван Петров", "Sharma, Priya", "PRIYA SHARMA"])
+def test_names_outside_the_list(spark, name):
+    text = f"The survey was led by {name}, who left. In Dunwick the Osvary Basin and the Random Forest were measured; Mme Osrup stayed."
+    others = [(i, "in some random forest the basin was measured and mme Osrup stayed") for i in range(2, 40)]
+    df = spark.createDataFrame([(1, text), *others], "doc_id long, text string")
+    assert [(r["kind"], text[r["start_pos"] : r["end_pos"]]) for r in personal.personal_spans(df).where("doc_id = 1").collect()] == [("PERSON", name)]
