@@ -1,15 +1,18 @@
 """Most similar vectors for every vector, by a hierarchical k-means tree.
 
-Plan. A tree of centroids is fitted on a bounded sample and sent to every task. Each row goes to its
-home leaf and, as a query, to the leaves that a best-bin-first walk reaches next; how many is
-calibrated against exact neighbours of a few probe rows over the whole table. A leaf's rows meet in
-one task, in tiles of bounded size; a tile too large for brute force gets a tree of its own, calibrated in
-the same way, so the work per row doesn't follow the leaf's size. Copies of one vector form a class: they are searched once and
-share their neighbours, so a vector that fills a third of the table costs one search.
-
-Best-bin-first. The walk pops the most promising node from a max-heap and pushes its children. A leaf
-is popped as soon as the heap's top falls to the smallest similarity on its path, so the order of the
-pops is the order of these path minima; sorting by them gives the walk of a whole batch at once.
+Plan. The vectors are written once, losslessly compressed, with a hash of their values; all further
+passes read that table. A tree of two levels is fitted on bounded samples, the branches on the driver, each
+branch's leaves in a task of its own. Each row goes to its home leaf and, as a query, to the leaves
+that a best-bin-first walk pops next; how many is calibrated against exact neighbours of probe rows
+over the whole table. Rows and queries of a leaf meet in cells: a tile of bounded rows is held, and
+the queries stream past it in slices, so no task holds a group whole. Cosines are exact. Copies of one
+vector form a class: they are searched once and share their neighbours, so a vector that fills a third
+of the table costs one search.
+
+Best-bin-first. The walk pops the best node of a priority queue and pushes its children. A leaf is
+popped as soon as the queue's top falls to the smallest similarity on its path, so the order of pops
+is the order of these path minima. A whole batch walks at once: branches are opened in the order of
+their similarity until none can give a better leaf than those already popped.
 """
 
 from __future__ import annotations
@@ -24,90 +27,139 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirewright.llm.shingles import mix
 from quirewright.plans.storage import materialise
 
 
 @dataclass(frozen=True)
 class TreeParams:
-    """Bounds of the index: the sample has 16 rows per leaf, within least_sample and sample_rows; the number of leaves follows the table up to max_leaves."""
+    """Bounds of the index and of its tasks.
+
+    A leaf is fitted on about ``sample_per_leaf`` rows, a branch's leaves on at most ``branch_rows``;
+    leaves follow the table up to ``max_leaves``, the size of the broadcast tree. A cell holds about
+    ``tile_rows`` rows and sees about ``slice_rows`` queries, whatever the leaf's size.
+    """
 
-    least_sample: int = 16_384
-    sample_rows: int = 65_536
-    probes: int = 192
     rows_per_leaf: int = 600
-    branch: int = 16
-    max_leaves: int = 4_096
-    recall: float = 0.98
-    tile_rows: int = 65_536
-    brute_rows: int = 4_096
-    local_probes: int = 64
+    sample_per_leaf: int = 32
+    branch_rows: int = 16_384
+    max_leaves: int = 32_768
+    probes: int = 512
+    recall: float = 0.995
+    tile_rows: int = 8_192
+    slice_rows: int = 32_768
+    task_bytes: int = 4 << 20
     seed: int = 7
 
 
 @dataclass
 class Tree:
-    """Centroids of unit length; parent[i] is the branch of leaf i."""
+    """Centroids of unit length, the leaves in the order of their branches; leaves of branch b are first[b] to first[b + 1]."""
 
     branches: np.ndarray
     leaves: np.ndarray
-    parent: np.ndarray
+    first: np.ndarray
     visits: int = 1
 
-    def keys(self, unit: np.ndarray) -> np.ndarray:
-        """For each row and leaf, the smallest similarity on the path from the root."""
+    def walk(self, unit: np.ndarray, visits: int) -> np.ndarray:
+        """The leaves that a best-bin-first walk pops first, in order, for each row."""
+        visits = min(visits, len(self.leaves))
         top = unit @ self.branches.T
-        return np.minimum(unit @ self.leaves.T, top[:, self.parent])
-
-    def home(self, unit: np.ndarray) -> np.ndarray:
-        return self.keys(unit).argmax(axis=1)
+        order = np.argsort(-top, axis=1)
+        best = np.full((len(unit), visits), -9.0, np.float32)
+        leaf = np.full((len(unit), visits), -1, np.int64)
+        active = np.arange(len(unit))
+        for r in range(len(self.branches)):
+            branch = order[active, r]
+            open_ = top[active, branch] + 2e-6 > best[active].min(axis=1)
+            active, branch = active[open_], branch[open_]
+            if not len(active):
+                break
+            for b in np.unique(branch):
+                at = active[branch == b]
+                lo, hi = self.first[b], self.first[b + 1]
+                own = unit[at] @ self.leaves[lo:hi].T
+                # Of leaves with one path minimum, those most like the row are popped first.
+                key = np.minimum(own, top[at, b][:, None]) + np.float32(1e-6) * own
+                keys = np.concatenate([best[at], key], axis=1)
+                names = np.concatenate([leaf[at], np.broadcast_to(np.arange(lo, hi), key.shape)], axis=1)
+                keep = np.argpartition(-keys, visits - 1, axis=1)[:, :visits]
+                best[at], leaf[at] = np.take_along_axis(keys, keep, axis=1), np.take_along_axis(names, keep, axis=1)
+        return np.take_along_axis(leaf, np.argsort(-best, axis=1, kind="stable"), axis=1)
+
+
+# ---------------------------------------------------------------- vectors as bytes
+
+
+def _pack(x: np.ndarray) -> list[bytes]:
+    """Each row losslessly: the bytes of its values by significance, compressed."""
+    planes = np.ascontiguousarray(x.astype("<f4", copy=False).view(np.uint8).reshape(len(x), -1, 4).transpose(0, 2, 1))
+    compress = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
+    return [compress(row) for row in planes]
+
+
+def _unpack(packed: list[bytes], width: int) -> np.ndarray:
+    expand = zstandard.ZstdDecompressor().decompress
+    planes = np.frombuffer(b"".join(expand(p) for p in packed), np.uint8).reshape(len(packed), 4, width)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<f4").reshape(len(packed), width)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of unit length; scaled first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _hashes(x: np.ndarray, seed: int) -> np.ndarray:
+    """Two 64-bit hashes of each row's values."""
+    rng = np.random.default_rng(seed)
+    value = x.view("<u4").astype(np.uint64) + np.uint64(1)
+    weights = rng.integers(0, 2**63, (2, x.shape[1]), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.stack([mix((value * w).sum(axis=1, dtype=np.uint64) ^ np.uint64(x.shape[1])) for w in weights], axis=1).view(np.int64)
+
+
+_CODED = "id long, h1 long, h2 long, width int, packed binary"
+
+
+def _coded(df: DataFrame, id_col: str, vector_col: str, params: TreeParams) -> DataFrame:
+    """Rows that can take part: an id, and a vector without null, NaN or infinity, not all zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2_048):
+                b = whole.slice(at, 2_048)
+                vectors, ids = b.column("vector"), b.column("id").to_numpy(zero_copy_only=False)
+                sizes = np.asarray(vectors.value_lengths().fill_null(0))
+                flat = vectors.flatten()
+                values = flat.to_numpy(zero_copy_only=False).astype("f4", copy=False)  # null values become NaN
+                starts = np.cumsum(sizes) - sizes
+                for width in np.unique(sizes[sizes > 0]):
+                    own = np.nonzero(sizes == width)[0]
+                    x = values[starts[own][:, None] + np.arange(width)] + np.float32(0)  # no negative zero
+                    good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+                    own, x = own[good], np.ascontiguousarray(x[good])
+                    if len(own):
+                        h = _hashes(x, params.seed)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.full(len(own), width, np.int32)), pa.array(_pack(x), pa.binary())], names=["id", "h1", "h2", "width", "packed"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & (F.size("vector") > 0))
+    return materialise(rows.mapInArrow(run, _CODED), "vectors")
+
+
+def _read(b: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, class keys (two columns) and vectors of a batch."""
+    keys = np.stack([b.column("h1").to_numpy(zero_copy_only=False), b.column("h2").to_numpy(zero_copy_only=False)], axis=1)
+    return b.column("id").to_numpy(zero_copy_only=False), keys, _unpack(b.column("packed").to_pylist(), width)
 
 
-@dataclass
-class LocalTree:
-    """A tree over the rows of one tile, with the rows of each leaf."""
-
-    tree: Tree
-    members: list[np.ndarray]
-
-    def visited(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each leaf that some queries reach: these queries, and the leaf's rows."""
-        path = self.tree.keys(queries)
-        visits = min(self.tree.visits, path.shape[1])
-        walk = np.argpartition(-path, visits - 1, axis=1)[:, :visits]
-        for leaf in np.unique(walk):
-            if len(self.members[leaf]):
-                yield np.nonzero((walk == leaf).any(axis=1))[0], self.members[leaf]
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2_048) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, as each becomes several matrices."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
 
 
-def _local_tree(unit: np.ndarray, k: int, min_cosine: float, params: "TreeParams") -> LocalTree:
-    """A tree over a tile, fitted on a bounded sample of it and calibrated on exact neighbours of a few of its rows."""
-    leaves = max(2, len(unit) // params.rows_per_leaf)
-    rng = np.random.default_rng(params.seed)
-    tree = fit_tree(unit[rng.choice(len(unit), min(len(unit), 16 * leaves), replace=False)], leaves, params)
-    home = np.concatenate([tree.home(unit[lo : lo + 8_192]) for lo in range(0, len(unit), 8_192)])
-    members = [np.nonzero(home == i)[0] for i in range(len(tree.leaves))]
-    probe = rng.choice(len(unit), min(len(unit), params.local_probes), replace=False)
-    sims = unit[probe] @ unit.T
-    sims[np.arange(len(probe)), probe] = -2
-    near = np.argpartition(-sims, min(k, len(unit) - 1) - 1, axis=1)[:, :k]
-    rank = np.argsort(np.argsort(-tree.keys(unit[probe]), axis=1), axis=1)
-    at, col = np.nonzero(np.take_along_axis(sims, near, axis=1) >= min_cosine)
-    ranks = np.sort(rank[at, home[near[at, col]]])
-    share = (1 + params.recall) / 2
-    tree.visits = 2 if not len(ranks) else int(ranks[min(len(ranks) - 1, math.ceil(share * len(ranks)) - 1)]) + 1
-    return LocalTree(tree, members)
-
-
-def _nearest(qk: np.ndarray, qu: np.ndarray, keys: np.ndarray, ids: np.ndarray, unit: np.ndarray, k: int, min_cosine: float, cols: dict[str, list]) -> None:
-    """Append the k nearest classes of each query by brute force."""
-    sims = np.round((qu @ unit.T).astype("f8"), 5)
-    sims[(qk[:, None, 0] == keys[None, :, 0]) & (qk[:, None, 1] == keys[None, :, 1])] = -2
-    m = min(k, len(keys))
-    # Ties at the k-th place all stay; the smaller id wins when lists are merged.
-    edge = np.partition(sims, -m, axis=1)[:, -m]
-    q, i = np.nonzero((sims >= np.maximum(edge, min_cosine)[:, None]) & (sims > -2))
-    for n, v in (("q1", qk[q, 0]), ("q2", qk[q, 1]), ("h1", keys[i, 0]), ("h2", keys[i, 1]), ("first_id", ids[i]), ("cosine", sims[q, i])):
-        cols[n].append(v)
+# ---------------------------------------------------------------- the tree
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -119,66 +171,280 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
         np.add.at(sums, nearest, x)
         norm = np.linalg.norm(sums, axis=1)
         centres = sums[norm > 0] / norm[norm > 0][:, None]
-    return centres
-
-
-def fit_tree(sample: np.ndarray, leaves: int, params: TreeParams) -> Tree:
-    """Two levels: branches, then each branch's share of the leaves."""
-    rng = np.random.default_rng(params.seed)
-    branches = _kmeans(sample, max(1, min(max(params.branch, math.isqrt(leaves)), leaves)), rng)
-    of = (sample @ branches.T).argmax(axis=1)
-    parts, parent = [], []
-    for b in range(len(branches)):
-        own = sample[of == b]
-        if not len(own):
-            own = branches[b : b + 1]
-        k = max(1, round(leaves * len(own) / len(sample)))
-        centres = _kmeans(own, k, rng)
-        parts.append(centres)
-        parent += [b] * len(centres)
-    return Tree(branches.astype("f4"), np.concatenate(parts).astype("f4"), np.array(parent))
-
-
-def _pack(unit: np.ndarray) -> bytes:
-    """One byte per value, scaled by the row's largest one, compressed.
-
-    The cosine of two rows changes by less than 0.001; rows that differ in length only stay equal.
-    """
-    codes = np.rint(unit * (127 / np.abs(unit).max(axis=1, keepdims=True))).astype("i1")
-    return zstandard.ZstdCompressor(level=1).compress(codes.tobytes())
-
+    return centres.astype("f4")
 
-def _unpack(packed: bytes, rows: int) -> np.ndarray:
-    unit = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "i1").reshape(rows, -1).astype("f4")
-    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
 
+def _distinct(rows: DataFrame) -> DataFrame:
+    """One row per class."""
+    return rows.groupBy("h1", "h2").agg(F.first("packed").alias("packed"))
 
-def _units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, class keys (two columns) and unit vectors of a batch without nulls, of one width."""
-    vectors = batch.column("vector")
-    ids = batch.column("id").to_numpy(zero_copy_only=False)
-    keys = np.stack([batch.column("h1").to_numpy(zero_copy_only=False), batch.column("h2").to_numpy(zero_copy_only=False)], axis=1)
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("f4", copy=False)
-    x = flat.reshape(len(ids), -1)
-    norm = np.sqrt(np.einsum("ij,ij->i", x, x, dtype="f8")).astype("f4")
-    return ids, keys, x / norm[:, None]
 
+def _fit(rows: DataFrame, n_classes: int, width: int, params: TreeParams) -> Tree:
+    """Branches from about 64 classes each, fitted on the driver; leaves from a sample of each branch, fitted in tasks."""
+    leaves = int(min(params.max_leaves, max(1, n_classes // params.rows_per_leaf)))
+    n_branches = max(1, math.isqrt(leaves))
+    rng = np.random.default_rng(params.seed)
+    step = max(1, n_classes // (64 * n_branches))
+    got = _distinct(rows.where(F.pmod("h2", F.lit(step)) == 0)).orderBy("h2").limit(64 * n_branches).select("packed").collect() or rows.select("packed").limit(1).collect()
+    branches = _kmeans(_unit(_unpack([bytes(r["packed"]) for r in got], width)), n_branches, rng)
+    shared = rows.sparkSession.sparkContext.broadcast(branches)
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2_048) -> Iterator[pa.RecordBatch]:
-    """Batches of few rows, as each becomes several matrices."""
-    for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
-
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            if b.num_rows:
+                branch = (_unit(_unpack(b.column("packed").to_pylist(), width)) @ shared.value.T).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(branch, pa.int32()), b.column("h2"), b.column("packed")], names=["branch", "h2", "packed"])
+
+    def grow(table: pa.Table) -> pa.Table:
+        x = _unit(_unpack(table.column("packed").to_pylist(), width))
+        centres = _kmeans(x, max(1, round(len(x) / params.sample_per_leaf)), np.random.default_rng(params.seed))
+        return pa.table({"branch": pa.array(np.full(len(centres), table.column("branch")[0].as_py()), pa.int32()), "centre": pa.array([c.astype("<f2").tobytes() for c in centres], pa.binary())})
+
+    step = max(1, n_classes // (params.sample_per_leaf * leaves))
+    placed = _distinct(rows.where(F.pmod("h1", F.lit(step)) == 0)).mapInArrow(place, "branch int, h2 long, packed binary")
+    rank = F.row_number().over(Window.partitionBy("branch").orderBy("h2"))
+    bounded = placed.withColumn("rank", rank).where(F.col("rank") <= params.branch_rows).drop("rank")
+    parts: dict[int, list] = {}
+    for r in bounded.groupBy("branch").applyInArrow(grow, "branch int, centre binary").collect():  # at most about max_leaves
+        parts.setdefault(r["branch"], []).append(np.frombuffer(r["centre"], "<f2").astype("f4"))
+    groups = [np.array(sorted(parts[b], key=bytes)) if b in parts else branches[b : b + 1] for b in range(len(branches))]
+    return Tree(branches, np.concatenate(groups), np.concatenate([[0], np.cumsum([len(g) for g in groups])]))
+
+
+def _calibrate(rows: DataFrame, tree: Tree, k: int, min_cosine: float, n_classes: int, width: int, params: TreeParams) -> int:
+    """The leaf visits by which the wanted share of the probes' exact neighbours is reached.
+
+    Probes are distinct classes. They are compared with every row, and k rows per probe and task leave
+    the scan. Where the probes' neighbours are too few to calibrate on, more probes are drawn, and
+    where none has any, all leaves are visited.
+    """
+    n_leaves, ranks = len(tree.leaves), []
+    if n_leaves == 1:
+        return 1
+    for probes in (params.probes, 8 * params.probes):
+        step = max(1, n_classes // probes)
+        picked = _distinct(rows.where(F.pmod("h1", F.lit(step)) == 0)).orderBy("h1", "h2").limit(probes).collect()
+        if not picked:
+            continue
+        probe = _unit(_unpack([bytes(r["packed"]) for r in picked], width))
+        own = np.array([(r["h1"], r["h2"]) for r in picked], np.int64)
+        shared = rows.sparkSession.sparkContext.broadcast((tree, probe, own))
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            t, p, mine = shared.value
+            held = [np.zeros((len(p), 0), d) for d in ("f4", "i8", "i8")]
+            for b in _slices(batches):
+                _, keys, x = _read(b, width)
+                if not len(keys):
+                    continue
+                unit = _unit(x)
+                sims = p @ unit.T
+                sims[(mine[:, :1] == keys[None, :, 0]) & (mine[:, 1:] == keys[None, :, 1])] = -2
+                # Copies count once: only the first row of a batch that has its key.
+                again = np.ones(len(keys), bool)
+                again[np.unique(keys[:, 0], return_index=True)[1]] = False
+                sims[:, again] = -2
+                m = min(k, sims.shape[1])
+                near = np.argpartition(-sims, m - 1, axis=1)[:, :m]
+                used, place = np.unique(near, return_inverse=True)
+                fresh = [np.take_along_axis(sims, near, 1), keys[near, 0], t.walk(unit[used], 1)[place.reshape(near.shape), 0]]
+                held = _best([np.concatenate(pair, axis=1) for pair in zip(held, fresh)], k)
+            q, i = np.nonzero(held[0] >= max(min_cosine, -1.5))
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(held[2][q, i], pa.int32()), pa.array(held[1][q, i]), pa.array(held[0][q, i].astype("f8"))], names=["q", "leaf", "h", "s"])
+
+        near = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("s")).alias("d"), "h", "leaf"))), 1, k)
+        got = rows.mapInArrow(scan, "q int, leaf int, h long, s double").groupBy("q").agg(near.alias("near")).collect()
+        shared.unpersist()
+        order = np.argsort(tree.walk(probe, n_leaves), axis=1)
+        ranks = np.sort([order[r["q"], n["leaf"]] for r in got for n in r["near"]])
+        if len(ranks) >= 40 or probes > n_classes:
+            break
+    return int(ranks[min(len(ranks) - 1, math.ceil(params.recall * len(ranks)) - 1)]) + 1 if len(ranks) else n_leaves
+
+
+def _best(held: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The k most similar of each row of (similarities, keys, leaves)."""
+    keep = np.argsort(-held[0], axis=1, kind="stable")[:, :k]
+    return [np.take_along_axis(h, keep, axis=1) for h in held]
+
+
+# ---------------------------------------------------------------- the search
+
+
+def _kept(ids: np.ndarray, keys: np.ndarray, hot: dict) -> np.ndarray:
+    """Copies of hot classes aren't searched, but for the first."""
+    ok = np.ones(len(ids), bool)
+    if hot:
+        names = np.array([a for a, _ in hot])
+        for i in np.nonzero(np.isin(keys[:, 0], names))[0]:
+            first = hot.get((int(keys[i, 0]), int(keys[i, 1])))
+            ok[i] = first is None or first == ids[i]
+    return ok
+
+
+def _nearest(query: tuple, rows: tuple, k: int, min_cosine: float, out: list[list]) -> None:
+    """Append the k nearest classes of each query, by exact cosine and then by the smaller id.
+
+    query, rows: (keys, ids, vectors, unit vectors); the rows' classes are distinct. Single precision
+    only picks what is within its error of the k-th place.
+    """
+    (qk, _, qx, qu), (keys, ids, x, unit) = query, rows
+    m = min(k, len(keys))
+    for lo in range(0, len(qk), 512):
+        mine = qk[lo : lo + 512]
+        sims = qu[lo : lo + 512] @ unit.T
+        sims[(mine[:, None, 0] == keys[None, :, 0]) & (mine[:, None, 1] == keys[None, :, 1])] = -2
+        edge = np.maximum(np.partition(sims, -m, axis=1)[:, -m], min_cosine) - 1e-5
+        q, i = np.nonzero((sims >= edge[:, None]) & (sims > -1.5))
+        cosine = np.empty(len(q))
+        for at in range(0, len(q), 8_192):
+            a, b = _unit(qx[lo + q[at : at + 8_192]].astype("f8")), _unit(x[i[at : at + 8_192]].astype("f8"))
+            cosine[at : at + 8_192] = np.einsum("ij,ij->i", a, b)
+        cosine = np.round(cosine, 9)
+        order = np.lexsort((ids[i], -cosine, q))
+        order = order[cosine[order] >= min_cosine]
+        q, i, cosine = q[order], i[order], cosine[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        q, i, cosine = q[rank < k], i[rank < k], cosine[rank < k]
+        for c, v in zip(out, (mine[q, 0], mine[q, 1], keys[i, 0], keys[i, 1], ids[i], cosine)):
+            c.append(v)
+
+
+_ROW, _BOTH, _QUERY = range(3)
+
+
+def _census(rows: DataFrame, tree: Tree, hot: dict, width: int) -> np.ndarray:
+    """How many rows are at home in each leaf, and how many visit it (two lines)."""
+    shared = rows.sparkSession.sparkContext.broadcast((tree, hot))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, dropped = shared.value
+        total = np.zeros((2, len(t.leaves)), np.int64)
+        for b in _slices(batches):
+            ids, keys, x = _read(b, width)
+            ok = _kept(ids, keys, dropped)
+            if ok.any():
+                walk = t.walk(_unit(x[ok]), t.visits)
+                total += np.stack([np.bincount(walk[:, 0], minlength=total.shape[1]), np.bincount(walk.ravel(), minlength=total.shape[1])])
+        at = np.nonzero(total[1])[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[0, at]), pa.array(total[1, at])], names=["leaf", "homes", "queries"])
+
+    out = np.zeros((2, len(tree.leaves)), np.int64)
+    for r in rows.mapInArrow(count, "leaf int, homes long, queries long").groupBy("leaf").agg(F.sum("homes").alias("homes"), F.sum("queries").alias("queries")).collect():  # one row per leaf
+        out[:, r["leaf"]] = r["homes"], r["queries"]
+    shared.unpersist()
+    return out
+
+
+def _cells(census: np.ndarray, params: TreeParams) -> tuple[np.ndarray, np.ndarray]:
+    """Tiles of the rows and slices of the queries of each leaf."""
+    return -(-census[0] // params.tile_rows), np.maximum(1, -(-census[1] // params.slice_rows))
+
+
+def _send(walk: np.ndarray, keys: np.ndarray, tiles: np.ndarray, slices: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, leaf, tile, slice, role) of all copies of the rows: to all slices of their own tile as rows, to one slice of each tile of the leaves they visit as queries."""
+    n = len(walk)
+    own = keys.view(np.uint64)
+    home = walk[:, 0]
+    tile = (own[:, 1] % tiles[home].astype(np.uint64)).astype(np.int64)
+    slice_of = lambda rows, leaf: (own[rows, 0] % slices[leaf].astype(np.uint64)).astype(np.int64)
+    out = []
+    # As rows.
+    row = np.repeat(np.arange(n), slices[home])
+    at = np.arange(len(row)) - np.repeat(np.cumsum(slices[home]) - slices[home], slices[home])
+    out.append((row, home[row], tile[row], at, np.where(at == slice_of(row, home[row]), _BOTH, _ROW)))
+    # As queries.
+    visit, leaf = np.repeat(np.arange(n), walk.shape[1]), walk.ravel()
+    many = tiles[leaf]
+    row, leaf = np.repeat(visit, many), np.repeat(leaf, many)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    other = (leaf != home[row]) | (at != tile[row])
+    row, leaf, at = row[other], leaf[other], at[other]
+    out.append((row, leaf, at, slice_of(row, leaf), np.full(len(row), _QUERY)))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _search(rows: DataFrame, tree: Tree, census: np.ndarray, hot: dict, k: int, min_cosine: float, width: int, row_bytes: float, params: TreeParams) -> DataFrame:
+    """Class against class within each cell: (q1, q2, h1, h2, first_id, cosine)."""
+    tiles, slices = _cells(census, params)
+    shared = rows.sparkSession.sparkContext.broadcast((tree, hot, tiles, slices))
+    names = ("leaf", "tile", "slice", "role")
 
-def _usable(df: DataFrame, id_col: str, vector_col: str, width: int | None) -> DataFrame:
-    """Rows that take part: a vector of the common width, without null or NaN, not all zero."""
-    v = F.col("vector")
-    good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0)
-    if width:
-        good &= F.size(v) == width
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where(F.col("id").isNotNull())
-    return rows.where(good).withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(1), "vector")})
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, dropped, n_tiles, n_slices = shared.value
+        for b in _slices(batches):
+            ids, keys, x = _read(b, width)
+            ok = np.nonzero(_kept(ids, keys, dropped))[0]
+            if len(ok):
+                row, *cell = _send(t.walk(_unit(x[ok]), t.visits), keys[ok], n_tiles, n_slices)
+                for lo in range(0, len(row), 8_192):
+                    part = b.take(pa.array(ok[row[lo : lo + 8_192]]))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[lo : lo + 8_192], pa.int32()) for c in cell), *(part.column(c) for c in ("id", "h1", "h2", "packed"))], names=[*names, "id", "h1", "h2", "packed"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, rows_ = None, [], None
+
+        def ready() -> tuple | None:
+            if not held:
+                return None
+            ids, keys, x = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((ids, keys[:, 1], keys[:, 0]))
+            first = np.ones(len(ids), bool)
+            first[1:] = (keys[order][1:] != keys[order][:-1]).any(axis=1)
+            order = order[first]
+            order = order[np.argsort(ids[order], kind="stable")]
+            return keys[order], ids[order], x[order], _unit(x[order])
+
+        def ask(query: tuple, out: list) -> None:
+            if rows_ is not None:
+                _nearest(query, rows_, k, min_cosine, out)
+
+        def given(out: list) -> Iterator[pa.RecordBatch]:
+            if out[0]:
+                cols = [np.concatenate(c) for c in out]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.float64())], names=["q1", "q2", "h1", "h2", "first_id", "cosine"])
+
+        def settle(out: list) -> None:
+            """The cell's rows are complete: those that are queries as well ask first."""
+            nonlocal rows_, held
+            if held:
+                rows_ = ready()
+                mine = np.concatenate([m for _, m in asking]) if asking else np.zeros(0, bool)
+                if mine.any():
+                    ids, keys, x = (np.concatenate(c)[mine] for c in zip(*held))
+                    at = np.unique(keys, axis=0, return_index=True)[1]
+                    ask((keys[at], ids[at], x[at], _unit(x[at])), out)
+                held = []
+                asking.clear()
+
+        asking: list[tuple] = []
+        for b in _slices(batches):
+            out = [[] for _ in range(6)]
+            marks = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
+            ids, keys, x = _read(b, width)
+            kind = np.concatenate([marks[:, :3], (marks[:, 3:] == _QUERY)], axis=1)
+            edges = [0, *(np.nonzero((kind[1:] != kind[:-1]).any(axis=1))[0] + 1), len(kind)]
+            for lo, hi in zip(edges, edges[1:]):
+                if hi == lo:
+                    continue
+                if cell != (here := tuple(kind[lo, :3].tolist())):
+                    settle(out)
+                    cell, rows_ = here, None
+                if kind[lo, 3]:
+                    settle(out)
+                    ask((keys[lo:hi], ids[lo:hi], x[lo:hi], _unit(x[lo:hi])), out)
+                else:
+                    held.append((ids[lo:hi], keys[lo:hi], x[lo:hi].copy()))
+                    asking.append((None, marks[lo:hi, 3] == _BOTH))
+            yield from given(out)
+        out = [[] for _ in range(6)]
+        settle(out)
+        yield from given(out)
+
+    copies = float((census[0] * slices).sum() + (census[1] * tiles).sum())
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(copies * row_bytes / params.task_bytes))
+    sent = rows.mapInArrow(visit, "leaf int, tile int, slice int, role int, id long, h1 long, h2 long, packed binary")
+    return sent.repartition(parts, "leaf", "tile", "slice").sortWithinPartitions(*names).mapInArrow(meet, "q1 long, q2 long, h1 long, h2 long, first_id long, cosine double")
 
 
 def nearest_rows(
@@ -186,34 +452,37 @@ def nearest_rows(
 ) -> DataFrame:
     """The k most similar other rows of every row: (id, neighbour, cosine), ties by the smaller id.
 
-    Null vectors, vectors with a null or NaN, all-zero vectors and vectors of another width than
-    ``width`` (default: the commonest) take no part; repeated ids count once per vector. An empty
-    table gives an empty result. Neighbours under ``min_cosine`` are left out, and recall is
-    calibrated on the others. Columns other than the two named are not read.
+    Null vectors, vectors with a null, NaN or infinite value, all-zero vectors and vectors of another
+    width than ``width`` (default: the commonest) take no part; repeated ids count once per vector. An
+    empty table gives an empty result. Neighbours under ``min_cosine`` are left out, and recall is
+    calibrated on the others. Cosines are rounded to 9 decimals. Columns other than the two named
+    are not read.
     """
-    spark = df.sparkSession
-    empty = spark.createDataFrame([], "id long, neighbour long, cosine double")
-    if width is None:
-        widths = df.where(F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("w")).count().orderBy(F.desc("count"), "w").head()
-        width = widths and widths["w"]
-    if not width:
+    empty = df.sparkSession.createDataFrame([], "id long, neighbour long, cosine double")
+    coded = _coded(df, id_col, vector_col, params)
+    sizes = coded.groupBy("width").agg(F.count("*").alias("n"), F.avg(F.length("packed")).alias("bytes"))
+    if width is not None:
+        sizes = sizes.where(F.col("width") == width)
+    common = sizes.orderBy(F.desc("n"), "width").head()
+    if common is None:
         return empty
-    rows = _usable(df, id_col, vector_col, width)
+    width, total = common["width"], common["n"]
+    rows = coded.where(F.col("width") == width).select("id", "h1", "h2", "packed")
+    ids = rows.select("id", "h1", "h2")
 
-    # One row per class: its six smallest ids are all that any neighbour list can use.
-    ids = materialise(rows.select("id", "h1", "h2"), "vector-ids")
+    # One row per class: its k + 1 smallest ids are all that any neighbour list can use.
     rank = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))  # limited before the shuffle
     firsts = ids.distinct().withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("h1", "h2").agg(F.array_sort(F.collect_set("id")).alias("first"))
     classes = materialise(ids.groupBy("h1", "h2").agg(F.count("*").alias("n")).join(firsts, ["h1", "h2"]), "vector-classes")
-    total, n_classes = classes.agg(F.sum("n"), F.count("*")).head()
-    if not n_classes:
-        return empty
-    # Copies of hot classes aren't shipped. At most 1000 classes can have a thousandth of all rows.
-    hot = {(r["h1"], r["h2"]): r["first"][0] for r in classes.where(F.col("n") >= max(64, math.ceil(total / 1000))).select("h1", "h2", "first").collect()}
+    n_classes = classes.count()
+    # At most 1000 classes can have a thousandth of all rows.
+    common_ones = classes.where(F.col("n") >= max(64, math.ceil(total / 1000))).select("h1", "h2", "first").collect()
+    hot = {(r["h1"], r["h2"]): r["first"][0] for r in common_ones}
 
-    tree = _fit(rows, n_classes, params)
-    tree.visits = _calibrate(rows, tree, k, min_cosine, n_classes, params)
-    found = _search(rows, tree, hot, k, min_cosine, params)
+    tree = _fit(rows, n_classes, width, params)
+    tree.visits = _calibrate(rows, tree, k, min_cosine, n_classes, width, params)
+    census = _census(rows, tree, hot, width)
+    found = _search(rows, tree, census, hot, k, min_cosine, width, common["bytes"] + 40, params)
 
     # Keep the best k classes of each class; then hand them to all rows of the class.
     best = found.groupBy("q1", "q2").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("d"), "first_id", "h1", "h2"))), 1, k).alias("near"))
@@ -221,176 +490,60 @@ def nearest_rows(
     other = flat.join(classes.select("h1", "h2", "first"), ["h1", "h2"]).select("q1", "q2", "d", "first")
     own = classes.where(F.col("n") > 1).select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), F.lit(-1.0).alias("d"), "first")
     lists = other.unionByName(own).groupBy("q1", "q2").agg(F.flatten(F.collect_list(F.transform("first", lambda i: F.struct("d", i.alias("i"))))).alias("near"))
-    lists = lists.withColumn("near", F.slice(F.array_sort("near"), 1, k + 1))
-    pairs = ids.join(lists, (ids.h1 == lists.q1) & (ids.h2 == lists.q2)).select("id", F.slice(F.filter("near", lambda x: x["i"] != F.col("id")), 1, k).alias("near"))
+    lists = lists.select(F.col("q1").alias("h1"), F.col("q2").alias("h2"), F.slice(F.array_sort("near"), 1, k + 1).alias("near"))
+    if hot:
+        # Rows of hot classes get their lists from a broadcast of at most 1000 of them.
+        keys = F.broadcast(df.sparkSession.createDataFrame(list(hot), "h1 long, h2 long"))
+        lists = materialise(lists, "neighbour-lists")
+        given = ids.join(keys, ["h1", "h2"], "left_anti").join(lists, ["h1", "h2"]).unionByName(ids.join(F.broadcast(lists.join(keys, ["h1", "h2"], "left_semi")), ["h1", "h2"]))
+    else:
+        given = ids.join(lists, ["h1", "h2"])
+    pairs = given.select("id", F.slice(F.filter("near", lambda x: x["i"] != F.col("id")), 1, k).alias("near"))
     return pairs.select("id", F.explode("near").alias("n")).select("id", F.col("n.i").alias("neighbour"), (-F.col("n.d")).alias("cosine")).where(F.col("cosine") >= min_cosine)
 
 
-def _fit(rows: DataFrame, n_classes: int, params: TreeParams) -> Tree:
-    """The tree, from at most sample_rows classes chosen by their hash."""
-    leaves = int(min(params.max_leaves, max(1, n_classes // params.rows_per_leaf)))
-    wanted = min(params.sample_rows, max(params.least_sample, 16 * leaves))
-    step = max(1, math.ceil(n_classes / wanted))
-    sample = rows.where(F.pmod("h2", F.lit(step)) == 0)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
-            if b.num_rows:
-                _, keys, unit = _units(b)
-                keep = np.unique(keys[:, 1], return_index=True)[1]
-                yield pa.RecordBatch.from_pydict({"rows": pa.array([len(keep)], pa.int32()), "h": pa.array([keys[keep, 1].tolist()], pa.list_(pa.int64())), "packed": pa.array([_pack(unit[keep])], pa.binary())})
-
-    got = sample.mapInArrow(pack, "rows int, h array<long>, packed binary").collect()
-    if not got:
-        got = rows.limit(1).mapInArrow(pack, "rows int, h array<long>, packed binary").collect()
-    x = np.concatenate([_unpack(bytes(r["packed"]), r["rows"]) for r in got])
-    h = np.concatenate([np.array(r["h"]) for r in got])
-    return fit_tree(x[np.unique(h, return_index=True)[1]], leaves, params)
-
-
-def _calibrate(rows: DataFrame, tree: Tree, k: int, min_cosine: float, n_classes: int, params: TreeParams) -> int:
-    """Leaf visits by which the wanted share of the probes' exact neighbours is reached.
-
-    The probes are compared with every row, block by block; nothing is shuffled but k rows per probe
-    and task.
-    """
-    if len(tree.leaves) == 1:
-        return 1
-    step = max(1, n_classes // params.probes)
-    picked = rows.where(F.pmod("h1", F.lit(step)) == 0).orderBy("h1", "id").limit(params.probes).select("h1", "vector").collect()
-    if not picked:
-        return len(tree.leaves)
-    probe = np.array([r["vector"] for r in picked], "f4")
-    probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-    own = np.array([r["h1"] for r in picked])
-    shared = rows.sparkSession.sparkContext.broadcast((tree, probe, own))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, p, mine = shared.value
-        for b in _slices(batches):
-            _, keys, unit = _units(b)
-            sims = unit @ p.T
-            sims[keys[:, :1] == mine[None, :]] = -2
-            m = min(k, len(sims))
-            edge = np.maximum(np.partition(sims, -m, axis=0)[-m], min_cosine)
-            q, i = np.nonzero((sims >= edge[None, :]).T)
-            leaf = t.home(unit[i]) if len(i) else np.array([], int)
-            yield pa.RecordBatch.from_pydict({"q": pa.array(q, pa.int32()), "h": pa.array(keys[i, 0], pa.int64()), "s": pa.array(sims[i, q].astype("f8")), "leaf": pa.array(leaf, pa.int32())})
-
-    near = rows.mapInArrow(scan, "q int, h long, s double, leaf int").where(F.col("s") >= min_cosine)
-    best = near.groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("s")).alias("d"), "h", "leaf"))), 1, k).alias("near")).collect()
-    order = np.argsort(np.argsort(-tree.keys(probe), axis=1), axis=1)
-    ranks = np.sort([order[r["q"], n["leaf"]] for r in best for n in r["near"]])
-    shared.unpersist()
-    if not len(ranks):
-        return min(2, len(tree.leaves))
-    return int(ranks[min(len(ranks) - 1, math.ceil(params.recall * len(ranks)) - 1)]) + 1
-
-
-def _search(rows: DataFrame, tree: Tree, hot: dict, k: int, min_cosine: float, params: TreeParams) -> DataFrame:
-    """Class against class within each leaf: (q1, q2, h1, h2, first_id, cosine)."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((tree, hot))
-    block = "leaf int, tile int, query boolean, rows int, keys binary, ids binary, packed binary"
-
-    def keep(ids: np.ndarray, keys: np.ndarray, dropped: dict) -> np.ndarray:
-        ok = np.ones(len(ids), bool)
-        if dropped:
-            h1s = np.array([a for a, _ in dropped])
-            for i in np.nonzero(np.isin(keys[:, 0], h1s))[0]:
-                first = dropped.get((int(keys[i, 0]), int(keys[i, 1])))
-                ok[i] = first is None or first == ids[i]
-        return ok
-
-    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, dropped = shared.value
-        for b in _slices(batches):
-            if b.num_rows:
-                ids, keys, unit = _units(b)
-                ok = keep(ids, keys, dropped)
-                leaf, n = np.unique(t.home(unit[ok]), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"leaf": pa.array(leaf, pa.int32()), "n": pa.array(n, pa.int64())})
-
-    sizes = {r["leaf"]: r["n"] for r in rows.mapInArrow(homes, "leaf int, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
-    tiles = spark.sparkContext.broadcast({leaf: math.ceil(n / params.tile_rows) for leaf, n in sizes.items()})  # one entry per leaf
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, dropped = shared.value
-        many = tiles.value
-
-        def out(leaf, tile, query, keys, ids, unit):
-            return (leaf, tile, query, len(ids), keys.astype("<i8").tobytes(), ids.astype("<i8").tobytes(), _pack(unit))
-
-        def write(got):
-            return pa.RecordBatch.from_pydict({n: pa.array(c, ty) for n, c, ty in zip(("leaf", "tile", "query", "rows", "keys", "ids", "packed"), zip(*got), (pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))})
-
-        def flush(held):
-            ids, keys, unit = (np.concatenate(x) for x in zip(*held))
-            path = t.keys(unit)
-            visits = min(t.visits, path.shape[1])
-            walk = np.argpartition(-path, visits - 1, axis=1)[:, :visits] if visits < path.shape[1] else np.tile(np.arange(path.shape[1]), (len(path), 1))
-            home = path.argmax(axis=1)
-            got = []
-            for leaf in np.unique(walk):
-                n_tiles = many.get(int(leaf), 0)
-                if not n_tiles:
-                    continue
-                mine = np.nonzero(home == leaf)[0]
-                tile = keys[mine, 1] % n_tiles
-                for x in range(n_tiles):
-                    if len(at := mine[tile == x]):
-                        got.append(out(int(leaf), x, False, keys[at], ids[at], unit[at]))
-                at = np.nonzero((walk == leaf).any(axis=1) & (home != leaf))[0]
-                for x in range(n_tiles):
-                    # A tile's own rows are also its queries; those of its sister tiles must be sent.
-                    q = np.concatenate([at, mine[tile != x]])
-                    if len(q):
-                        got.append(out(int(leaf), x, True, keys[q], ids[q], unit[q]))
-            return write(got) if got else None
-
-        held, n = [], 0
-        for b in _slices(batches):
-            if b.num_rows:
-                ids, keys, unit = _units(b)
-                ok = keep(ids, keys, dropped)
-                held.append((ids[ok], keys[ok], unit[ok]))
-                n += int(ok.sum())
-            if n >= 8_192:
-                if (r := flush(held)) is not None:
-                    yield r
-                held, n = [], 0
-        if n and (r := flush(held)) is not None:
-            yield r
-
-    def compare(table: pa.Table) -> pa.Table:
-        parts = {False: [], True: []}
-        for r in table.select(["query", "rows", "keys", "ids", "packed"]).to_pylist():
-            parts[r["query"]].append((np.frombuffer(r["keys"], "<i8").reshape(-1, 2), np.frombuffer(r["ids"], "<i8"), r["packed"], r["rows"]))
-        cols = {n: [] for n in ("q1", "q2", "h1", "h2", "first_id", "cosine")}
-        if parts[False]:
-            keys, ids = np.concatenate([p[0] for p in parts[False]]), np.concatenate([p[1] for p in parts[False]])
-            unit = np.concatenate([_unpack(p[2], p[3]) for p in parts[False]])
-            order = np.lexsort((ids, keys[:, 1], keys[:, 0]))
-            keys, ids, unit = keys[order], ids[order], unit[order]
-            first = np.ones(len(keys), bool)
-            first[1:] = (keys[1:] != keys[:-1]).any(axis=1)
-            keys, ids, unit = keys[first], ids[first], unit[first]
-            sub = _local_tree(unit, k, min_cosine, params) if len(unit) > params.brute_rows else None
-            queries = [(keys, unit)] + [(p[0], p[2], p[3]) for p in parts[True]]
-            for part in queries:
-                qk, qu = part if len(part) == 2 else (part[0], _unpack(part[1], part[2]))
-                for lo in range(0, len(qk), 2_048):
-                    own, mine = qk[lo : lo + 2_048], qu[lo : lo + 2_048]
-                    for rows_, members in [(slice(None), slice(None))] if sub is None else sub.visited(mine):
-                        _nearest(own[rows_], mine[rows_], keys[members], ids[members], unit[members], k, min_cosine, cols)
-        types = {"cosine": pa.float64()}
-        return pa.table({n: pa.array(np.concatenate(v) if v else [], types.get(n, pa.int64())) for n, v in cols.items()})
-
-    blocks = rows.mapInArrow(visit, block)
-    return blocks.groupBy("leaf", "tile").applyInArrow(compare, "q1 long, q2 long, h1 long, h2 long, first_id long, cosine double")
-
-
 def neighbour_pairs(df: DataFrame, id_col: str, vector_col: str, k: int = 5, min_cosine: float = 0.8, params: TreeParams = TreeParams()) -> DataFrame:
     """Pairs (id_a < id_b) of which one is among the other's k most similar rows."""
     near = nearest_rows(df, id_col, vector_col, k, min_cosine, params=params)
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def measured_recall(df: DataFrame, found: DataFrame, id_col: str, vector_col: str, k: int = 5, min_cosine: float = -1.0, every: int = 50, block: int = 512, params: TreeParams = TreeParams()) -> tuple[int, int]:
+    """(exact neighbours, those of them in ``found``) of the rows whose id is divisible by ``every``, by brute force against all rows, in blocks of ``block`` queries.
+
+    found: (id, neighbour) of nearest_rows. This is a measurement, not part of the search.
+    """
+    coded = _coded(df, id_col, vector_col, params)
+    common = coded.groupBy("width").count().orderBy(F.desc("count"), "width").head()
+    if common is None:
+        return 0, 0
+    width = common["width"]
+    rows = coded.where(F.col("width") == width)
+    asked = rows.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id"])
+    blocks = max(1, -(-asked.count() // block))
+    wanted = hits = 0
+    answers = found.where(F.pmod("id", F.lit(every)) == 0).select("id", "neighbour")
+    for n in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).select("id", "packed").collect()
+        if not part:
+            continue
+        shared = df.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in part]), _unpack([bytes(r["packed"]) for r in part], width)))
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            qid, qx = shared.value
+            query = (np.stack([qid, qid], axis=1), qid, qx, _unit(qx))
+            for b in _slices(batches):
+                ids, _, x = _read(b, width)
+                at = np.unique(ids, return_index=True)[1]
+                out: list[list] = [[] for _ in range(6)]
+                # Here a row's id stands for its class, so that copies count as rows of their own.
+                _nearest(query, (np.stack([ids[at], ids[at]], axis=1), ids[at], x[at], _unit(x[at])), k, min_cosine, out)
+                cols = [np.concatenate(c) for c in out]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[4]), pa.array(cols[5])], names=["id", "neighbour", "cosine"])
+
+        near = rows.select("id", "h1", "h2", "packed").mapInArrow(scan, "id long, neighbour long, cosine double").distinct()
+        best = near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))).where(F.col("rank") <= k)
+        got = best.join(answers.withColumn("hit", F.lit(1)), ["id", "neighbour"], "left").agg(F.count("*"), F.count("hit")).head()
+        wanted, hits = wanted + got[0], hits + got[1]
+        shared.unpersist()
+    return wanted, hits

@@ -26,8 +26,8 @@ def vectors(n=400, width=24, seed=1):
 
 
 def brute(ids, x, k, low):
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = np.round(unit.astype("f8") @ unit.T.astype("f8"), 5)
+    unit = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 9)
     out = set()
     for i in range(len(ids)):
         order = sorted((-s[i, j], ids[j]) for j in range(len(ids)) if j != i and s[i, j] >= low)[:k]
@@ -39,7 +39,7 @@ def test_neighbours_against_brute_force(spark):
     x = vectors()
     rows = [(i, v.tolist(), "extra") for i, v in enumerate(x)] + [(9001, None, "n"), (9002, [0.0] * 24, "z"), (9003, [1.0, 2.0], "w"), (9004, [float("nan")] * 24, "f"), (9005, [None] * 24, "u"), (None, x[0].tolist(), "i")]
     df = spark.createDataFrame(rows, "row long, vec array<float>, id string")
-    got = {tuple(r) for r in neighbours.neighbour_pairs(df, "row", "vec", 5, 0.8, TreeParams(rows_per_leaf=40, probes=60, tile_rows=50)).collect()}
+    got = {tuple(r) for r in neighbours.neighbour_pairs(df, "row", "vec", 5, 0.8, TreeParams(rows_per_leaf=40, probes=60, tile_rows=50, slice_rows=200)).collect()}
     want = brute(list(range(400)), x, 5, 0.8)
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
     near = neighbours.nearest_rows(df, "row", "vec", 5, params=TreeParams(rows_per_leaf=40, probes=60)).collect()
@@ -48,13 +48,49 @@ def test_neighbours_against_brute_force(spark):
     assert len(found & full) >= 0.9 * len(full)
 
 
-def test_trees_within_tiles(spark):
+def test_cells_of_bounded_size(spark):
+    # Two leaves, many tiles and slices: every row must still meet every query of its leaf.
     x = vectors(1500, seed=4)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row long, vec array<float>")
-    params = TreeParams(rows_per_leaf=40, max_leaves=3, brute_rows=60, tile_rows=400, probes=60)
+    params = TreeParams(rows_per_leaf=40, max_leaves=2, tile_rows=100, slice_rows=150, probes=60)
     got = {tuple(r) for r in neighbours.neighbour_pairs(df, "row", "vec", 5, 0.8, params).collect()}
     want = brute(list(range(1500)), x, 5, 0.8)
-    assert len(got & want) >= 0.96 * len(want) and len(got - want) <= 0.04 * len(want)
+    assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
+    one = TreeParams(rows_per_leaf=10_000, tile_rows=100, slice_rows=150)
+    assert {tuple(r) for r in neighbours.neighbour_pairs(df, "row", "vec", 5, 0.8, one).collect()} == want
+
+
+def test_copies_are_sent_to_cells_of_bounded_size():
+    rng = np.random.default_rng(0)
+    # A small leaf that all rows visit, and one without rows.
+    tiles, slices = neighbours._cells(np.array([[1000, 37, 0], [1037, 1037, 0]]), TreeParams(tile_rows=64, slice_rows=128))
+    walk = np.stack([np.repeat([0, 1], [1000, 37]), np.repeat([1, 0], [1000, 37])], axis=1)
+    keys = rng.integers(-(2**62), 2**62, (1037, 2))
+    row, leaf, tile, slice_, role = neighbours._send(walk, keys, tiles, slices)
+    for cell in {(a, b, c) for a, b, c in zip(leaf, tile, slice_)}:
+        here = (leaf == cell[0]) & (tile == cell[1]) & (slice_ == cell[2])
+        assert (role[here] != 2).sum() <= 2 * 64 and (role[here] != 0).sum() <= 2 * 128
+    # Each query meets each tile of its leaves once, each row each slice of its tile.
+    for at in (0, 1000):
+        asked = [(a, b) for r, a, b, k in zip(row, leaf, tile, role) if r == at and k > 0]
+        assert sorted(asked) == sorted((a, t) for a in walk[at] for t in range(tiles[a]))
+
+
+def test_infinite_and_extreme_vectors(spark):
+    x = vectors(200)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(900, [float("inf")] + [1.0] * 23), (901, [float("-inf")] * 24), (902, (x[3] * np.float32(1e30)).tolist()), (903, (x[5] * np.float32(1e-30)).tolist())]
+    df = spark.createDataFrame(rows, "row long, vec array<float>")
+    got = {tuple(r) for r in neighbours.neighbour_pairs(df, "row", "vec", 5, 0.8, TreeParams(rows_per_leaf=40, probes=60)).collect()}
+    assert not any(900 in p or 901 in p for p in got) and (3, 902) in got and (5, 903) in got
+
+
+def test_measured_recall(spark):
+    x = vectors(600, seed=9)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row long, vec array<float>")
+    found = neighbours.nearest_rows(df, "row", "vec", 5, params=TreeParams(rows_per_leaf=40, probes=60))
+    wanted, hits = neighbours.measured_recall(df, found, "row", "vec", 5, every=10, block=16)
+    assert wanted == 300 and hits >= 0.97 * wanted
 
 
 def test_a_hot_vector(spark):
