@@ -3,8 +3,8 @@
 Plan. The vectors are written once, losslessly compressed, with a hash of their values; all further
 passes read that table. A tree of two levels is fitted on bounded samples, the branches on the driver, each
 branch's leaves in a task of its own. Each row goes to its home leaf and, as a query, to the leaves
-that a best-bin-first walk pops next; how many is calibrated against exact neighbours of probe rows
-over the whole table. Rows and queries of a leaf meet in cells: a tile of bounded rows is held, and
+that a best-bin-first walk pops next; how many, and how much less like the row than its home they
+may be, is calibrated against exact neighbours of probe rows over the whole table. Rows and queries of a leaf meet in cells: a tile of bounded rows is held, and
 the queries stream past it in slices, so no task holds a group whole. Cosines are exact. Copies of one
 vector form a class: they are searched once and share their neighbours, so a vector that fills a third
 of the table costs one search.
@@ -40,7 +40,7 @@ class TreeParams:
     ``tile_rows`` rows and sees about ``slice_rows`` queries, whatever the leaf's size.
     """
 
-    rows_per_leaf: int = 600
+    rows_per_leaf: int = 1_000
     sample_per_leaf: int = 32
     branch_rows: int = 16_384
     max_leaves: int = 32_768
@@ -60,13 +60,14 @@ class Tree:
     leaves: np.ndarray
     first: np.ndarray
     visits: int = 1
+    gap: float = 2.0
 
-    def walk(self, unit: np.ndarray, visits: int) -> np.ndarray:
-        """The leaves that a best-bin-first walk pops first, in order, for each row."""
+    def walk(self, unit: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The leaves that a best-bin-first walk pops first, in order, for each row, and the row's similarity to them."""
         visits = min(visits, len(self.leaves))
         top = unit @ self.branches.T
         order = np.argsort(-top, axis=1)
-        best = np.full((len(unit), visits), -9.0, np.float32)
+        best, alike = np.full((2, len(unit), visits), -9.0, np.float32)
         leaf = np.full((len(unit), visits), -1, np.int64)
         active = np.arange(len(unit))
         for r in range(len(self.branches)):
@@ -82,10 +83,20 @@ class Tree:
                 # Of leaves with one path minimum, those most like the row are popped first.
                 key = np.minimum(own, top[at, b][:, None]) + np.float32(1e-6) * own
                 keys = np.concatenate([best[at], key], axis=1)
-                names = np.concatenate([leaf[at], np.broadcast_to(np.arange(lo, hi), key.shape)], axis=1)
                 keep = np.argpartition(-keys, visits - 1, axis=1)[:, :visits]
-                best[at], leaf[at] = np.take_along_axis(keys, keep, axis=1), np.take_along_axis(names, keep, axis=1)
-        return np.take_along_axis(leaf, np.argsort(-best, axis=1, kind="stable"), axis=1)
+                best[at] = np.take_along_axis(keys, keep, axis=1)
+                leaf[at] = np.take_along_axis(np.concatenate([leaf[at], np.broadcast_to(np.arange(lo, hi), key.shape)], axis=1), keep, axis=1)
+                alike[at] = np.take_along_axis(np.concatenate([alike[at], own], axis=1), keep, axis=1)
+        order = np.argsort(-best, axis=1, kind="stable")
+        return np.take_along_axis(leaf, order, axis=1), np.take_along_axis(alike, order, axis=1)
+
+    def home(self, unit: np.ndarray) -> np.ndarray:
+        return self.walk(unit, 1)[0][:, 0]
+
+    def visited(self, unit: np.ndarray) -> np.ndarray:
+        """The leaves that each row visits, its home first; -1 for those that are too little like the row."""
+        leaf, alike = self.walk(unit, self.visits)
+        return np.where(alike >= alike[:, :1] - self.gap, leaf, -1)
 
 
 # ---------------------------------------------------------------- vectors as bytes
@@ -211,16 +222,16 @@ def _fit(rows: DataFrame, n_classes: int, width: int, params: TreeParams) -> Tre
     return Tree(branches, np.concatenate(groups), np.concatenate([[0], np.cumsum([len(g) for g in groups])]))
 
 
-def _calibrate(rows: DataFrame, tree: Tree, k: int, min_cosine: float, n_classes: int, width: int, params: TreeParams) -> int:
-    """The leaf visits by which the wanted share of the probes' exact neighbours is reached.
+def _calibrate(rows: DataFrame, tree: Tree, k: int, min_cosine: float, n_classes: int, width: int, params: TreeParams) -> tuple[int, float]:
+    """The leaf visits, and the gap in similarity, by which the wanted share of the probes' exact neighbours is reached.
 
     Probes are distinct classes. They are compared with every row, and k rows per probe and task leave
     the scan. Where the probes' neighbours are too few to calibrate on, more probes are drawn, and
     where none has any, all leaves are visited.
     """
-    n_leaves, ranks = len(tree.leaves), []
+    n_leaves, pairs = len(tree.leaves), []
     if n_leaves == 1:
-        return 1
+        return 1, 2.0
     for probes in (params.probes, 8 * params.probes):
         step = max(1, n_classes // probes)
         picked = _distinct(rows.where(F.pmod("h1", F.lit(step)) == 0)).orderBy("h1", "h2").limit(probes).collect()
@@ -247,7 +258,7 @@ def _calibrate(rows: DataFrame, tree: Tree, k: int, min_cosine: float, n_classes
                 m = min(k, sims.shape[1])
                 near = np.argpartition(-sims, m - 1, axis=1)[:, :m]
                 used, place = np.unique(near, return_inverse=True)
-                fresh = [np.take_along_axis(sims, near, 1), keys[near, 0], t.walk(unit[used], 1)[place.reshape(near.shape), 0]]
+                fresh = [np.take_along_axis(sims, near, 1), keys[near, 0], t.home(unit[used])[place.reshape(near.shape)]]
                 held = _best([np.concatenate(pair, axis=1) for pair in zip(held, fresh)], k)
             q, i = np.nonzero(held[0] >= max(min_cosine, -1.5))
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(held[2][q, i], pa.int32()), pa.array(held[1][q, i]), pa.array(held[0][q, i].astype("f8"))], names=["q", "leaf", "h", "s"])
@@ -255,11 +266,28 @@ def _calibrate(rows: DataFrame, tree: Tree, k: int, min_cosine: float, n_classes
         near = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("s")).alias("d"), "h", "leaf"))), 1, k)
         got = rows.mapInArrow(scan, "q int, leaf int, h long, s double").groupBy("q").agg(near.alias("near")).collect()
         shared.unpersist()
-        order = np.argsort(tree.walk(probe, n_leaves), axis=1)
-        ranks = np.sort([order[r["q"], n["leaf"]] for r in got for n in r["near"]])
-        if len(ranks) >= 40 or probes > n_classes:
+        pairs = [(r["q"], n["leaf"]) for r in got for n in r["near"]]
+        if len(pairs) >= 40 or probes > n_classes:
             break
-    return int(ranks[min(len(ranks) - 1, math.ceil(params.recall * len(ranks)) - 1)]) + 1 if len(ranks) else n_leaves
+    return _policy(tree, probe, np.array(pairs), params.recall) if pairs else (n_leaves, 2.0)
+
+
+def _policy(tree: Tree, probe: np.ndarray, pairs: np.ndarray, recall: float) -> tuple[int, float]:
+    """Of all numbers of visits and gaps that reach the recall on (probe, leaf) pairs, those that cost the fewest visits."""
+    leaf, alike = tree.walk(probe, len(tree.leaves))
+    gaps = alike[:, :1] - alike
+    rank = np.argsort(leaf, axis=1)[pairs[:, 0], pairs[:, 1]]
+    gap = gaps[pairs[:, 0], rank]
+    need = math.ceil(recall * len(rank))
+    best = None
+    for visits in np.unique(rank) + 1:
+        inside = np.sort(gap[rank < visits])
+        if len(inside) >= need:
+            most = float(inside[need - 1]) + 1e-6
+            cost = (gaps[:, :visits] <= most).sum()
+            if best is None or cost < best[0]:
+                best = (cost, int(visits), most)
+    return best[1], best[2]
 
 
 def _best(held: list[np.ndarray], k: int) -> list[np.ndarray]:
@@ -324,8 +352,8 @@ def _census(rows: DataFrame, tree: Tree, hot: dict, width: int) -> np.ndarray:
             ids, keys, x = _read(b, width)
             ok = _kept(ids, keys, dropped)
             if ok.any():
-                walk = t.walk(_unit(x[ok]), t.visits)
-                total += np.stack([np.bincount(walk[:, 0], minlength=total.shape[1]), np.bincount(walk.ravel(), minlength=total.shape[1])])
+                walk = t.visited(_unit(x[ok]))
+                total += np.stack([np.bincount(walk[:, 0], minlength=total.shape[1]), np.bincount(walk[walk >= 0], minlength=total.shape[1])])
         at = np.nonzero(total[1])[0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[0, at]), pa.array(total[1, at])], names=["leaf", "homes", "queries"])
 
@@ -354,7 +382,7 @@ def _send(walk: np.ndarray, keys: np.ndarray, tiles: np.ndarray, slices: np.ndar
     at = np.arange(len(row)) - np.repeat(np.cumsum(slices[home]) - slices[home], slices[home])
     out.append((row, home[row], tile[row], at, np.where(at == slice_of(row, home[row]), _BOTH, _ROW)))
     # As queries.
-    visit, leaf = np.repeat(np.arange(n), walk.shape[1]), walk.ravel()
+    visit, leaf = np.repeat(np.arange(n), walk.shape[1])[walk.ravel() >= 0], walk[walk >= 0]
     many = tiles[leaf]
     row, leaf = np.repeat(visit, many), np.repeat(leaf, many)
     at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
@@ -376,7 +404,7 @@ def _search(rows: DataFrame, tree: Tree, census: np.ndarray, hot: dict, k: int,
             ids, keys, x = _read(b, width)
             ok = np.nonzero(_kept(ids, keys, dropped))[0]
             if len(ok):
-                row, *cell = _send(t.walk(_unit(x[ok]), t.visits), keys[ok], n_tiles, n_slices)
+                row, *cell = _send(t.visited(_unit(x[ok])), keys[ok], n_tiles, n_slices)
                 for lo in range(0, len(row), 8_192):
                     part = b.take(pa.array(ok[row[lo : lo + 8_192]]))
                     yield pa.RecordBatch.from_arrays([*(pa.array(c[lo : lo + 8_192], pa.int32()) for c in cell), *(part.column(c) for c in ("id", "h1", "h2", "packed"))], names=[*names, "id", "h1", "h2", "packed"])
@@ -480,7 +508,7 @@ def nearest_rows(
     hot = {(r["h1"], r["h2"]): r["first"][0] for r in common_ones}
 
     tree = _fit(rows, n_classes, width, params)
-    tree.visits = _calibrate(rows, tree, k, min_cosine, n_classes, width, params)
+    tree.visits, tree.gap = _calibrate(rows, tree, k, min_cosine, n_classes, width, params)
     census = _census(rows, tree, hot, width)
     found = _search(rows, tree, census, hot, k, min_cosine, width, common["bytes"] + 40, params)
 
