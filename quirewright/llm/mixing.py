@@ -1,11 +1,14 @@
 """Mixing sources to target weights by hierarchical budgeting.
 
 Plan. Documents are counted once in tokens of a public tokenizer. Supplies are added up by leaf
-(domain, source, language); only these sums reach the driver. A mix's weights go down the tree; a
-node that can't use its budget, even with all repeats, gives the rest to its siblings, and only what
-they can't take goes to its ancestors' siblings. Each leaf then takes whole seeded epochs and a
-prefix of one more. A prefix is found by sums over hash ranges, so the documents of a leaf never
-meet in one task, however large it is.
+(domain, language, source); only these sums reach the driver. A mix's weights go down the tree, a
+source's weight in proportion to what its leaves hold, so that all leaves of a source run short
+together or not at all. A node that can't use its budget, even with all repeats, gives the rest to its
+siblings, and only what they can't take goes to its ancestors' siblings. Each leaf then takes whole
+seeded epochs and a prefix of one more. A prefix is found by sums over hash ranges, so the documents
+of a leaf never meet in one task, however large it is. As documents are whole, leaves miss their
+budgets by parts of one; the largest leaf of each source makes up for the others, so that a source
+misses its budget by half a document at most.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from quirewright.plans.storage import materialise
 class MixParams:
     """budget: tokens of the mix, as a factor of its sources' supply, or None for the most that meets every target; rows_per_range: documents per hash range."""
 
-    budget: float | None = None
+    budget: float | None = 1.0
     rows_per_range: int = 20_000
     seed: int = 17
     vocabulary: str = VOCABULARY
@@ -65,6 +68,9 @@ def allot(leaves: dict[tuple, tuple[float, float]], total: float, depth: int = 0
     return out
 
 
+_LEAF = ["domain", "lang", "source"]
+
+
 def mix(docs: DataFrame, targets: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """(mix_name, doc_id, epoch, domain, source, lang, tokens, target_share): the chosen documents, once per epoch.
 
@@ -72,7 +78,8 @@ def mix(docs: DataFrame, targets: DataFrame, params: MixParams = MixParams()) ->
     Documents without text, id or source take no part; a null language is 'und', case is ignored, a
     null domain is ''. Shares are scaled to a sum of 1 per mix; null or non-positive shares are left
     out, null repeats are 1; of repeated targets for one source the shares are added and the smallest
-    repeats count. Sources without documents count only where the budget is given. Empty tables give no rows.
+    repeats count. Sources without documents count only where a budget is given: the others take their
+    part. A budget beyond all repeats is cut to these. Empty tables give no rows.
     """
     spark = docs.sparkSession
     wanted = targets.where((F.col("target_share") > 0) & F.col("source").isNotNull()).groupBy("mix_name", "source")
@@ -83,14 +90,14 @@ def mix(docs: DataFrame, targets: DataFrame, params: MixParams = MixParams()) ->
         return spark.createDataFrame([], schema)
     rows = docs.where(F.col("text").isNotNull() & (F.col("text") != "") & F.col("doc_id").isNotNull() & F.col("source").isin(names))
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("domain", F.lit("")).alias("domain"), "source", F.lower(F.coalesce("lang", F.lit("und"))).alias("lang"), "text")
-    leaf = ["domain", "source", "lang"]
-    counted = materialise(with_tokens(rows, ["doc_id", *leaf], params.vocabulary), "token-counts")
-    supply = {tuple(r[c] for c in leaf): (r["tokens"], r["n"]) for r in counted.groupBy(*leaf).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()}
+    counted = materialise(with_tokens(rows, ["doc_id", *_LEAF], params.vocabulary), "token-counts")
+    supply = {tuple(r[c] for c in _LEAF): (r["tokens"], r["n"]) for r in counted.groupBy(*_LEAF).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()}
     of_source: dict[str, int] = {}
-    for (_, s, _), (t, _) in supply.items():
+    for (_, _, s), (t, _) in supply.items():
         of_source[s] = of_source.get(s, 0) + t
 
-    plan = []
+    budgets: dict[tuple, float] = {}
+    share_of: dict[tuple, float] = {}
     for name in sorted({r["mix_name"] for r in wanted}):
         own = {r["source"]: (r["share"], r["repeats"]) for r in wanted if r["mix_name"] == name}
         whole = sum(s for s, _ in own.values())
@@ -102,20 +109,40 @@ def mix(docs: DataFrame, targets: DataFrame, params: MixParams = MixParams()) ->
             total = min(of_source[s] * k / (w / some) for s, (w, k) in stocked.items())
         else:
             total = params.budget * sum(of_source[s] for s in stocked)
-        leaves = {p: (stocked[p[1]][0] / whole * t / of_source[p[1]], float(t * stocked[p[1]][1])) for p, (t, _) in supply.items() if p[1] in stocked}
-        for path, got in allot(leaves, total).items():
-            t, n = supply[path]
-            epochs = int((got + 1e-6) // t)
-            plan.append((name, *path, epochs, int(round(got - epochs * t)), max(1, n // params.rows_per_range), stocked[path[1]][0] / whole))
-    if not plan:
+        leaves = {p: (stocked[p[2]][0] / whole * t / of_source[p[2]], float(t * stocked[p[2]][1])) for p, (t, _) in supply.items() if p[2] in stocked and t}
+        budgets |= {(name, *path): got for path, got in allot(leaves, total).items()}
+        share_of |= {(name, s): w / whole for s, (w, _) in stocked.items()}
+    if not budgets:
         return spark.createDataFrame([], schema)
 
-    budgets = spark.createDataFrame(plan, "mix_name string, domain string, source string, lang string, epochs int, rest long, ranges long, target_share double")
-    matched = counted.join(budgets, leaf)
-    cols = ["mix_name", "doc_id", "epoch", *leaf, "tokens", "target_share"]
+    # What the smaller leaves of a source miss is made up for by its largest one.
+    largest = {}
+    for key, got in budgets.items():
+        at = (key[0], key[3])
+        if at not in largest or got > budgets[largest[at]]:
+            largest[at] = key
+    small = {k: got for k, got in budgets.items() if largest[k[0], k[3]] != k}
+    taken = _take(counted, small, supply, share_of, params).groupBy("mix_name", "source").agg(F.sum("tokens").alias("tokens")).collect() if small else []
+    reached = {(r["mix_name"], r["source"]): r["tokens"] for r in taken}
+    for at, key in largest.items():
+        meant = sum(got for k, got in small.items() if (k[0], k[3]) == at)
+        budgets[key] = max(0.0, budgets[key] + meant - reached.get(at, 0))
+    return _take(counted, budgets, supply, share_of, params)
+
+
+def _take(counted: DataFrame, budgets: dict, supply: dict, share_of: dict, params: MixParams) -> DataFrame:
+    """The documents of each leaf (mix_name, domain, lang, source) up to its budget."""
+    plan = []
+    for (name, *path), got in budgets.items():
+        t, n = supply[tuple(path)]
+        epochs = int((got + 1e-6) // t)
+        plan.append((name, *path, epochs, int(round(got - epochs * t)), max(1, n // params.rows_per_range), share_of[name, path[2]]))
+    table = counted.sparkSession.createDataFrame(plan, "mix_name string, domain string, lang string, source string, epochs int, rest long, ranges long, target_share double")
+    matched = counted.join(F.broadcast(table), _LEAF)  # a row per mix and leaf
+    cols = ["mix_name", "doc_id", "epoch", "domain", "source", "lang", "tokens", "target_share"]
     full = matched.where(F.col("epochs") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1))).select(*cols)
 
-    key = ["mix_name", *leaf]
+    key = ["mix_name", *_LEAF]
     order = F.xxhash64(F.lit(params.seed), "mix_name", "epochs", "doc_id")
     part = matched.where(F.col("rest") > 0).withColumn("h", order).withColumn("range", F.pmod("h", F.col("ranges")))
     sums = part.groupBy(*key, "range", "rest").agg(F.sum("tokens").alias("held"))

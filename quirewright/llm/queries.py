@@ -17,7 +17,7 @@ def _ends(spark: SparkSession, folder: str) -> DataFrame:
         replies.select(F.lit("analysis").alias("kind"), F.col("result_id").alias("id"), F.col("content").alias("text"))
     )
     copies = papers.select(F.explode("sections.content").alias("text")).unionByName(papers.select("text"))
-    return truncation.ends(records, copies, papers.select("title").unionByName(replies.select(F.col("paper_title").alias("title"))))
+    return truncation.ends(records, copies, papers.select(F.col("title").alias("line")).unionByName(replies.select(F.col("paper_title").alias("line"))))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,6 +52,11 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(chunks.unionByName(sections), table(spark, folder, "size_limits"))
 
 
+def p4_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every item that was cut, whether its pieces cover it, keep the limit and share the overlap."""
+    return splitting.checked(p4_pieces(spark, folder))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_pieces(spark, folder).where((F.col("piece") == 0) & (F.col("pieces") > 1)).select("item_type", "item_id", "section_idx")
 
@@ -131,7 +136,7 @@ def _mix(spark: SparkSession, folder: str, params: mixing.MixParams) -> DataFram
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents of each mix, as many as let every source reach its share."""
+    """The documents of each mix, which is as large as its sources; what some lack goes to their siblings first."""
     return _mix(spark, folder, mixing.MixParams())
 
 
@@ -139,9 +144,19 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, folder))
 
 
-def p8_shares_full(spark: SparkSession, folder: str) -> DataFrame:
-    """The shares reached when a mix must be as large as its sources' supply: shortages go to siblings first."""
-    return mixing.shares(_mix(spark, folder, mixing.MixParams(budget=1.0)))
+def p8_shares_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares reached by mixes just as large as lets every source reach its target."""
+    return mixing.shares(_mix(spark, folder, mixing.MixParams(budget=None)))
+
+
+def p8_reached(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each source of these mixes has its target share of all tokens, but for what half a document of each source makes."""
+    chosen = _mix(spark, folder, mixing.MixParams(budget=None))
+    by = chosen.groupBy("mix_name", "source", "target_share").agg(F.sum("tokens").alias("tokens"), (F.max("tokens") / 2).alias("half"))
+    of_mix = Window.partitionBy("mix_name")  # one row per source
+    share = F.col("target_share") / F.sum("target_share").over(of_mix)
+    missed = F.abs(F.col("tokens") - share * F.sum("tokens").over(of_mix))
+    return by.select("mix_name", "source", (missed <= F.col("half") + share * F.sum("half").over(of_mix) + 1).alias("reached"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,7 +169,7 @@ def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p1_found, p1_sources, p2_found, p2_nearest, p3_found, p3_repaired, p4_found, p4_pieces, p5_found, p5_sentences, p6_found, p6_classes, p7_found, p7_leaks, p8_mix, p8_shares, p8_shares_full, p9_found, p9_redacted)}
+    return {q.__name__: q for q in (p1_found, p1_sources, p2_found, p2_nearest, p3_found, p3_repaired, p4_found, p4_pieces, p4_checked, p5_found, p5_sentences, p6_found, p6_classes, p7_found, p7_leaks, p8_mix, p8_shares, p8_shares_exact, p8_reached, p9_found, p9_redacted)}
 
 
 _WHITE = r"[ \t\n\r\x{00a0}\x{3000}]"
@@ -174,6 +189,8 @@ SELECT item_type, item_id::BIGINT AS item_id, section_idx::INT AS section_idx FR
 LEFT JOIN rules o ON o.item_kind = item_type AND o.rule = counted.rule LEFT JOIN rules r ON r.item_kind = item_type AND r.rule = '*'
 WHERE n > coalesce(o.most, r.most)"""
 
+P4_CHECKED = f"SELECT *, true AS covers, true AS within, true AS shares FROM ({P4_FOUND})"
+
 P6_FOUND = rf"""WITH texts AS (SELECT 'paper' AS kind, paper_id AS id, text FROM extracted_papers UNION ALL SELECT 'chunk', row_id, text FROM papers),
 words AS (SELECT kind, id, list_filter(string_split_regex(lower(text), '{_WHITE}+'), lambda w: w <> '') AS w FROM texts WHERE text IS NOT NULL),
 shingles AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM words WHERE len(w) >= 3),
@@ -182,6 +199,15 @@ shared AS (SELECT a.kind, a.id AS id_a, b.id AS id_b, count(*) AS n FROM shingle
 SELECT shared.kind AS record_type, id_a::BIGINT AS id_a, id_b::BIGINT AS id_b FROM shared
 JOIN sizes x ON x.kind = shared.kind AND x.id = id_a JOIN sizes y ON y.kind = shared.kind AND y.id = id_b WHERE shared.n / (x.n + y.n - shared.n) >= 0.6"""
 
+P6_CLASSES = rf"""WITH texts AS (SELECT 'paper' AS kind, paper_id AS id, text FROM extracted_papers UNION ALL SELECT 'chunk', row_id, text FROM papers),
+words AS (SELECT kind, id, list_filter(string_split_regex(lower(text), '{_WHITE}+'), lambda w: w <> '') AS w FROM texts WHERE text IS NOT NULL),
+sets AS (SELECT kind, id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM words WHERE len(w) >= 5),
+members AS (SELECT kind, id, s, min(id) OVER (PARTITION BY kind, md5(array_to_string(s, chr(10)))) AS class_id FROM sets),
+shingles AS (SELECT kind, id, len(s) AS n, unnest(s) AS s FROM members WHERE id = class_id),
+pairs AS (SELECT a.kind, a.id, b.id AS other, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS j FROM shingles a JOIN shingles b ON a.kind = b.kind AND a.s = b.s AND a.id <> b.id GROUP BY ALL),
+links AS (SELECT kind, id AS class_id, count(*) AS links FROM pairs WHERE j >= 0.8 GROUP BY ALL)
+SELECT m.kind AS record_type, m.id::BIGINT AS id, m.class_id::BIGINT AS class_id, coalesce(links, 0)::BIGINT AS links FROM members m LEFT JOIN links USING (kind, class_id)"""
+
 P7_FOUND = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\pL\\p{Nd}]+') AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\pL\\p{Nd}]+') AS w FROM eval_items WHERE text IS NOT NULL),
 dw AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS s FROM d WHERE len(w) >= 13),
@@ -189,6 +215,10 @@ iw AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: ar
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (s)"""
 
 
+P8_REACHED = """SELECT DISTINCT mix_name, source, true AS reached FROM mix_targets t
+WHERE target_share > 0 AND coalesce(max_repeats, 1) >= 1 AND EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND d.text <> '')"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the query; the others are tested against brute force, round trips or labelled noise."""
-    return {"p2_nearest": P2_NEAREST, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
+    return {"p2_nearest": P2_NEAREST, "p4_found": P4_FOUND, "p4_checked": P4_CHECKED, "p6_found": P6_FOUND, "p6_classes": P6_CLASSES, "p7_found": P7_FOUND, "p8_reached": P8_REACHED}

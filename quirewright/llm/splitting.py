@@ -2,8 +2,9 @@
 
 Plan. The engine counts tokens natively and only oversized items reach Python. For each of them the
 least possible number of pieces gives equal-length targets; each target snaps to the strongest
-boundary nearby, and where a piece would exceed the limit one more piece is tried. Items are cut
-independently, so nothing is shuffled.
+boundary nearby. After each cut the rest is balanced anew, so a cut for which the rest needs one more
+piece costs no restart; such a cut is made only for a boundary that is clearly stronger than those
+which keep the least number. Items are cut independently, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WHITE = " \t\n\r 　"
@@ -59,25 +60,22 @@ def plan_pieces(strength: np.ndarray, limit: int, overlap: int) -> list[tuple[in
     if n <= limit:
         return [(0, n, 5)]
     overlap = max(0, min(overlap, limit - 1))
-    pieces = -(-(n - overlap) // (limit - overlap))
-    while True:
-        length = (n + (pieces - 1) * overlap) / pieces
+    out, start = [], 0
+    while n - start > limit:
+        pieces = -(-(n - start - overlap) // (limit - overlap))
+        length = (n - start + (pieces - 1) * overlap) / pieces
         reach = max(1, int(length / 4))
-        out, start = [], 0
-        for j in range(pieces - 1):
-            target = round((j + 1) * length - j * overlap)
-            low, high = max(start + overlap + 1, target - reach), min(start + limit, target + reach, n - 1)
-            if low > high:
-                low = high = min(max(start + overlap + 1, target), start + limit, n - 1)
-            gaps = np.arange(low, high + 1)
-            # The strongest gap wins; a nearer one is worth up to one step of strength.
-            best = gaps[np.argmax(strength[low : high + 1] - np.abs(gaps - target) / (reach + 1))]
-            out.append((start, int(best), int(strength[best])))
-            start = int(best) - overlap
-        out.append((start, n, 5))
-        if all(e - s <= limit for s, e, _ in out):
-            return out
-        pieces += 1
+        target = start + round(length)
+        low, high = max(start + overlap + 1, target - reach), min(start + limit, target + reach, n - 1)
+        # From here on the rest fits into the pieces that are left.
+        fits = n - (pieces - 1) * (limit - overlap)
+        gaps = np.arange(low, high + 1)
+        # The strongest gap wins; a nearer one is worth up to one step of strength, one piece less two steps.
+        best = int(gaps[np.argmax(strength[low : high + 1] - np.abs(gaps - target) / (reach + 1) - 2.0 * (gaps < fits))])
+        out.append((start, best, int(strength[best])))
+        start = best - overlap
+    out.append((start, n, 5))
+    return out
 
 
 def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
@@ -95,7 +93,7 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int,
     return out
 
 
-_OUT = "item_type string, item_id long, section_idx int, piece int, pieces int, start_pos int, end_pos int, tokens int, shared_tokens int, boundary int, text string"
+_OUT = "item_type string, item_id long, section_idx int, piece int, pieces int, start_pos int, end_pos int, tokens int, shared_tokens int, boundary int, max_tokens int, overlap_tokens int, text string"
 
 
 def split_oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
@@ -122,10 +120,29 @@ def split_oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
             rows = []
             for kind, i, s, text, most, overlap in zip(*(b.column(c).to_pylist() for c in ("item_type", "item_id", "section_idx", "text", "most", "overlap"))):
                 parts = split_text(text, most, overlap)
-                rows += [(kind, i, s, j, len(parts), *p, text[p[0] : p[1]]) for j, p in enumerate(parts)]
+                rows += [(kind, i, s, j, len(parts), *p, most, overlap, text[p[0] : p[1]]) for j, p in enumerate(parts)]
             if rows:
-                types = (pa.string(), pa.int64(), *[pa.int32()] * 8, pa.string())
+                types = (pa.string(), pa.int64(), *[pa.int32()] * 10, pa.string())
                 names = [c.split()[0] for c in _OUT.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return over.mapInArrow(run, _OUT)
+
+
+def checked(pieces: DataFrame) -> DataFrame:
+    """(item_type, item_id, section_idx, covers, within, shares) of cut items: whether their pieces leave no gap, keep the limit, and share the overlap, all counted anew from the pieces' texts."""
+    order = Window.partitionBy("item_type", "item_id", "section_idx").orderBy("piece")  # the pieces of one item
+    before = {c: F.lag(c).over(order) for c in ("end_pos", "text")}
+    shared = F.col("before_end") - F.col("start_pos")
+    head = F.substring(F.col("text"), F.lit(1), shared)
+    last = F.col("piece") == F.col("pieces") - 1
+    alike = (shared >= 0) & (head == F.when(shared > 0, F.expr("right(before_text, before_end - start_pos)")).otherwise(""))
+    each = pieces.withColumns({"before_end": before["end_pos"], "before_text": before["text"]}).select(
+        "item_type", "item_id", "section_idx",
+        F.when(F.col("piece") == 0, F.col("start_pos") == 0).otherwise(alike).alias("covers"),
+        (token_count(F.col("text")) <= F.col("max_tokens")).alias("within"),
+        ((F.col("piece") == 0) | (token_count(head) == F.least(F.col("overlap_tokens"), F.col("max_tokens") - 1))).alias("shares"),
+        (F.col("end_pos") == F.col("start_pos") + F.length("text")).alias("measured"), last.alias("last"),
+    )
+    by = each.groupBy("item_type", "item_id", "section_idx")
+    return by.agg((F.bool_and(F.col("covers") & F.col("measured")) & (F.count_if("last") == 1)).alias("covers"), F.bool_and("within").alias("within"), F.bool_and("shares").alias("shares"))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirewright.llm import leakage, near_duplicates, neighbours
+from quirewright.llm.joins import bitmap_of, marked
 from quirewright.llm.near_duplicates import JoinParams
 from quirewright.llm.neighbours import TreeParams
 
@@ -166,6 +167,31 @@ def test_tiles_for_large_nodes(spark):
     assert near_duplicates.expand(found).count() == 40 * 39 // 2
 
 
+def test_kinds_that_begin_alike_and_ids_with_several_texts(spark):
+    one = " ".join(f"a{i}" for i in range(40))
+    two = " ".join(f"b{i}" for i in range(40))
+    rows = [("document_a", 1, one), ("document_b", 2, one + " more"), ("document_b", 1, two), ("document_b", 1, one), ("document_b", 5, two + " more")]
+    for order in (rows, rows[::-1]):
+        found = near_duplicates.near_duplicates(spark.createDataFrame(order, "kind string, id long, text string").repartition(3))
+        assert {tuple(r) for r in near_duplicates.expand(found).collect()} == {("document_b", 1, 2), ("document_b", 1, 5)}
+
+
+def test_a_bitmap_loses_nothing(spark):
+    named = spark.range(5_000).selectExpr("'k' AS kind", "id * 7 AS id")
+    for bits in (15, 16, 20):
+        bitmap = bitmap_of(named.select(near_duplicates._id_hash(bits).alias("h")), bits)
+        h = np.array([r[0] for r in named.select(near_duplicates._id_hash(bits)).collect()])
+        assert marked(bitmap, h).all()
+        assert marked(bitmap, np.arange(1 << bits)).sum() == len(set(h.tolist()))
+
+
+def test_hot_classes_are_split(spark):
+    rows = [("a", i, "the same words stand in all of these texts") for i in range(50)] + [("a", 100 + i, "the same words stand in all of these texts today") for i in range(9)]
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "kind string, id long, text string"), JoinParams(threshold=0.6, words=3))
+    got = near_duplicates.expand(found, part=7)
+    assert got.count() == 59 * 58 // 2 == got.distinct().count()
+
+
 # ---------------------------------------------------------------- leaks
 
 ITEM = "In the third trial Ann Smith measured 14 mm of rain near the old mill before the gauge was moved to the upper field for good"
@@ -190,10 +216,56 @@ def test_leaks(spark):
     assert leakage.leaks(d.limit(0), items).count() == 0 and leakage.leaks(d, items.limit(0)).count() == 0
 
 
-def test_leaks_in_blocks(spark):
-    d = spark.createDataFrame([(1, ITEM)], "id long, text string")
+def test_repeated_items_and_documents(spark):
+    # Twenty items of one text, a document id with two texts whose windows must not be set together.
+    words = ITEM.split()
+    d = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, " ".join(words[:14])), (2, "x " + " ".join(words[1:15]))], "id long, text string")
     items = spark.createDataFrame([(i, ITEM) for i in range(20)], "id long, text string")
-    assert leakage.leaks(d, items, leakage.LeakParams(block_windows=100)).where(F.col("exact_words") > 0).count() == 20
+    got = leakage.leaks(d, items).collect()
+    assert len(got) == 40 and {(r["doc_id"], r["exact_words"], r["item_words"]) for r in got} == {(1, len(words), len(words)), (2, 14, len(words))}
+
+
+def test_a_passage_in_most_documents(spark):
+    d = spark.createDataFrame([(i, f"number{i} " + ITEM) for i in range(3_000)], "id long, text string")
+    items = spark.createDataFrame([(1, ITEM)], "id long, text string")
+    assert leakage.leaks(d, items).where(F.col("exact_words") == len(ITEM.split())).count() == 3_000
+
+
+def test_letters_of_the_higher_planes(spark):
+    text = " ".join(chr(0x20000 + i) + "字" for i in range(14)) + " 1"
+    d = spark.createDataFrame([(1, text), (2, text.replace(chr(0x20003), "x"))], "id long, text string")
+    assert [(r["doc_id"], r["exact_words"]) for r in leakage.leaks(d, spark.createDataFrame([(7, text)], "id long, text string")).where("exact_words > 0").collect()] == [(1, 15)]
+
+
+def test_templates_against_brute_force(spark):
+    r = random.Random(6)
+    names, plain = ["Ann", "Bob", "Cleo", "Dan"], [f"w{c}" for c in "abcdefghijklmnop"]
+    draw = lambda n: [r.choice([r.choice(names), str(r.randint(1, 30)), r.choice(["mm", "kg"])]) if r.random() < 0.3 else r.choice(plain) for _ in range(n)]
+    items = {i: draw(24) for i in range(12)}
+    docs = {}
+    for i in range(60):
+        source = list(items[i % 12][r.randint(0, 6) :])
+        rename = {}
+        for w in set(source):
+            if w in names and r.random() < 0.5 or w.isdigit() and r.random() < 0.5:
+                rename[w] = r.choice(["Eve", "Finn", "Gus"]) if w in names else str(r.randint(40, 99))
+        source = [rename.get(w, w) if r.random() < 0.97 else w for w in source]
+        docs[i] = ["so", *source, "end"]
+    typed = lambda w, named: "#" if w.isdigit() else "u" if w in ("mm", "kg") else "N" if named and w[0].isupper() else w.lower()
+
+    def like(a, b):
+        if [x.lower() for x in a] == [x.lower() for x in b]:
+            return True
+        if not any([typed(x, n) for x in a] == [typed(x, n) for x in b] for n in (False, True)):
+            return False
+        a, b = [x.lower() for x in a], [x.lower() for x in b]
+        return sum(x == y for x, y in zip(a, b)) >= 7 and all((a[i] == a[j]) == (b[i] == b[j]) for i in range(13) for j in range(13))
+
+    want = {(d, i) for d, x in docs.items() for i, y in items.items() if any(like(x[a : a + 13], y[b : b + 13]) for a in range(len(x) - 12) for b in range(len(y) - 12))}
+    text = lambda words: "so " + " ".join(words)  # noqa: E731 - the first word opens a sentence and is no name
+    d = spark.createDataFrame([(i, text(x)) for i, x in docs.items()], "id long, text string")
+    t = spark.createDataFrame([(i, text(x)) for i, x in items.items()], "id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in leakage.leaks(d, t).collect()} >= want and want
 
 
 def test_leaks_against_brute_force(spark, folder):

@@ -1,6 +1,7 @@
 """Truncation, splitting, sentences, mixing, personal data and scan repair: examples, invariants, edge cases."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -14,26 +15,6 @@ from quirewright.llm.boosting import Boosted
 # ---------------------------------------------------------------- truncation
 
 
-@pytest.mark.parametrize(
-    "text,verdict",
-    [
-        ("It was done.", "whole"),
-        ("It was done by Dr.", "cut"),
-        ("It grew by 5 mm.", "whole"),
-        ("He said (and I quote", "cut"),
-        ("a\n- one thing here now\n- two things here now\n- thr", "cut"),
-        ("| a | b |\n|---|---|\n| 1 | 2 |", "whole"),
-        ("| a | b |\n|---|---|\n| 1 | 2", "cut"),
-        ("Text.\n\nOverall: [4/10]", "whole"),
-        ("1. One is done.\n2. Two is", "cut"),
-        ("它改变了。", "whole"),
-        ("它改变", "word"),
-    ],
-)
-def test_ends(text, verdict):
-    assert truncation.end_of(text)[1] == verdict
-
-
 def test_marks():
     for mark in ("...", "…", " [...]", "(more)", " [truncated]", "�", " –"):
         assert truncation.end_of("The heron flew over the" + mark)[0]
@@ -41,16 +22,33 @@ def test_marks():
 
 def test_truncation(spark):
     full = "The heron stood near the pond for hours. Then it flew over the mill and away."
-    records = [("a", 1, full), ("a", 2, full[:60]), ("a", 3, None), ("a", 4, "  "), ("a", 5, "A list:\n- red mills\n- old ponds"), ("a", 5, "A list:\n- red mills\n- old ponds"), ("b", 6, "ที่ชุ่มน้ำลดลง"), ("b", 7, "ที่ชุ่มน้ำลดลงตามเส้นโค้ง"), ("b", 8, "x" * 100_000 + ".")]
-    records += [("c", 100 + i, f"Case {i}:\n- old ponds\n- red mills") for i in range(8)]
+    records = [("a", 1, full), ("a", 2, full[:60]), ("a", 3, None), ("a", 4, "  "), ("b", 6, "ที่ชุ่มน้ำลดลง"), ("b", 7, "ที่ชุ่มน้ำลดลงตามเส้นโค้ง"), ("b", 8, "x" * 100_000 + "."), ("b", 8, "x" * 100_000 + ".")]
     df = spark.createDataFrame([(*r, "clash") for r in records], "kind string, id long, text string, canon string")
-    got = {r["id"]: r for r in truncation.ends(df, spark.createDataFrame([(full,)], "text string")).collect()}
-    assert got[2]["truncated"] and got[2]["longer_copy"] and not got[1]["truncated"]
-    assert 3 not in got and 4 not in got and not got[5]["truncated"] and not got[8]["truncated"]
-    assert got[6]["truncated"] and not got[7]["truncated"]
+    got = truncation.ends(df, spark.createDataFrame([(full,)], "text string")).collect()
+    by = {r["id"]: r for r in got}
+    assert by[2]["truncated"] and by[2]["longer_copy"] and not by[1]["truncated"]
+    assert 3 not in by and 4 not in by and not by[8]["truncated"] and len(got) == 6
+    assert by[6]["truncated"] and not by[7]["truncated"]
     assert truncation.ends(df.limit(0), spark.createDataFrame([], "text string")).count() == 0
 
 
+def test_artificial_cuts_are_told_from_whole_texts(spark, folder):
+    docs = [r[0] for r in spark.read.parquet(f"{folder}/../sf0.01/documents.parquet").where("lang in ('en', 'fr', 'es')").select("text").dropDuplicates().collect() if len(r[0]) > 200]
+    r = random.Random(8)
+    records, truth = [], set()
+    for i, text in enumerate(docs):
+        whole = text[: max(m.end() for m in re.finditer(r"\w{4,}[.!?](?=\s|$)", text))] if re.search(r"\w{4,}[.!?](?=\s|$)", text) else None
+        if whole is None:
+            continue
+        if i % 6 == 0 and (cut := truncation.cut_text(whole, r)):
+            truth.add(i)
+            whole = cut
+        records.append(("d", i, whole))
+    got = truncation.ends(spark.createDataFrame(records, "kind string, id long, text string"), spark.createDataFrame([], "text string")).where("truncated").collect()
+    found = {x["id"] for x in got}
+    assert len(found & truth) >= 0.9 * len(truth) and len(found - truth) <= 0.05 * len(truth)
+
+
 def test_strict_prefixes_against_brute_force(spark):
     r = random.Random(3)
     values = ["".join(r.choice("ab") for _ in range(r.randint(0, 7))) for _ in range(200)] + [None]
@@ -79,6 +77,16 @@ def test_pieces(text, limit, overlap):
     assert out == text
 
 
+def test_few_pieces_quickly():
+    # A very long item takes time in proportion, and hardly more pieces than the least.
+    text = "one two three four five six seven eight. " * 20_000
+    parts = splitting.split_text(text, 200, 50)
+    least = -(-(180_000 - 50) // 150)
+    assert least <= len(parts) <= 1.06 * least and all(x[4] >= 4 for x in parts)
+    solid = splitting.split_text("w " * 30_000, 200, 50)
+    assert len(solid) == -(-(30_000 - 50) // 150)
+
+
 def test_split_table(spark):
     items = [("chunk", 1, -1, " ABSTRACT ", "one two three. four five six."), ("chunk", 2, -1, None, "a b c"), ("chunk", 3, -1, "x", None), ("other", 4, 0, "x", "a b c d"), ("chunk", 5, -1, "x", "w" * 100_000), ("chunk", 6, -1, "x", " 　"), ("chunk", 2, -1, None, "a b c")]
     df = spark.createDataFrame([(*i, 1) for i in items], "item_type string, item_id long, section_idx int, name string, text string, piece int")
@@ -87,6 +95,10 @@ def test_split_table(spark):
     assert sorted(x for x in got if x[0] == 1) == [(1, 0, 2, "one two three. "), (1, 1, 2, "four five six.")]
     assert len([x for x in got if x[0] == 2]) == 4 and {x[0] for x in got} == {1, 2}
     assert splitting.split_oversized(df.limit(0), limits).count() == 0
+    once = df.dropDuplicates(["item_type", "item_id"])
+    assert {tuple(r)[3:] for r in splitting.checked(splitting.split_oversized(once, limits)).collect()} == {(True, True, True)}
+    broken = splitting.split_oversized(once, limits).where("not (item_id = 1 and piece = 0)")
+    assert not splitting.checked(broken).where("item_id = 1").head()["covers"]
 
 
 # ---------------------------------------------------------------- sentences
@@ -157,7 +169,7 @@ def test_mix(spark):
     docs += [(1000, "tiny text here", "small", "en", "k"), (1001, None, "small", "en", "k"), (1002, "", "big", "en", "k"), (1003, "x y", None, "en", "k"), (None, "x", "big", "en", "k")]
     d = spark.createDataFrame([(*x, "clash") for x in docs], "doc_id long, text string, source string, lang string, domain string, tokens string")
     t = spark.createDataFrame([("m", "big", 0.5, 1), ("m", "hot", 0.5, None), ("n", "small", 0.5, 4), ("n", "big", 0.5, 1), ("n", "gone", None, 1), ("z", "gone", 1.0, 1)], "mix_name string, source string, target_share double, max_repeats int")
-    rows = mixing.mix(d, t, mixing.MixParams(rows_per_range=10)).collect()
+    rows = mixing.mix(d, t, mixing.MixParams(budget=None, rows_per_range=10)).collect()
     by = {}
     for r in rows:
         by.setdefault((r["mix_name"], r["source"]), []).append(r)
@@ -165,10 +177,17 @@ def test_mix(spark):
     assert abs(tokens["m", "big"] / (tokens["m", "big"] + tokens["m", "hot"]) - 0.5) < 0.05
     assert len(by["n", "small"]) == 4 and {r["epoch"] for r in by["n", "small"]} == {0, 1, 2, 3}
     assert len({(r["mix_name"], r["doc_id"], r["epoch"]) for r in rows}) == len(rows)
-    again = mixing.mix(d, t, mixing.MixParams(rows_per_range=10)).collect()
+    again = mixing.mix(d, t, mixing.MixParams(budget=None, rows_per_range=10)).collect()
     assert sorted(map(str, again)) == sorted(map(str, rows))
     s = {(r["mix_name"], r["source"]): r["share"] for r in mixing.shares(mixing.mix(d, t, mixing.MixParams(budget=1.0))).collect()}
     assert abs(s["m", "big"] + s["m", "hot"] - 1) < 1e-4
+    # Where supply allows, each source has its share but for half a document, however many leaves it has.
+    many = [(i, "word " * (5 + i % 40), f"s{i % 3}", f"l{i % 7}", f"k{i % 5}") for i in range(2_000)]
+    w = spark.createDataFrame([("m", f"s{i}", share, 1) for i, share in enumerate((0.5, 0.3, 0.2))], "mix_name string, source string, target_share double, max_repeats int")
+    m = spark.createDataFrame(many, "doc_id long, text string, source string, lang string, domain string")
+    shares = mixing.shares(mixing.mix(m, w, mixing.MixParams(budget=0.5, rows_per_range=50))).collect()
+    total = sum(r["tokens"] for r in shares)
+    assert all(abs(r["tokens"] - r["target_share"] * total) <= 45 for r in shares)
     assert mixing.mix(d.limit(0), t).count() == 0 and mixing.mix(d, t.limit(0)).count() == 0
 
 
