@@ -73,10 +73,14 @@ class Boosted:
 
 
 def calibrate(p: np.ndarray, y: np.ndarray, precision: float = 0.9) -> float:
-    """The least threshold at which the share of true cases among the chosen reaches ``precision`` and F1 is best."""
+    """The threshold at which the share of true cases among the chosen reaches ``precision`` and F1 is best, midway to the next lower score."""
     order = np.argsort(-p, kind="stable")
     hit = np.cumsum(y[order])
     chosen = np.arange(1, len(p) + 1)
     prec, rec = hit / chosen, hit / max(1, y.sum())
     f1 = np.where(prec >= precision, 2 * prec * rec / np.maximum(prec + rec, 1e-9), 0)
-    return float(p[order][f1.argmax()]) if f1.max() > 0 else 0.5
+    if not len(f1) or f1.max() <= 0:
+        return 0.5
+    at = int(f1.argmax())
+    ranked = p[order]
+    return float(ranked[at] if at + 1 == len(ranked) else (ranked[at] + ranked[at + 1]) / 2)

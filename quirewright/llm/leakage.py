@@ -2,10 +2,10 @@
 
 Plan. Words are canonicalised: numbers and units become typed placeholders in one template, names too
 in a second one (the first doesn't depend on case, so a passage in capitals is still found). Hashed
-template windows of the items are joined with those of every document. Each hit is judged by its
-slots: equal words make it exact, a one-to-one renaming makes it a re-parameterised passage. The
-items' windows go to the tasks in blocks of bounded size; documents are neither shuffled nor grouped,
-so a passage that stands in a third of all documents costs no more than any other.
+template windows of the items are joined with those of the documents, which are read once: a bitmap of
+bounded size lets only windows leave their task that an item is likely to have, and a hash join, with
+hot windows spread, tells which do. Each hit is judged by its slots: equal words make it exact, a
+one-to-one renaming makes it a re-parameterised passage. Runs of consecutive hits give the lengths.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirewright.llm.shingles import code_points, hash_runs, windows
+from quirewright.llm.joins import bitmap_of, marked, spread_join
+from quirewright.llm.shingles import code_points, hash_runs, mix, windows
+from quirewright.plans.storage import materialise
 
 #: Units of measurement that may follow a number.
 UNITS = "mm cm km nm kg mg ml kpa mpa hz khz mhz ghz ms min kw mw kwh mv kv db rpm ppm kb mb gb".split()
@@ -29,17 +31,17 @@ _NUM, _UNIT, _NAME = np.uint64(0xA1), np.uint64(0xB2), np.uint64(0xC3)
 
 @dataclass(frozen=True)
 class LeakParams:
-    """words: window length; least_fixed: words of a template that must not be slots; block_windows: item windows sent at once."""
+    """words: window length; least_fixed: words of a window that must be the same where others are changed (a template of more slots says too little); filter_bits: the bitmap has at most 2**filter_bits bits."""
 
     words: int = 13
     least_fixed: int = 7
-    block_windows: int = 500_000
+    filter_bits: int = 30
 
 
 @lru_cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per code point of the lower planes: part of a word, digit, capital, lower-case form."""
-    n = 0x20000
+    """Per code point up to the last letter: part of a word, digit, capital, lower-case form."""
+    n = 0x323B0
     word, digit, upper, lower = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool), np.arange(n, dtype=np.uint32)
     for i in range(n):
         c = chr(i)
@@ -85,25 +87,6 @@ def read_words(texts: list[str]) -> Words:
     return Words(hashes, plain, np.where(name, _NAME, plain), number | unit | name, first)
 
 
-def _item_block(items: list, size: int) -> dict:
-    """The items' windows, sorted by template hash."""
-    words = read_words([r["text"] for r in items])
-    n = size
-    keys, item, at = [], [], []
-    for i in range(len(items)):
-        lo, hi = words.first[i], words.first[i + 1]
-        for form in (words.plain, words.named):
-            k = windows(form[lo:hi], n)
-            keys.append(k)
-            item.append(np.full(len(k), i))
-            at.append(lo + np.arange(len(k)))
-    keys, item, at = np.concatenate(keys), np.concatenate(item), np.concatenate(at)
-    _, keep = np.unique(np.stack([keys, at.astype(np.uint64)], 1), axis=0, return_index=True)
-    keys, item, at = keys[keep], item[keep], at[keep]
-    order = np.argsort(keys, kind="stable")
-    return {"keys": keys[order], "item": item[order], "at": at[order], "hashes": words.hashes, "slot": words.slot, "ids": np.array([r["id"] for r in items], np.int64), "first": words.first}
-
-
 def _consistent(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the words of each row of a are a one-to-one renaming of b's."""
     out = np.empty(len(a), bool)
@@ -113,11 +96,51 @@ def _consistent(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _longest(at: np.ndarray, size: int) -> int:
-    """Words in the longest run of consecutive windows."""
-    cut = np.nonzero(np.diff(at) != 1)[0]
-    edges = np.concatenate([[0], cut + 1, [len(at)]])
-    return int(np.diff(edges).max()) + size - 1
+def _windows(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Words]:
+    """(text, place, key) of all template windows of both kinds, each once, and the words."""
+    w = read_words(texts)
+    if len(w.hashes) < n:
+        return np.array([], int), np.array([], int), np.array([], np.uint64), w
+    of = np.repeat(np.arange(len(texts)), np.diff(w.first))
+    at = np.nonzero(of[: len(of) - n + 1] == of[n - 1 :])[0]
+    plain, named = windows(w.plain, n)[at], windows(w.named, n)[at]
+    other = plain != named
+    at = np.concatenate([at, at[other]])
+    return of[at], at, np.concatenate([plain, named[other]]), w
+
+
+def _probes(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of a key in a bitmap."""
+    mask = np.uint64((1 << bits) - 1)
+    return (key & mask).astype(np.int64), (mix(key) & mask).astype(np.int64)
+
+
+_WINDOW = "id long, owner long, at int, key long, words binary"
+
+
+def _window_table(rows: DataFrame, params: LeakParams, bits: int = 0, filter_: np.ndarray | None = None) -> DataFrame:
+    """The windows of texts (id, owner, text), of which a filter lets some pass."""
+    n = params.words
+    shared = rows.sparkSession.sparkContext.broadcast(filter_)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = np.arange(n)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
+                of, at, key, w = _windows(b.column("text").to_pylist(), n)
+                if shared.value is not None and len(key):
+                    first, second = _probes(key, bits)
+                    keep = np.nonzero(marked(shared.value, first))[0]
+                    keep = keep[marked(shared.value, second[keep])]
+                    of, at, key = of[keep], at[keep], key[keep]
+                if len(key):
+                    ids, owner = (b.column(c).to_numpy(zero_copy_only=False)[of] for c in ("id", "owner"))
+                    words = w.hashes[at[:, None] + span].astype("<u8")
+                    data = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer((np.arange(len(key) + 1) * 8 * n).astype("<i4").tobytes()), pa.py_buffer(words.tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(owner), pa.array(at - w.first[of], pa.int32()), pa.array(key.view(np.int64)), data], names=["id", "owner", "at", "key", "words"])
+
+    return rows.mapInArrow(scan, _WINDOW)
 
 
 def leaks(docs: DataFrame, items: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
@@ -126,73 +149,42 @@ def leaks(docs: DataFrame, items: DataFrame, params: LeakParams = LeakParams())
     exact_words: the longest run of the item's words that stands in the document, 0 if it is shorter
     than a window; template_words: the same where numbers, units and names may differ consistently.
     Null or empty texts and texts of fewer words than a window give no rows, nor do empty tables.
-    Rows that repeat an id each give their own rows. Columns other than id and text are not read.
+    Where an id stands in several rows its texts are searched one by one, and the longest runs count.
+    Columns other than id and text are not read.
     """
-    spark = docs.sparkSession
     n = params.words
-    schema = "doc_id long, item_id long, exact_words int, template_words int, item_words int"
-    size = F.size(F.split("text", "[^\\p{L}\\p{Nd}]+")).cast("long")
-    rows = items.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), "text").withColumn("size", size)
-    total = rows.agg(F.sum("size")).head()[0] or 0
-    blocks = max(1, -(-total // params.block_windows))
-    out = None
-    for b in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "text").orderBy("id").collect()  # about block_windows words
-        if not part:
-            continue
-        shared = spark.sparkContext.broadcast(_item_block(part, n))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            x = shared.value
-            if not len(x["keys"]):
-                return
-            span = np.arange(n)
-            for whole in batches:
-                for lo in range(0, whole.num_rows, 256):
-                    batch = whole.slice(lo, 256)
-                    ids = batch.column("id").to_pylist()
-                    w = read_words(batch.column("text").to_pylist())
-                    if len(w.hashes) < n:
-                        continue
-                    doc = np.repeat(np.arange(len(ids)), np.diff(w.first))
-                    inside = doc[: len(doc) - n + 1] == doc[n - 1 :]
-                    hit = []
-                    for form in (w.plain, w.named):
-                        key = windows(form, n)
-                        left = np.searchsorted(x["keys"], key)
-                        near = np.minimum(left, len(x["keys"]) - 1)
-                        at = np.nonzero((x["keys"][near] == key) & inside)[0]
-                        right = np.searchsorted(x["keys"], key[at], side="right")
-                        many = right - left[at]
-                        post = np.repeat(left[at], many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-                        hit.append(np.stack([np.repeat(at, many), post], 1))
-                    hit = np.unique(np.concatenate(hit), axis=0)
-                    if not len(hit):
-                        continue
-                    at, post = hit[:, 0], hit[:, 1]
-                    there = x["at"][post]
-                    mine, theirs = w.hashes[at[:, None] + span], x["hashes"][there[:, None] + span]
-                    exact = (mine == theirs).all(axis=1)
-                    fixed = (mine == theirs).sum(axis=1) >= params.least_fixed
-                    same = exact.copy()
-                    same[~exact & fixed] = _consistent(mine[~exact & fixed], theirs[~exact & fixed])
-                    cols = [[], [], [], [], []]
-                    d, i, shift = doc[at], x["item"][post], at - there
-                    order = np.lexsort((at, shift, i, d))
-                    order = order[same[order]]
-                    if not len(order):
-                        continue
-                    group = np.nonzero(np.diff(d[order]) | np.diff(i[order]))[0] + 1
-                    for g in np.split(order, group):
-                        # Positions on one shift are a run; another shift begins a new one.
-                        place = lambda k: at[k] + 4 * len(doc) * np.unique(shift[k], return_inverse=True)[1]
-                        e = np.unique(place(g[exact[g]]))
-                        t = np.unique(place(g))
-                        j = i[g[0]]
-                        for c, v in zip(cols, (ids[d[g[0]]], x["ids"][j], _longest(e, n) if len(e) else 0, _longest(t, n), x["first"][j + 1] - x["first"][j])):
-                            c.append(v)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "exact_words", "template_words", "item_words"])
-
-        found = docs.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), "text").mapInArrow(scan, schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], schema)
+    full = lambda df: df.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("owner"), "text")
+    asked, read = full(items), full(docs)
+    theirs = materialise(_window_table(asked.dropDuplicates(["text"]), params), "item-windows")
+    bits = min(params.filter_bits, max(15, (64 * theirs.count()).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_probes(b.column("key").to_numpy().view(np.uint64), bits)))], names=["h"])
+
+    held = bitmap_of(theirs.select("key").mapInArrow(places, "h long"), bits)
+    mine = materialise(_window_table(read, params, bits, held).distinct(), "document-windows")
+    met = spread_join(mine, theirs.select("key", F.col("owner").alias("item"), F.col("at").alias("there"), F.col("words").alias("item_words")), ["key"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                a, c = (np.frombuffer(b"".join(b.column(x).to_pylist()), "<u8").reshape(-1, n) for x in ("words", "item_words"))
+                exact = (a == c).all(axis=1)
+                open_ = ~exact & ((a == c).sum(axis=1) >= params.least_fixed)
+                same = exact.copy()
+                same[open_] = _consistent(a[open_], c[open_])
+                at = b.column("at").to_numpy(zero_copy_only=False)
+                r = pa.RecordBatch.from_arrays([b.column("id"), b.column("owner"), b.column("item"), pa.array(at - b.column("there").to_numpy(zero_copy_only=False), pa.int32()), b.column("at"), pa.array(exact)], names=["id", "owner", "item", "shift", "at", "exact"])
+                yield r.filter(pa.array(same))
+
+    hits = met.select("id", "owner", "item", "at", "there", "words", "item_words").mapInArrow(judge, "id long, owner long, item long, shift int, at int, exact boolean").distinct()
+    # A run is a set of places in a row on one shift: its places less their ranks are all the same.
+    line = Window.partitionBy("id", "owner", "item", "shift").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    runs = F.array(F.struct(F.lit(False).alias("exact"), (F.col("at") - F.count("*").over(line)).alias("run")), F.struct(F.lit(True).alias("exact"), F.when(F.col("exact"), F.col("at") - F.count_if("exact").over(line)).alias("run")))
+    each = hits.select("id", "owner", "item", "shift", runs.alias("runs")).select("id", "owner", "item", "shift", F.explode("runs").alias("r")).where(F.col("r.run").isNotNull()).groupBy("id", "owner", "item", "shift", "r").agg((F.count("*") + n - 1).cast("int").alias("n"))
+    found = each.groupBy(F.col("id").alias("doc_id"), "item").agg(F.coalesce(F.max(F.when(F.col("r.exact"), F.col("n"))), F.lit(0)).alias("exact_words"), F.max(F.when(~F.col("r.exact"), F.col("n"))).alias("template_words"))
+
+    size = F.size(F.filter(F.split("text", "[^\\p{L}\\p{Nd}]+"), lambda w: w != "")).cast("int")
+    named = asked.select(F.col("id").alias("item_id"), F.col("owner").alias("item"), size.alias("item_words")).distinct()
+    return found.join(named, "item").groupBy("doc_id", "item_id").agg(F.max("exact_words").alias("exact_words"), F.max("template_words").alias("template_words"), F.max("item_words").alias("item_words"))

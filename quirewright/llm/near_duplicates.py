@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirewright.llm.joins import bitmap_of, marked
 from quirewright.llm.shingles import Sketcher, mix, shingle_sets
 from quirewright.plans.storage import materialise
 
@@ -202,24 +203,6 @@ def _id_hash(bits: int) -> Column:
     return F.pmod(F.xxhash64("kind", "id"), F.lit(1 << bits))
 
 
-def _id_bitmap(named: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap over hashed (kind, id), packed: a filter that may let others pass, and loses none."""
-    h = named.select(_id_hash(bits).alias("h"))
-    maps = h.groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
-    out = np.zeros((1 << bits) // 8 + 4_096, np.uint8)
-    for r in maps:
-        # Buckets of positive values begin at a multiple of 32768 plus 1; 0 is alone in its own. Bit h + 32767 stands for h.
-        got = np.frombuffer(bytes(r["bits"]), np.uint8)
-        out[r["bucket"] * 4_096 : r["bucket"] * 4_096 + len(got)] |= got
-    return out
-
-
-def _marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    bucket = np.where(h > 0, 1 + (h - 1) // 32_768, 0)
-    at = np.where(h > 0, (h - 1) % 32_768, 0)
-    return (bitmap[bucket * 4_096 + at // 8] >> (at % 8).astype(np.uint8) & 1).astype(bool)
-
-
 def _verified(pairs: DataFrame, classes: DataFrame, df: DataFrame, params: JoinParams) -> DataFrame:
     """(kind, rep_a, rep_b, mask, jaccard): the pairs with their exact similarity, by the classes' own sets.
 
@@ -231,11 +214,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, df: DataFrame, params: JoinP
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     named = materialise(classes.select("rep", "kind", "k1", "k2", F.col("rep_id").alias("id")).join(ids, "rep", "left_semi"), "named-classes")
     bits = min(29, max(15, (8 * named.count()).bit_length()))
-    shared = spark.sparkContext.broadcast(_id_bitmap(named, bits))
+    shared = spark.sparkContext.broadcast(bitmap_of(named.select(_id_hash(bits).alias("h")), bits))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(_marked(shared.value, b.column("h").to_numpy())))
+            b = b.filter(pa.array(marked(shared.value, b.column("h").to_numpy())))
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 sets = shingle_sets(part.column("text").to_pylist(), params.words)

@@ -4,14 +4,16 @@ Plan. Generators with high recall propose overlapping spans; boosted trees score
 and context; spans that pass their kind's calibrated threshold compete, and the best of overlapping
 ones wins. The trees are trained on the driver on invented examples, ``train_rows`` at most, set into
 neutral text; thresholds come from held-out examples. Any two capitalised words may be a name: a list of
-given names and the words' frequencies in a bounded sample of the documents are features of the trees.
-Documents are scored where they lie: no shuffle.
+given names and the words' frequencies in all documents are features of the trees. Words are counted in
+one pass, in which each task adds up its own; those that stand in one of 20,000 documents or more are
+broadcast, ``frequent`` of them at most, and the others count as rare. Documents are scored where they lie.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirewright.llm.boosting import Boosted, calibrate
+from quirewright.plans.storage import materialise
 
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "PERSON")
 
@@ -158,13 +161,38 @@ def _capital(c: str) -> bool:
     return c.isupper() or c.istitle()
 
 
-def frequencies(texts: list[str]) -> dict[str, tuple[float, float]]:
-    """The lower-case share and the logarithmic frequency of words in sampled documents."""
-    small, great = Counter(), Counter()
-    for t in texts:
-        for w in set(_WORD.findall(t)):
-            (small if w.islower() else great)[w.lower()] += 1
-    return {w: (small[w] / n, float(np.log1p(1e4 * (n - 3) / (len(texts) + 1000)))) for w in {*small, *great} if (n := small[w] + great[w]) > 3}
+def frequencies(docs: DataFrame, frequent: int = 100_000) -> dict[str, tuple[float, float]]:
+    """The lower-case share and the logarithmic frequency of words in all documents (text); words of fewer than 4 documents, or of fewer than one in 20,000, are left out."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small, great = Counter(), Counter()
+        n = 0
+
+        def given() -> pa.RecordBatch:
+            words = [None, *(small.keys() | great.keys())]
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([n if w is None else small[w] for w in words], pa.int64()), pa.array([0 if w is None else great[w] for w in words], pa.int64())], names=["word", "small", "great"])
+            small.clear()
+            great.clear()
+            return out
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                words = set(_WORD.findall(t))
+                low = {w for w in words if w.islower()}
+                small.update(low)
+                great.update([w.lower() for w in words - low])
+                n += 1
+            if len(small) + len(great) > 400_000:
+                yield given()
+                n = 0
+        yield given()
+
+    counted = docs.where(F.length("text") > 0).select("text").mapInArrow(count, "word string, small long, great long").groupBy("word").agg(F.sum("small").alias("small"), F.sum("great").alias("great"))
+    counted = materialise(counted, "document-words")
+    total = (counted.where(F.col("word").isNull()).head() or {"small": 0})["small"] or 0
+    n = F.col("small") + F.col("great")
+    rows = counted.where(F.col("word").isNotNull() & (n >= max(4, -(-total // 20_000)))).orderBy(n.desc(), "word").limit(frequent).collect()
+    return {r["word"]: (r["small"] / k, float(np.log1p(1e4 * (k - 3) / (total + 1000)))) for r in rows if (k := r["small"] + r["great"])}
 
 
 _SHAPES = [
@@ -339,27 +367,29 @@ def train(train_rows: int = 9_000, seed: int = 5) -> tuple[Models, tuple[float,
     cuts = []
     for k in range(len(KINDS)):
         own = kind[~fit] == k
-        cuts.append(min(0.5, max(0.3, calibrate(p[own], y[~fit][own]))) if len(set(y[~fit][own])) > 1 else 0.3)
+        cuts.append(calibrate(p[own], y[~fit][own]) if len(set(y[~fit][own])) > 1 else 0.5)  # 0.5 where there are no counter-examples
     rows, labels = _pair_examples(train_rows, seed)
     x, y = np.array([features(*row) for row in rows]), np.array(labels)
     fit = np.arange(len(y)) % 3 != 0
     pairs = Boosted(trees=80, depth=4).fit(x[fit], y[fit])
-    return Models(model, pairs), (*cuts, max(0.3, calibrate(pairs.predict(x[~fit]), y[~fit])))
+    return Models(model, pairs), (*cuts, calibrate(pairs.predict(x[~fit]), y[~fit]))
 
 
 def choose(text: str, found: list[Found], p: np.ndarray, cuts: tuple[float, ...]) -> list[Found]:
     """The spans that pass, without overlaps: addresses and e-mails first, pairs without a listed name last, and the likelier and longer before others."""
     good = [(f.kind not in (0, 3), f.form >= 7, -round(float(q), 2), f.start - f.end, f) for f, q in zip(found, p) if q >= (cuts[-1] if f.form >= 7 else cuts[f.kind])]
+    starts: list[int] = []
     out: list[Found] = []
     for *_, f in sorted(good, key=lambda g: g[:4] + (g[4].start,)):
-        if all(f.end <= o.start or f.start >= o.end for o in out):
-            out.append(f)
-    return sorted(out, key=lambda f: f.start)
+        i = bisect_left(starts, f.start)
+        if (i == 0 or out[i - 1].end <= f.start) and (i == len(out) or out[i].start >= f.end):
+            starts.insert(i, f.start)
+            out.insert(i, f)
+    return out
 
 
 def _score(docs: DataFrame, schema: str, emit, train_rows: int) -> DataFrame:
-    sample = docs.where(F.length("text") > 0).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(4_000).select(F.substring("text", 1, 4_000).alias("text")).collect()
-    shared = docs.sparkSession.sparkContext.broadcast((*train(train_rows), frequencies([x["text"] for x in sample])))
+    shared = docs.sparkSession.sparkContext.broadcast((*train(train_rows), frequencies(docs)))
     names = [c.split()[0] for c in schema.split(", ")]
     types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in schema.split(", ")]
 

@@ -4,13 +4,14 @@ Plan. Document frequencies of words are counted over all papers. Words of scanne
 other papers don't know meet all correction candidates within the edit distance, and all that look alike,
 through an inverted join of keys that no such pair can miss, and boosted trees rank the candidates. Two more
 boosted models look at pairs of lines: whether a line is furniture, and then whether a word broken at
-its end continues on the next line that isn't, however much furniture stands between. All three are trained on the driver on a bounded sample of clean
-papers that is wrapped, hyphenated, misread and paginated artificially and goes through the very same
-joins; their number is ``RepairParams.train_papers``.
+its end continues on the next line that isn't, however much furniture stands between. All three are
+trained on the driver on a bounded sample of paragraphs of clean papers that are wrapped, hyphenated,
+misread and paginated artificially and go through the very same joins; ``RepairParams`` has the bounds.
 """
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections.abc import Iterator
@@ -19,21 +20,27 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirewright.llm.boosting import Boosted, calibrate
+from quirewright.llm.joins import spread_join
 from quirewright.plans.storage import materialise
 
 
 @dataclass(frozen=True)
 class RepairParams:
-    """train_papers: clean papers used as training text; common: papers that must know a candidate.
+    """common: papers that must know a candidate.
 
+    The training text: train_papers clean papers, of each train_chars characters or a little more in
+    paragraphs drawn from its whole text, and of each of their unknown words the true candidate and
+    train_candidates others.
     familiar: how many of the commonest words every task knows without a join; no result depends on it.
     """
 
     train_papers: int = 160
+    train_chars: int = 6_000
+    train_candidates: int = 24
     common: int = 3
     familiar: int = 20_000
     seed: int = 23
@@ -164,24 +171,38 @@ def _roman(n: int) -> str:
     return out
 
 
+def _header(short: str, names: list[str], page: int, r: random.Random) -> str:
+    """A running header or footer: one to three of the things such lines are made of, set side by side."""
+    series, place, author, other, maker = names
+    parts = [
+        lambda: short, lambda: short.upper(), lambda: f"{series} of {place}", lambda: series.upper(), lambda: f"{author.split()[0]} {r.choice(['et al.', 'and others', '& ' + other.split()[0]])}",
+        lambda: f"{r.choice(['Vol.', 'vol.', 'Volume', 'No.', 'Part', 'Issue', 'Bd.', 'Tome'])} {r.randint(1, 99)}", lambda: f"Vol. {r.randint(1, 99)}, No. {r.randint(1, 12)}", lambda: f"{r.randint(1, 99)} ({r.randint(1900, 2020)})", lambda: f"({r.randint(1900, 2020)})",
+        lambda: f"© {r.randint(1900, 2020)} {maker}", lambda: f"© {maker}", lambda: f"{r.choice(['Printed', 'Scanned', 'Issued', 'Copied', 'Held'])} {r.choice(['by', 'at', 'in', 'for'])} {r.choice(['', 'the '])}{maker}", lambda: f"{maker} {r.choice(['copy', 'print', 'edition', 'shelf'])} {r.randint(1, 99)}", lambda: f"{r.randint(1, 28)} {r.choice(['March', 'June', 'October'])} {r.randint(1900, 2020)}",
+        lambda: f"{author.upper()} {r.choice(['ET AL.', 'AND ' + other.split()[0].upper()])}",
+    ]
+    chosen = [p() for p in r.sample(parts, r.choice([1, 1, 2, 2, 3]))]
+    if r.random() < 0.2:
+        chosen.insert(r.choice([0, len(chosen)]), str(page))
+    return r.choice(["    ", ", ", " ", "   "]).join(chosen)
+
+
 def add_noise(text: str, title: str, page: int, r: random.Random) -> tuple[str, dict]:
     """A clean text as a scanner might give it, and what was done: hyphen lines, compound lines, furniture lines, and true words."""
     width, marks = r.randint(48, 72), r.choice([["-"], ["-"], ["‐"], ["¬"], ["\xad"], ["- "]])
     lines: list[str] = []
     hyphen, compound, furniture, truth, read = set(), set(), set(), {}, set()
-    journal = f"{r.choice(['Journal', 'Letters', 'Annals', 'Review', 'Notes', 'Archives', 'Bulletin'])} of {r.choice(['Marine', 'Applied', 'Formal', 'Rural', 'Social', 'Soil'])} {r.choice(['Studies', 'Physics', 'history', 'methods'])}"
-    author = r.choice(["Alderman", "Brooker", "Cedarfield", "Daleson"])
-    place = r.choice(["Alder", "Brook", "Cedar", "Dale"])
+    said = [w for w in re.findall(r"[^\W\d_]{4,}", text)] or ["Untitled"]
     short = " ".join((title or "Untitled work").split()[: r.randint(3, 5)])
     until, total = r.randint(8, 26), page + r.randint(5, 30)
+    # What a paper's headers name stays the same from page to page.
+    names = [" ".join(r.choice(said).capitalize() for _ in range(r.randint(1, 3))) for _ in range(5)]
 
     def turn() -> None:
         nonlocal page, until
         if r.random() < 0.5:
             lines.append("")
         number = r.choice([f"[{page}]", f"- {page} -", f"{page} / {total}", f"Page {page}", _roman(page), str(page), f"{page}    {short}", f"{short}    {page}"])
-        header = r.choice([f"{journal}, Vol. {r.randint(1, 60)} ({r.randint(1930, 2010)})", f"{journal}    {short}", short.upper(), f"Scanned by the {place} reading room", f"© {place} Academic Press", f"{place} Library copy {r.randint(1, 60)}", f"{author.upper()} ET AL.", f"{author} and others", f"{author} and others    {page}", f"Vol. {r.randint(1, 60)}, No. {r.randint(1, 12)}", f"{journal} {r.randint(1, 60)} ({r.randint(1930, 2010)}) {page}"])
-        other = f"Vol. {r.randint(1, 60)}, No. {r.randint(1, 12)}"
+        header, other = _header(short, names, page, r), _header(short, names, page, r)
         for line in r.choice([[number], [number, header], [header], [header, number], [number, header], [number, other, header]]):
             furniture.add(len(lines))
             lines.append(_misread(line, r) if r.random() < 0.15 else line)
@@ -237,6 +258,28 @@ def add_noise(text: str, title: str, page: int, r: random.Random) -> tuple[str,
 # ---------------------------------------------------------------- candidates and their ranking
 
 
+def _draw_paragraphs(params: RepairParams):
+    """Paragraphs from anywhere in a paper, in their order, until train_chars are reached."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for i, text in zip(b.column("paper_id").to_pylist(), b.column("text").to_pylist()):
+                paragraphs = [q[at : at + params.train_chars] for q in text.split("\n\n") for at in range(0, max(1, len(q)), params.train_chars)]
+                order = list(range(len(paragraphs)))
+                random.Random(i).shuffle(order)
+                kept, n = [], 0
+                for j in order:
+                    kept.append(j)
+                    n += len(paragraphs[j])
+                    if n >= params.train_chars:
+                        break
+                texts.append("\n\n".join(paragraphs[j] for j in sorted(kept)))
+            yield pa.RecordBatch.from_arrays([b.column("paper_id"), b.column("title"), pa.array(texts, pa.string())], names=["paper_id", "title", "text"])
+
+    return run
+
+
 def _frequencies(papers: DataFrame) -> DataFrame:
     """(word, df): in how many papers that weren't scanned each word stands; hyphenated words count whole and in parts."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}\p{M}]*(?:-\p{L}[\p{L}\p{M}]*)?"), 0))
@@ -340,19 +383,19 @@ def _corrections(tokens: DataFrame, known: DataFrame, truth: dict[str, str], par
     """(word, train, best, score) for unknown words, and the score from which a word counts as misread."""
     pairs = materialise(_ask(tokens, known, params), "correction-candidates")
 
-    asked = [(r["word"], r["best"], r["df"] or 0, _distance(r["word"], r["best"])) for r in pairs.where("train").collect()]
+    spark = pairs.sparkSession
+    # The trees see each training word's true candidate and a bounded number of others, drawn by hash.
+    true = F.broadcast(spark.createDataFrame([(w, t.lower(), True) for w, t in sorted(truth.items())], "word string, best string, true boolean"))
+    drawn = F.row_number().over(Window.partitionBy("word").orderBy(F.xxhash64("best", F.lit(params.seed)), "best"))
+    sample = pairs.where("train").withColumn("rank", drawn).join(true, ["word", "best"], "left").where((F.col("rank") <= params.train_candidates) | F.col("true"))
+    asked = [(r["word"], r["best"], r["df"] or 0, _distance(r["word"], r["best"])) for r in sample.select("word", "best", "df").collect()]
     rows = [r for r in asked if r[3] is not None]
     seen = {r[0] for r in rows}
-    rows += [(w, None, 0, None) for w in {r["word"] for r in tokens.where("train").collect()} - seen]
+    rows += [(w, None, 0, None) for w in sorted({r[0] for r in asked} - seen)]
     x = np.array([_pair_features(*r) for r in rows])
     y = np.array([float(r[0] in truth and (r[1] is None or r[1] == truth[r[0]].lower())) for r in rows])
-    model = Boosted(trees=40, depth=4).fit(x, y)
-    best_of: dict[str, float] = {}
-    for (w, *_), p in zip(rows, model.predict(x)):
-        best_of[w] = max(best_of.get(w, 0.0), float(p))
-    names = sorted(best_of)
-    cut = calibrate(np.array([best_of[w] for w in names]), np.array([float(w in truth) for w in names]), 0.85)
-    shared = pairs.sparkSession.sparkContext.broadcast(model)
+    model = Boosted(trees=40, depth=4).fit(x, y) if len(rows) else Boosted(trees=0)
+    shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -369,20 +412,24 @@ def _corrections(tokens: DataFrame, known: DataFrame, truth: dict[str, str], par
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.string()), pa.array(p)], names=["word", "train", "best", "score"])
 
     scored = pairs.mapInArrow(score, "word string, train boolean, best string, score double")
-    return scored.groupBy("word", "train").agg(F.max_by("best", F.struct("score", "best")).alias("best"), F.max("score").alias("score")), cut
+    fixes = materialise(scored.groupBy("word", "train").agg(F.max_by("best", F.struct("score", "best")).alias("best"), F.max("score").alias("score")), "corrections")
+    # The threshold rests on the best of all candidates of each training word.
+    best = sorted((r["word"], r["score"]) for r in fixes.where("train").select("word", "score").collect())
+    return fixes, calibrate(np.array([p for _, p in best]), np.array([float(w in truth) for w, _ in best]), 0.85) if best else 2.0
 
 
 # ---------------------------------------------------------------- line features
 
 
 def _shape(line: str) -> str:
-    """A line's form for counting repetitions: the part before a wide gap, digits masked."""
+    """A line's form for counting repetitions: the part before a wide gap, digits masked; long ones by their hash."""
     s = line.strip()
     m = _GAP.search(s)
     if m:
         head, tail = s[: m.start(1)], s[m.end(1) :]
         s = head if len(_LETTERS.findall(head)) >= 2 else tail
-    return skeleton(re.sub(r"[\dOl]*\d[\dOl]*", "#", s))[:60]
+    form = skeleton(re.sub(r"[\dOl]*\d[\dOl]*", "#", s))
+    return form if len(form) <= 20 else hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=10).hexdigest()
 
 
 def _line_features(lines: list[str], title: str, shapes: list[int], known: list[tuple[int, int]]) -> np.ndarray:
@@ -562,7 +609,8 @@ def repair(units: DataFrame, papers: DataFrame, params: RepairParams = RepairPar
     spark = units.sparkSession
     schema = "paper_id long, section_idx int, found array<struct<line:int,kind:string>>, text string"
     known = _frequencies(papers)
-    clean = papers.where(~F.col("scanned") & (F.length("text") > 200)).orderBy(F.xxhash64("paper_id", F.lit(params.seed))).limit(params.train_papers).select("title", F.substring("text", 1, 6000).alias("text")).collect()
+    clean = papers.where(~F.col("scanned") & (F.length("text") > 200)).orderBy(F.xxhash64("paper_id", F.lit(params.seed)), "paper_id").limit(params.train_papers).select("paper_id", "title", "text")
+    clean = clean.mapInArrow(_draw_paragraphs(params), "paper_id long, title string, text string").orderBy("paper_id").collect()
     if not clean:
         return spark.createDataFrame([], schema)
     r = random.Random(params.seed)
@@ -595,12 +643,14 @@ def repair(units: DataFrame, papers: DataFrame, params: RepairParams = RepairPar
 
     # A training text's own paper doesn't count among those that know its words.
     def standing(words: DataFrame) -> DataFrame:
-        status = words.select("word", "train").distinct().withColumn("low", F.lower("word")).join(known.withColumnRenamed("word", "low"), "low", "left")
-        return status.select("word", "train", (F.coalesce("df", F.lit(0)) - F.col("train").cast("int")).cast("int").alias("df"))
+        status = words.groupBy("word", "train").agg(F.count("*").alias("n")).withColumn("low", F.lower("word")).join(known.withColumnRenamed("word", "low"), "low", "left")
+        return status.select("word", "train", (F.coalesce("df", F.lit(0)) - F.col("train").cast("int")).cast("int").alias("df"), "n")
 
-    shapes = spelled.where(F.col("role") == "s").groupBy("word", "train").agg(F.count_distinct("paper_id").cast("int").alias("df")).withColumn("shape", F.lit(True))
+    shapes = spelled.where(F.col("role") == "s").groupBy("word", "train").agg(F.count_distinct("paper_id").cast("int").alias("df"), F.count("*").alias("n")).withColumn("shape", F.lit(True))
     looked = standing(spelled.where(F.col("role") != "s")).where(F.col("df") <= 0).withColumn("shape", F.lit(False)).unionByName(shapes)
-    marked = spelled.withColumn("shape", F.col("role") == "s").join(looked, ["word", "train", "shape"])
+    looked, keys = materialise(looked, "looked-up"), ["word", "train", "shape"]
+    # A bare page number is one form for all papers.
+    marked = spread_join(spelled.withColumn("shape", F.col("role") == "s"), looked.drop("n"), keys, sizes=looked)
     entries = marked.groupBy("paper_id", "section_idx").agg(F.collect_list(F.struct("line", "role", "word", "df")).alias("entries"))
     described = materialise(every.join(entries, ["paper_id", "section_idx"], "left"), "described-units")
 
@@ -628,10 +678,10 @@ def repair(units: DataFrame, papers: DataFrame, params: RepairParams = RepairPar
 
     parted = materialise(described.mapInArrow(line_up, "paper_id long, section_idx int, text string, train boolean, furniture array<int>, words array<struct<line:int,role:string,word:string>>"), "lined-units")
     pieces = parted.select("paper_id", "section_idx", "train", F.inline("words"))
-    status = materialise(standing(pieces), "word-status")
+    status = materialise(standing(pieces), "word-status")  # with n, the rows of each word
     unknown = status.where((F.col("df") <= 0) & ~F.contains("word", F.lit("-")) & (F.length("word") >= 3)).select("word", "train")
     fixes, cut = _corrections(unknown, known, truth, params)
-    scored = pieces.join(status.join(fixes, ["word", "train"], "left"), ["word", "train"])
+    scored = spread_join(pieces, status.drop("n").join(fixes, ["word", "train"], "left"), ["word", "train"], sizes=status)
     entries = scored.groupBy("paper_id", "section_idx").agg(F.collect_list(F.struct("line", "role", "word", "df", "best", "score")).alias("entries"))
     judged = materialise(parted.drop("words").join(entries, ["paper_id", "section_idx"], "left"), "scored-units")
 
