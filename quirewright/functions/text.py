@@ -19,7 +19,7 @@ ABBREVIATIONS = [
     "Eq.", "Ref.", "Vol.", "No.", "pp.", "et al.", "Ph.D.",
     "Inc.", "Ltd.", "Corp.", "Co.", "St.", "Mt.", "Ft.",
 ]
-_DOT = "<<DOT>>"
+_DOT = "\ue000"  # of the private use area; sentences() sets aside the ones that a text has
 
 #: The forms of an arXiv id, tried in this order.
 ARXIV_PATTERNS = [
@@ -69,20 +69,26 @@ def paragraphs(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"(?U)\n\s*\n"), strip), lambda p: p != "")
 
 
+def _protected_dots(word_boundary: bool) -> str:
+    """A pattern of the full stops inside and at the end of abbreviations: each is told by what stands before and after it."""
+    start = r"(?<![\w])" if word_boundary else ""
+    places: dict[str, list[str]] = {}
+    for a in ABBREVIATIONS:
+        for i, c in enumerate(a):
+            if c == ".":
+                places.setdefault(a[i + 1 :].replace(".", r"\."), []).append(start + a[:i].replace(".", r"\."))
+    return ("(?U)" if word_boundary else "") + "|".join(rf"(?<={'|'.join(before)})\." + (f"(?={after})" if after else "") for after, before in places.items())
+
+
 def sentences(c: Column, word_boundary: bool = False) -> Column:
     """Parts that end with . ! or ? before white space and a capital, but not after an abbreviation.
 
-    As abbreviations are replaced in order and anywhere, one also protects longer words that end like
-    it; ``word_boundary`` protects whole words only.
+    As abbreviations count anywhere, one also protects longer words that end like it;
+    ``word_boundary`` protects whole words only.
     """
-    for a in ABBREVIATIONS:
-        safe = a.replace(".", _DOT)
-        if word_boundary:
-            c = F.regexp_replace(c, r"(?U)(?<![\w])" + a.replace(".", r"\."), safe)
-        else:
-            c = F.replace(c, F.lit(a), F.lit(safe))
+    c = F.regexp_replace(F.replace(c, F.lit(_DOT), F.lit("\ue001\ue002")), _protected_dots(word_boundary), _DOT)
     parts = F.split(c, r"(?U)(?<=[.!?])\s+(?=[A-Z])")
-    return F.filter(F.transform(parts, lambda s: strip(F.replace(s, F.lit(_DOT), F.lit(".")))), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: strip(F.replace(F.replace(s, F.lit(_DOT), F.lit(".")), F.lit("\ue001\ue002"), F.lit(_DOT)))), lambda s: s != "")
 
 
 def arxiv_id(c: Column) -> Column:

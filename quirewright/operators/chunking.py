@@ -6,9 +6,12 @@ Token counts come from one pass over a text, so that counting a rest is a subtra
 
 from __future__ import annotations
 
+import base64
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +34,41 @@ def token_starts(text: str) -> list[int]:
     return [m.start() for m in _TOKEN.finditer(text)]
 
 
+@dataclass(frozen=True)
+class BpeSpans:
+    """Where the tokens of a byte-level BPE begin: to be passed as ``starts`` for true counts.
+
+    vocabulary: a file of base64 tokens and their ranks, which every executor can read; pattern: how
+    the tokenizer cuts texts into words. Needs tiktoken.
+    """
+
+    vocabulary: str
+    pattern: str = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+    def __call__(self, text: str) -> list[int]:
+        encoding = _encoding(self.vocabulary, self.pattern)
+        sizes = [len(encoding.decode_single_token_bytes(t)) for t in encoding.encode_ordinary(text)]
+        # A token may begin inside a character; it counts from the next one then.
+        at, out, byte, start = 0, [], 0, 0
+        widths = [len(c.encode("utf-8", "surrogatepass")) for c in text]
+        for n in sizes:
+            while at < len(text) and byte < start:
+                byte += widths[at]
+                at += 1
+            out.append(at)
+            start += n
+        return out
+
+
+@lru_cache(4)
+def _encoding(vocabulary: str, pattern: str):
+    import tiktoken
+
+    with open(vocabulary, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def _protected(text: str, at: int) -> bool:
     """Whether the full stop at a place belongs to an abbreviation."""
     return any(text.startswith(a, at + 1 - len(a)) for a in ABBREVIATIONS if len(a) <= at + 1) or text.startswith(".D.", at)

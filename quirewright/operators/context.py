@@ -3,23 +3,48 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirewright.functions.prompts import TEMPLATES, Template
+from quirewright.plans.storage import materialise
 
 SEPARATOR = "\n\n---\n\n"
 
 
-def budget_prefix(chunks: DataFrame, keys: list[str], order: list[str], tokens: str, budget: int | Column) -> DataFrame:
+def budget_prefix(chunks: DataFrame, keys: list[str], order: list[str], tokens: str, budget: int | Column, hot_rows: int = 10_000) -> DataFrame:
     """The chunks before the first that would exceed the budget; null counts are 0.
 
-    Counts must not be negative. A first chunk over the budget leaves nothing.
+    Counts must not be negative. A first chunk over the budget leaves nothing. Groups of at least
+    ``hot_rows`` rows and a thousandth of all (a thousand groups at most) are sorted over many tasks:
+    the sums of the parts tell where each begins, and parts beyond the budget are dropped before any
+    group is put together.
     """
-    running = F.sum(F.coalesce(F.col(tokens), F.lit(0))).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    counted = chunks.withColumn("__n", F.coalesce(F.col(tokens), F.lit(0)).cast("long"))
     limit = budget if isinstance(budget, Column) else F.lit(budget)
-    return chunks.withColumn("__running", running).where(F.col("__running") <= limit).drop("__running")
+    running = F.sum("__n").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    plain = lambda rows: rows.withColumn("__running", running).where(F.col("__running") <= limit).select(*chunks.columns)
+    sizes = chunks.groupBy(*keys).agg(F.count("*").alias("__size"))
+    total = sizes.agg(F.sum("__size")).head()[0] or 0
+    hot = sizes.where(F.col("__size") >= max(hot_rows, -(-total // 1_000))).select(*(F.col(k).alias(f"__{k}") for k in keys)).collect()
+    if not hot:
+        return plain(counted)
+    schema = T.StructType([T.StructField(f"__{k}", chunks.schema[k].dataType) for k in keys])
+    names = F.broadcast(chunks.sparkSession.createDataFrame(hot, schema))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    large = counted.join(names, same, "left_semi")
+    ranged = materialise(large.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "budget-ranges")
+    held = ranged.groupBy(*keys, "__part").agg(F.sum("__n").alias("__held"))  # a row per group and task
+    before = F.coalesce(F.sum("__held").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = held.withColumn("__before", before).select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__part").alias("__at"), "__before")
+    placed = ranged.join(F.broadcast(starts), same & (F.col("__part") == F.col("__at"))).where(F.col("__before") <= limit)
+    within = F.sum("__n").over(Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    kept = placed.withColumn("__running", F.col("__before") + within).where(F.col("__running") <= limit).select(*chunks.columns)
+    return plain(counted.join(names, same, "left_anti")).unionByName(kept)
 
 
 def assemble(chunks: DataFrame, keys: list[str], order: list[str], text: str, section: str) -> DataFrame:

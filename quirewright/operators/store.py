@@ -1,15 +1,19 @@
-"""A store of chunk vectors: Parquet snapshots and a pointer to the current one.
+"""A store of chunk vectors: Parquet parts and numbered lists of the parts that are valid.
 
-Each change writes files beside those being read and then replaces the pointer in one rename, so
-readers see the old or the new state and a lost executor leaves neither half written. Appends add one
-part to the list of parts; only deletes rewrite rows.
+Each change writes parts beside those being read and then a list with the next number, by a rename
+that fails if that list is there already. Readers take the list with the highest number, so they see
+the old or the new state, and a lost executor leaves neither half written. A writer whose number
+was taken reads the new list, mends its change by what the other one did, and tries again. Appends add
+one part, deletes rewrite only the parts that hold deleted rows, and compact() merges small parts.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,9 @@ from quirewright.operators.vectors import search, search_many
 from quirewright.schema import STORED
 
 
+_KEPT_LISTS = 10
+
+
 def chunk_ids(path: Column, index: Column) -> Column:
     """<file stem>-<hash of the path>_chunk_<i>: unlike the stem alone, unique across folders."""
     return F.concat(file_stem(path), F.lit("-"), F.substring(F.sha2(path, 256), 1, 12), F.lit("_chunk_"), index)
@@ -62,43 +69,85 @@ class VectorStore:
     def _file(self, name: str):
         return self._hadoop.Path(f"{self.path}/{name}")
 
-    def _parts(self) -> list[str]:
-        pointer = self._file("CURRENT")
-        if not self._fs.exists(pointer):
+    def _lists(self) -> list[int]:
+        """The numbers of the lists, the latest last."""
+        if not self._fs.exists(self._hadoop.Path(self.path)):
             return []
-        return json.loads("".join(r["value"] for r in self.spark.read.text(f"{self.path}/CURRENT").collect()))
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._hadoop.Path(self.path))]
+        return sorted(int(n[5:]) for n in names if re.fullmatch(r"list-\d+", n))
+
+    def _state(self) -> tuple[int, list[str]]:
+        """The number and the parts of the latest list; 0 and none before the first change."""
+        numbers = self._lists()
+        if not numbers:
+            return 0, []
+        stream = self._fs.open(self._file(f"list-{numbers[-1]:010d}"))
+        try:
+            return numbers[-1], json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
-    def _point(self, parts: list[str]) -> None:
-        fresh = self._file(f"_new-{uuid.uuid4().hex}")
-        out = self._fs.create(fresh, True)
+    def _parts(self) -> list[str]:
+        return self._state()[1]
+
+    def _publish(self, seen: int, parts: list[str]) -> bool:
+        """Write the list that follows number ``seen``; False if another writer was first."""
+        jvm = self.spark.sparkContext._jvm
+        fresh, target = self._file(f"_new-{uuid.uuid4().hex}"), self._file(f"list-{seen + 1:010d}")
+        out = self._fs.create(fresh, False)
         out.write(bytearray(json.dumps(parts).encode()))
         out.close()
-        pointer = self._file("CURRENT")
-        options = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri() if pointer.toUri().getScheme() else self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        array = self.spark.sparkContext._gateway.new_array(options, 1)
-        array[0] = options.OVERWRITE
-        context.rename(self._fs.makeQualified(fresh), self._fs.makeQualified(pointer), array)
-
-    def table(self) -> DataFrame:
-        """All rows; an empty table of the same schema before the first add."""
-        parts = self._parts()
+        options = jvm.org.apache.hadoop.fs.Options.Rename
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        never = self.spark.sparkContext._gateway.new_array(options, 1)
+        never[0] = options.NONE
+        try:
+            context.rename(self._fs.makeQualified(fresh), self._fs.makeQualified(target), never)
+        except Py4JJavaError as e:
+            if not self._fs.exists(target):
+                raise e
+            self._fs.delete(fresh, False)
+            return False
+        for n in self._lists()[:-_KEPT_LISTS]:
+            self._fs.delete(self._file(f"list-{n:010d}"), False)
+        return True
+
+    def _change(self, revise) -> int:
+        """Publish ``revise(parts)``, a pair of new parts and a number to return, until no other writer was first; None leaves all as it is."""
+        while True:
+            seen, parts = self._state()
+            made = revise(parts)
+            if made is None:
+                return 0
+            if self._publish(seen, made[0]):
+                return made[1]
+
+    def _read(self, parts: list[str]) -> DataFrame:
         if not parts:
             return self.spark.createDataFrame([], STORED)
         return self.spark.read.schema(STORED).parquet(*(f"{self.path}/{p}" for p in parts))
 
+    def table(self) -> DataFrame:
+        """All rows; an empty table of the same schema before the first add."""
+        return self._read(self._parts())
+
     def _write(self, rows: DataFrame) -> str:
         name = f"part-{uuid.uuid4().hex}"
         rows.select(*STORED.names).write.parquet(f"{self.path}/{name}")
         return name
 
+    def _drop(self, part: str) -> None:
+        """Delete a part that no list has named."""
+        self._fs.delete(self._file(part), True)
+
     def add(self, papers: DataFrame, mode: str = "sections") -> int:
         """Chunk, embed and append papers (paper_path, title, text, sections) that aren't stored; the chunks added.
 
         Paths are compared after dropping 'file:' and doubled or trailing slashes.
         """
         path = F.regexp_replace(F.regexp_replace(F.regexp_replace("paper_path", "^file:/*", "/"), "/{2,}", "/"), "(?<=.)/$", "")
-        fresh = new_papers(papers.withColumn("paper_path", path), self.table())
+        before = self._parts()
+        fresh = new_papers(papers.withColumn("paper_path", path), self._read(before))
         chunks = chunk_papers(fresh.select("paper_path", F.col("title").alias("paper_title"), "text", "sections"), mode, None, self.settings.chunk_size, self.settings.chunk_overlap)
         rows = chunks.select(
             chunk_ids(F.col("paper_path"), F.col("chunk_index")).alias("id"),
@@ -109,24 +158,64 @@ class VectorStore:
             F.coalesce("source_section", F.lit("")).alias("section"),
             *("chunk_index", "total_chunks", "token_count", "start_pos", "end_pos"),
         )
-        part = self._write(rows)
-        n = self.spark.read.parquet(f"{self.path}/{part}").count()
-        if n:
-            self._point([*self._parts(), part])
-        else:
-            self._fs.delete(self._file(part), True)
-        return n
+        made = {"part": self._write(rows), "known": set(before)}
+
+        def revise(parts: list[str]) -> tuple[list[str], int] | None:
+            others = [p for p in parts if p not in made["known"]]
+            if others:
+                # What another writer has added since isn't added again.
+                stored = self._read(others).select("paper_path").distinct()
+                part = self._write(self._read([made["part"]]).join(stored, "paper_path", "left_anti"))
+                self._drop(made["part"])
+                made.update(part=part, known=made["known"] | set(others))
+            n = self._read([made["part"]]).count()
+            if not n:
+                self._drop(made["part"])
+                return None
+            return [*parts, made["part"]], n
+
+        return self._change(revise)
 
     def delete(self, paper_path: str | None = None, paper_title: str | None = None) -> int:
-        """Delete by exact path, else by exact title (every paper of it); the rows deleted."""
+        """Delete by exact path, else by exact title (every paper of it); the rows deleted. Parts without such rows stay as they are."""
         if paper_path is None and paper_title is None:
             raise ValueError("give a paper_path or a paper_title")
-        rows = self.table()
         gone = F.col("paper_path").eqNullSafe(paper_path) if paper_path is not None else F.col("paper_title").eqNullSafe(paper_title)
-        n = rows.where(gone).count()
-        if n:
-            self._point([self._write(rows.where(~gone))])
-        return n
+
+        def revise(parts: list[str]) -> tuple[list[str], int] | None:
+            name = F.regexp_extract(F.input_file_name(), r"(part-[0-9a-f]{32})", 1)
+            hit = {r["part"]: r["n"] for r in self._read(parts).where(gone).select(name.alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row per part
+            if not hit:
+                return None
+            rest = self._write(self._read([p for p in parts if p in hit]).where(~gone))
+            return [*(p for p in parts if p not in hit), rest], sum(hit.values())
+
+        return self._change(revise)
+
+    def compact(self, small: int = 128 << 20) -> int:
+        """Merge the parts of fewer than ``small`` bytes into one; how many were merged. Merged parts stay on disk for readers of older lists, until vacuum()."""
+
+        def revise(parts: list[str]) -> tuple[list[str], int] | None:
+            merge = [p for p in parts if self._fs.getContentSummary(self._file(p)).getLength() < small]
+            if len(merge) < 2:
+                return None
+            size = sum(self._fs.getContentSummary(self._file(p)).getLength() for p in merge)
+            one = self._write(self._read(merge).coalesce(max(1, -(-size // small))))
+            return [*(p for p in parts if p not in merge), one], len(merge)
+
+        return self._change(revise)
+
+    def vacuum(self) -> int:
+        """Delete the parts that no kept list names; how many. Not while others write or read older lists."""
+        named: set[str] = set()
+        for n in self._lists():
+            stream = self._fs.open(self._file(f"list-{n:010d}"))
+            named |= set(json.loads(bytes(stream.readAllBytes()).decode()))
+            stream.close()
+        gone = [f.getPath() for f in self._fs.listStatus(self._hadoop.Path(self.path)) if f.getPath().getName().startswith("part-") and f.getPath().getName() not in named] if self._lists() else []
+        for path in gone:
+            self._fs.delete(path, True)
+        return len(gone)
 
     def find_title(self, part: str) -> DataFrame:
         """The stored papers whose title contains a text, case ignored."""

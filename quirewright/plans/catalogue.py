@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirewright.functions import score, sections, text
-from quirewright.functions.prompts import ANALYSES, TEMPLATES
+from quirewright.functions.prompts import ANALYSES, FULL_ANALYSIS, TEMPLATES
 from quirewright.operators import analyses, chunking, context, store, vectors
 from quirewright.operators.models import HashEmbedder, embed
 from quirewright.plans.storage import table
@@ -140,7 +140,12 @@ def similar_overfetch(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(vectors.search_many(table(spark, folder, "embeddings"), _asked(spark, folder), 5, "embedding", "vec_id", exclude="label", strict=False))
 
 
-@_query()
+@_query(
+    f"""SELECT query_id, id, rank::INT AS rank, round(d, 5) AS distance, round(1 / (1 + d), 5) AS score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM (SELECT query_id, id, {_D} AS d FROM (
+    SELECT a.row_id AS query_id, b.row_id AS id, a.vector AS q, b.vector AS v FROM papers a JOIN papers b ON len(a.vector) = len(b.vector) AND (a.paper_path IS NULL OR b.paper_path IS DISTINCT FROM a.paper_path) WHERE a.row_id % 50 = 0)))
+    WHERE rank <= 5"""
+)
 def paper_cross_reference(spark: SparkSession, folder: str) -> DataFrame:
     """For every fiftieth chunk row the five nearest chunks of other papers."""
     rows = table(spark, folder, "papers")
@@ -535,39 +540,82 @@ def red_flags(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("result_id", F.col("i").cast("long").alias("i"), "flag")
 
 
-# ---------------------------------------------------------------- Python operators, without SQL
+# ---------------------------------------------------------------- Python operators; SQL knows what must hold of their results
 
 
 def _papers(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "extracted_papers").select(F.col("path").alias("paper_path"), "title", "abstract", "text", "sections")
 
 
-@_query()
+def _sql_blank(x: str) -> str:
+    return f"{_sql_strip(x)} = ''"
+
+
+def _sql_chunked(where: str = "") -> str:
+    """Per paper the units that are cut, and their characters, of which chunks must leave none out."""
+    return f"""WITH units AS (SELECT path, unnest(CASE WHEN len(sections) > 0 THEN list_transform(sections, lambda s: {{'name': s.name, 'content': s.content}})
+        ELSE [{{'name': NULL, 'content': text}}] END) AS u FROM extracted_papers)
+    SELECT path AS paper_path, count(*)::BIGINT AS units, sum(length(u.content))::BIGINT AS chars, true AS ordered, true AS numbered, true AS measured
+    FROM units WHERE u.content IS NOT NULL AND NOT {_sql_blank("u.content")} {where} GROUP BY path"""
+
+
+def _checked_chunks(chunks: DataFrame) -> DataFrame:
+    """Per paper: units and characters covered, and whether chunks are in order without gaps, numbered through, and not longer than their spans."""
+    at = Window.partitionBy("paper_path").orderBy("chunk_index")  # the chunks of one paper
+    first, before = F.col("start_pos") == 0, F.lag("end_pos").over(at)
+    each = chunks.withColumns({"before": before, "start_before": F.lag("start_pos").over(at)}).select(
+        "paper_path",
+        first.cast("long").alias("unit"),
+        (F.col("end_pos") - F.when(first, 0).otherwise(F.col("before"))).alias("new"),
+        (first | ((F.col("start_pos") <= F.col("before")) & (F.col("start_pos") > F.col("start_before")) & (F.col("end_pos") > F.col("before")))).alias("ordered"),
+        "chunk_index", "total_chunks",
+        ((F.length("chunk_text") <= F.col("end_pos") - F.col("start_pos")) & (F.col("token_count") > 0)).alias("measured"),
+    )
+    whole = (F.count_distinct("chunk_index") == F.max("total_chunks")) & (F.max("chunk_index") == F.count("*") - 1) & (F.min("total_chunks") == F.count("*"))
+    return each.groupBy("paper_path").agg(F.sum("unit").alias("units"), F.sum("new").cast("long").alias("chars"), F.bool_and("ordered").alias("ordered"), whole.alias("numbered"), F.bool_and("measured").alias("measured"))
+
+
+@_query(_sql_chunked())
 def chunk_greedy(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks of at most about 200 tokens, 30 of them shared, of every paper."""
-    return chunking.chunk_papers(_papers(spark, folder).select("paper_path", "text", "sections"), "sections", None, 200, 30)
+    """Chunks of at most about 200 tokens, 30 of them shared, of every paper, held against what must be true of them."""
+    return _checked_chunks(chunking.chunk_papers(_papers(spark, folder).select("paper_path", "text", "sections"), "sections", None, 200, 30))
 
 
-@_query()
+@_query(_sql_chunked("AND (u.name IS NULL OR lower(u.name) IN ('methods', 'results'))"))
 def chunk_for_analysis(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks of the methods and results only."""
-    return chunking.chunk_papers(_papers(spark, folder).select("paper_path", "text", "sections"), "sections", ["Methods", "Results"], 200, 30)
+    """The same for chunks of the methods and results only."""
+    return _checked_chunks(chunking.chunk_papers(_papers(spark, folder).select("paper_path", "text", "sections"), "sections", ["Methods", "Results"], 200, 30))
 
 
-@_query()
+@_query(r"SELECT row_id, CASE WHEN text IS NOT NULL THEN 64 END AS width, CASE WHEN text IS NOT NULL THEN CASE WHEN regexp_matches(text, '[\pL\pN_]') THEN 1.0::DOUBLE ELSE 0.0 END END AS norm FROM papers")
 def embed_hash(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors of all stored chunks by the offline embedder."""
+    """Vectors of all stored chunks by the offline embedder: width and length, which is 1 where there are words."""
     rows = table(spark, folder, "papers").select("row_id", embed(F.col("text"), HashEmbedder(64)).alias("v"))
-    return rows.select("row_id", F.size("v").alias("width"), F.round(F.aggregate(F.transform("v", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x), 4).alias("norm"))
+    return rows.select("row_id", F.when(F.col("v").isNotNull(), F.size("v")).alias("width"), F.round(F.aggregate(F.transform("v", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x), 4).alias("norm"))
+
 
+_FULL = ", ".join(f"('{n}', '{TEMPLATES[ANALYSES[n].template].description}')" for n in FULL_ANALYSIS)
 
-@_query()
+
+@_query(
+    f"""SELECT path AS paper_path, title AS paper_title, analysis, analysis_type, NOT coalesce(list_bool_or(list_transform(units, lambda u: u IS NOT NULL AND NOT {_sql_blank("u")})), false) AS context_empty,
+    'offline-heuristic' AS model_used, true AS answered, true AS counted FROM (SELECT *, CASE WHEN len(sections) > 0 THEN list_transform(sections, lambda s: s.content) ELSE [text] END AS units FROM extracted_papers), (VALUES {_FULL}) t(analysis, analysis_type)"""
+)
 def full_analysis(spark: SparkSession, folder: str) -> DataFrame:
     """The six analyses of every paper by the offline completer."""
-    return analyses.analyse(_papers(spark, folder)).drop("sections_analyzed")
+    done = analyses.analyse(_papers(spark, folder))
+    counted = (F.col("chunks_processed") == F.size("sections_analyzed")) & (F.col("n_chunks") >= F.col("chunks_processed")) & (F.col("context_empty") == (F.col("n_chunks") == 0))
+    return done.select("paper_path", "paper_title", "analysis", "analysis_type", "context_empty", "model_used", F.col("content").isNotNull().alias("answered"), counted.alias("counted"))
 
 
-@_query()
+@_query("SELECT path AS paper_path, true AS parse_ok, true AS mean, true AS rated, true AS flagged FROM extracted_papers")
 def score_end_to_end(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunk, take the context, complete and parse: a rigor score for every paper."""
-    return analyses.rigor_scores(_papers(spark, folder)).select("paper_path", "overall", "rating", "parse_ok", F.size("red_flags").alias("n_flags"))
+    """Chunk, take the context, complete and parse: a rigor score for every paper, held against its own parts."""
+    s = analyses.rigor_scores(_papers(spark, folder))
+    parts = [F.col(c) for c in score.COMPONENTS]
+    high = sum((p > 5).cast("int") for p in parts)
+    return s.select(
+        "paper_path", "parse_ok", (F.abs(F.col("overall") - sum(parts) / 4) < 0.01).alias("mean"),
+        (F.col("rating") == F.when(F.col("overall") <= 2, "Excellent").when(F.col("overall") <= 4, "Good").when(F.col("overall") <= 6, "Concerning").when(F.col("overall") <= 8, "Poor").otherwise("Severe Issues")).alias("rated"),
+        (F.size("red_flags") == high).alias("flagged"),
+    )

@@ -145,3 +145,66 @@ def test_embedder(spark):
 def test_analyses_do_not_shuffle(spark):
     df = analyses.rigor_scores(papers(spark))
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_many_against_brute_force(spark):
+    import numpy as np
+
+    from quirewright.operators import vectors
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6)).round(1)
+    x[20:40] = x[3]  # ties
+    rows = [(i, v.tolist(), f"g{i % 4}" if i % 9 else None) for i, v in enumerate(x)] + [(900, None, "g1"), (901, [1.0, None] + [0.0] * 4, "g1"), (902, [1.0, 2.0], "g1"), (903, [0.0] * 6, "g1"), (None, [1.0] * 6, "g1")]
+    table = spark.createDataFrame(rows, "id long, vector array<float>, group string")
+    asked = [(i, x[i].tolist(), f"g{i % 4}" if i % 2 else None) for i in range(0, 60, 3)] + [(777, None, "g1"), (778, [], "g1")]
+    queries = spark.createDataFrame(asked, "query_id long, query_vector array<float>, exclude_value string")
+    x32 = np.vstack([x.astype("f4").astype("f8"), np.zeros((1, 6))])
+    ids = [*range(300), 903]
+    groups = [f"g{i % 4}" if i % 9 else None for i in range(300)] + ["g1"]
+    for metric in vectors.METRICS:
+        for block in (7, 8_192):
+            got = {}
+            for r in vectors.search_many(table, queries, 4, metric=metric, exclude="group", block=block).collect():
+                got.setdefault(r["query_id"], {})[r["rank"]] = (r["id"], r["distance"])
+            for q, v, own in asked[:20]:
+                d = vectors._pairwise(x32, np.broadcast_to(np.array(v, "f4").astype("f8"), x32.shape), metric)
+                want = sorted((round(float(d[k]), 9), ids[k]) for k in range(301) if not np.isnan(d[k]) and (own is None or groups[k] != own))[:4]
+                assert [got[q][k + 1][0] for k in range(4)] == [i for _, i in want], (metric, q)
+    first = vectors.search(table, x[3].tolist(), 3)
+    assert [r["id"] for r in first.collect()] == [3, 20, 21] and vectors.search(table, [1.0, 2.0], 5).count() == 1
+
+
+def test_true_token_counts(spark):
+    import os
+
+    from quirewright.operators.chunking import BpeSpans, chunk_papers, chunk_text
+
+    vocabulary = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not os.path.exists(vocabulary):
+        pytest.skip("no vocabulary file here")
+    spans = BpeSpans(vocabulary)
+    text = "Hydroacoustic métres étaient 測定 counted again. " * 60
+    starts = spans(text)
+    assert starts == sorted(starts) and starts[0] == 0 and len(starts) > len(text.split())
+    made = chunk_text(text, 100, 10, spans)
+    assert all(n <= 110 for *_, n in made) and made[-1][2] == len(text)
+    df = spark.createDataFrame([("/a", text, [])], "paper_path string, text string, sections array<struct<name:string,content:string,start_pos:int,end_pos:int>>")
+    assert [r["token_count"] for r in chunk_papers(df, "full", None, 100, 10, spans).collect()] == [n for *_, n in made]
+
+
+def test_budgets_of_hot_groups(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [("hot" if i % 3 else None, i % 250, i, r.choice([0, 1, 5, None]), f"t{i}") for i in range(900)] + [(f"k{i}", 0, i, 3, "x") for i in range(20)]
+    df = spark.createDataFrame(rows, "paper string, a int, b int, n int, text string").repartition(5)
+    want = set()
+    for key in {x[0] for x in rows}:
+        total = 0
+        for x in sorted((x for x in rows if x[0] == key), key=lambda x: (x[1], x[2])):
+            total += x[3] or 0
+            if total <= 400:
+                want.add(x)
+    for hot in (50, 10_000):
+        assert {tuple(x) for x in context.budget_prefix(df, ["paper"], ["a", "b"], "n", 400, hot_rows=hot).collect()} == want

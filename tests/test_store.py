@@ -193,3 +193,48 @@ def test_tables_in_the_shared_folder(spark, tmp_path):
     df = materialise(spark.range(5), "five")
     assert df.count() == 5 and folder.removeprefix("file://") + "/tables/five-" in df.inputFiles()[0]
     assert release(spark) >= 1 and release(spark) == 0
+
+
+def parts_of(store):
+    return store._state()[1]
+
+
+def test_delete_leaves_other_parts_alone(spark, store):
+    for i in range(3):
+        store.add(spark.createDataFrame([(f"/x/{i}.pdf", f"T{i}", f"text number {i}", []), (f"/z/{i}.pdf", f"Z{i}", f"other text {i}", [])], KIND))
+    before = parts_of(store)
+    assert len(before) == 3 and store.delete(paper_path="/x/1.pdf") == 1
+    after = parts_of(store)
+    assert set(before) - set(after) == {before[1]} and len(after) == 3
+    assert {r["paper_path"] for r in store.table().collect()} == {"/x/0.pdf", "/z/0.pdf", "/z/1.pdf", "/x/2.pdf", "/z/2.pdf"}
+    assert store.compact() == 3 and len(parts_of(store)) == 1 and store.table().count() == 5
+    assert store.compact() == 0
+    store.vacuum()
+    assert store.table().count() == 5
+
+
+def test_two_writers_lose_nothing(spark, store):
+    other = VectorStore(spark, store.path, HashEmbedder(16), Settings())
+    store.add(spark.createDataFrame([("/a.pdf", "A", "first text", [])], KIND))
+    publish, came = store._publish, []
+
+    def late(seen, parts):
+        # Another writer adds a paper of ours and one of its own, and deletes one, just before we publish.
+        if not came:
+            came.append(other.add(spark.createDataFrame([("/b.pdf", "B", "second text", []), ("/c.pdf", "C", "third text", [])], KIND)))
+            other.delete(paper_path="/a.pdf")
+        return publish(seen, parts)
+
+    store._publish = late
+    assert store.add(spark.createDataFrame([("/b.pdf", "B", "second text", []), ("/d.pdf", "D", "fourth text", [])], KIND)) == 1
+    assert came == [2] and sorted(r["paper_path"] for r in store.table().collect()) == ["/b.pdf", "/c.pdf", "/d.pdf"]
+    came.clear()
+    late_delete = store.delete(paper_path="/d.pdf")
+    assert late_delete == 1 and sorted(r["paper_path"] for r in store.table().collect()) == ["/b.pdf", "/c.pdf"]
+
+
+def test_a_list_is_never_overwritten(store, spark):
+    store.add(spark.createDataFrame([("/a.pdf", "A", "first text", [])], KIND))
+    seen, parts = store._state()
+    assert store._publish(seen, [*parts]) and not store._publish(seen, [])
+    assert parts_of(store) == parts
