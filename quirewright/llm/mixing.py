@@ -6,9 +6,9 @@ source's weight in proportion to what its leaves hold, so that all leaves of a s
 together or not at all. A node that can't use its budget, even with all repeats, gives the rest to its
 siblings, and only what they can't take goes to its ancestors' siblings. Each leaf then takes whole
 seeded epochs and a prefix of one more. A prefix is found by sums over hash ranges, so the documents
-of a leaf never meet in one task, however large it is. As documents are whole, leaves miss their
-budgets by parts of one; the largest leaf of each source makes up for the others, so that a source
-misses its budget by half a document at most.
+of a leaf never meet in one task, however large it is. As documents are whole, a leaf ends before or
+after the document that crosses its budget; which is chosen from leaf to leaf so that what a source
+has missed so far stays within half a document.
 """
 
 from __future__ import annotations
@@ -115,33 +115,36 @@ def mix(docs: DataFrame, targets: DataFrame, params: MixParams = MixParams()) ->
     if not budgets:
         return spark.createDataFrame([], schema)
 
-    # What the smaller leaves of a source miss is made up for by its largest one.
-    largest = {}
+    plan = {}
     for key, got in budgets.items():
-        at = (key[0], key[3])
-        if at not in largest or got > budgets[largest[at]]:
-            largest[at] = key
-    small = {k: got for k, got in budgets.items() if largest[k[0], k[3]] != k}
-    taken = _take(counted, small, supply, share_of, params).groupBy("mix_name", "source").agg(F.sum("tokens").alias("tokens")).collect() if small else []
-    reached = {(r["mix_name"], r["source"]): r["tokens"] for r in taken}
-    for at, key in largest.items():
-        meant = sum(got for k, got in small.items() if (k[0], k[3]) == at)
-        budgets[key] = max(0.0, budgets[key] + meant - reached.get(at, 0))
-    return _take(counted, budgets, supply, share_of, params)
-
-
-def _take(counted: DataFrame, budgets: dict, supply: dict, share_of: dict, params: MixParams) -> DataFrame:
-    """The documents of each leaf (mix_name, domain, lang, source) up to its budget."""
-    plan = []
-    for (name, *path), got in budgets.items():
-        t, n = supply[tuple(path)]
+        t, n = supply[key[1:]]
         epochs = int((got + 1e-6) // t)
-        plan.append((name, *path, epochs, int(round(got - epochs * t)), max(1, n // params.rows_per_range), share_of[name, path[2]]))
-    table = counted.sparkSession.createDataFrame(plan, "mix_name string, domain string, lang string, source string, epochs int, rest long, ranges long, target_share double")
-    matched = counted.join(F.broadcast(table), _LEAF)  # a row per mix and leaf
-    cols = ["mix_name", "doc_id", "epoch", "domain", "source", "lang", "tokens", "target_share"]
-    full = matched.where(F.col("epochs") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1))).select(*cols)
+        plan[key] = (epochs, int(round(got - epochs * t)), max(1, n // params.rows_per_range), share_of[key[0], key[3]])
+    crossing = _matched(counted, plan).transform(_placed, params).where("total > rest").groupBy("mix_name", *_LEAF).agg(F.min(F.struct("total", "tokens")).alias("at")).collect()  # a row per mix and leaf at most
+    at = {(r["mix_name"], *(r[c] for c in _LEAF)): (r["at"]["total"], r["at"]["tokens"]) for r in crossing}
+    missed: dict[tuple, float] = {}
+    for key in sorted(plan):
+        if key in at:
+            of, (total, tokens), (epochs, rest, ranges, share) = (key[0], key[3]), at[key], plan[key]
+            so_far = missed.get(of, 0.0)
+            end = min((total - tokens, total), key=lambda e: abs(so_far + e - rest))
+            missed[of] = so_far + end - rest
+            plan[key] = (epochs, end, ranges, share)
+    return _take(_matched(counted, plan), params)
 
+
+_TAKEN = ["mix_name", "doc_id", "epoch", "domain", "source", "lang", "tokens", "target_share"]
+
+
+def _matched(counted: DataFrame, plan: dict) -> DataFrame:
+    """The documents with what their leaf gives to each mix: whole epochs and the tokens of one more."""
+    rows = [(*key, *v) for key, v in plan.items()]
+    table = counted.sparkSession.createDataFrame(rows, "mix_name string, domain string, lang string, source string, epochs int, rest long, ranges long, target_share double")
+    return counted.join(F.broadcast(table), _LEAF)  # a row per mix and leaf
+
+
+def _placed(matched: DataFrame, params: MixParams) -> DataFrame:
+    """The documents of the hash ranges up to the one in which a leaf's budget ends, with ``total``, the leaf's tokens up to and with each of them; 0 where the whole range belongs to it."""
     key = ["mix_name", *_LEAF]
     order = F.xxhash64(F.lit(params.seed), "mix_name", "epochs", "doc_id")
     part = matched.where(F.col("rest") > 0).withColumn("h", order).withColumn("range", F.pmod("h", F.col("ranges")))
@@ -149,12 +152,16 @@ def _take(counted: DataFrame, budgets: dict, supply: dict, share_of: dict, param
     before = F.coalesce(F.sum("held").over(Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.withColumn("before", before).where(F.col("before") < F.col("rest")).select(*key, "range", "before", (F.col("before") + F.col("held") > F.col("rest")).alias("edge"))
     placed = part.join(sums, [*key, "range"])
-    inner = placed.where(~F.col("edge"))
     running = F.sum("tokens").over(Window.partitionBy(*key, "range").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    # A document belongs to the prefix if its middle does, so leaves miss their budget to either side alike.
-    edge = placed.where("edge").withColumn("middle", F.col("before") + running - F.col("tokens") / 2).where(F.col("middle") <= F.col("rest")).drop("middle")
-    last = inner.unionByName(edge).withColumn("epoch", F.col("epochs")).select(*cols)
-    return full.unionByName(last)
+    edge = placed.where("edge").withColumn("total", F.col("before") + running)
+    return placed.where(~F.col("edge")).withColumn("total", F.lit(0).cast("long")).unionByName(edge)
+
+
+def _take(matched: DataFrame, params: MixParams) -> DataFrame:
+    """The chosen documents."""
+    full = matched.where(F.col("epochs") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1))).select(*_TAKEN)
+    last = _placed(matched, params).where(F.col("total") <= F.col("rest")).withColumn("epoch", F.col("epochs"))
+    return full.unionByName(last.select(*_TAKEN))
 
 
 def shares(chosen: DataFrame) -> DataFrame:

@@ -65,9 +65,10 @@ def _scanned() -> Column:
     return F.coalesce(F.startswith("path", F.lit("/library/scans/")), F.lit(False))
 
 
-def _units(spark: SparkSession, folder: str, scanned: bool = False) -> DataFrame:
-    """Sections of the papers that are or aren't scanned, or their whole text where they have none."""
-    papers = table(spark, folder, "extracted_papers").where(_scanned() == scanned)
+def _units(spark: SparkSession, folder: str, scanned: bool | None = False) -> DataFrame:
+    """Sections of the papers that are or aren't scanned (None: of all), or their whole text where they have none."""
+    papers = table(spark, folder, "extracted_papers")
+    papers = papers if scanned is None else papers.where(_scanned() == scanned)
     whole = F.array(F.struct(F.lit(-1).alias("i"), F.col("text").alias("text")))
     split = F.transform("sections", lambda s, i: F.struct(i.alias("i"), s["content"].alias("text")))
     units = papers.select("paper_id", "title", F.explode(F.when(F.size("sections") > 0, split).otherwise(whole)).alias("u"))
@@ -94,7 +95,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_sentences(spark: SparkSession, folder: str) -> DataFrame:
-    return sentences.sentences(_units(spark, folder), with_text=True)
+    """The sentences of every paper, scanned ones included."""
+    return sentences.sentences(_units(spark, folder, scanned=None), with_text=True)
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:

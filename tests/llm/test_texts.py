@@ -144,6 +144,24 @@ def test_blocks_do_not_matter(symbols, block):
     assert sentences.run_transducer(s, block).tolist() == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab. A\"'“”„()?!…\n中。ก1Dr", max_size=200), st.integers(1, 30))
+def test_cuts_of_long_documents_do_not_matter(text, size):
+    at = sentences.cuts(text, size)
+    state, out = 8, []
+    for lo, hi in zip(at, at[1:]):
+        symbols, places = (np.array(x) for x in sentences.chunk_events(text, lo, hi))
+        out += sentences.ends_from(state, symbols, places)
+        state = int(sentences.chunk_function(symbols)[state])
+    assert sorted(set(out)) == sentences.boundaries([text])[0]
+
+
+def test_long_documents_are_spread(spark, folder):
+    papers = spark.read.parquet(f"{folder}/extracted_papers.parquet").select("paper_id", F.lit(-1).alias("section_idx"), "text")
+    short, spread = (sentences.sentences(papers.union(papers.limit(3)), with_text=True, chunk=n) for n in (10**9, 700))
+    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, spread.collect()))
+
+
 def test_sentence_rows(spark):
     df = spark.createDataFrame([(1, 0, "One. Two.", "x"), (1, 1, None, "x"), (1, 2, "", "x"), (2, -1, "Long one. " * 20_000, "x")], "paper_id long, section_idx int, text string, sentence string")
     got = sentences.sentences(df, with_text=True)
