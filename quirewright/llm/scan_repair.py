@@ -374,9 +374,10 @@ def _ask(tokens: DataFrame, known: DataFrame, params: RepairParams) -> DataFrame
     postings = _keyed(vocabulary.select("best"), _posted_keys).withColumnRenamed("word", "best")
     asked = _keyed(tokens.select(F.lower("word")).distinct(), lambda low: _asking_keys(low, longest)).withColumnRenamed("word", "low")
     most = F.when(F.length("low") <= 4, 1).when(F.length("low") < 9, 2).otherwise(3)
-    near = asked.join(postings, "key").where(F.startswith("key", F.lit("=")) | ((F.abs(F.length("best") - F.length("low")) <= most) & F.levenshtein("low", "best", 3).between(0, most)))
-    near = near.select("low", "best").distinct().join(vocabulary, "best")
-    return tokens.withColumn("low", F.lower("word")).join(near, "low", "left").select("word", "train", "best", "df")
+    # The vocabulary grows with the papers: its joins are merged at every size.
+    near = asked.join(postings.hint("merge"), "key").where(F.startswith("key", F.lit("=")) | ((F.abs(F.length("best") - F.length("low")) <= most) & F.levenshtein("low", "best", 3).between(0, most)))
+    near = near.select("low", "best").distinct().join(vocabulary.hint("merge"), "best")
+    return tokens.withColumn("low", F.lower("word")).join(near.hint("merge"), "low", "left").select("word", "train", "best", "df")
 
 
 def _corrections(tokens: DataFrame, known: DataFrame, truth: dict[str, str], params: RepairParams) -> tuple[DataFrame, float]:
@@ -643,7 +644,7 @@ def repair(units: DataFrame, papers: DataFrame, params: RepairParams = RepairPar
 
     # A training text's own paper doesn't count among those that know its words.
     def standing(words: DataFrame) -> DataFrame:
-        status = words.groupBy("word", "train").agg(F.count("*").alias("n")).withColumn("low", F.lower("word")).join(known.withColumnRenamed("word", "low"), "low", "left")
+        status = words.groupBy("word", "train").agg(F.count("*").alias("n")).withColumn("low", F.lower("word")).join(known.withColumnRenamed("word", "low").hint("merge"), "low", "left")
         return status.select("word", "train", (F.coalesce("df", F.lit(0)) - F.col("train").cast("int")).cast("int").alias("df"), "n")
 
     shapes = spelled.where(F.col("role") == "s").groupBy("word", "train").agg(F.count_distinct("paper_id").cast("int").alias("df"), F.count("*").alias("n")).withColumn("shape", F.lit(True))
@@ -681,7 +682,7 @@ def repair(units: DataFrame, papers: DataFrame, params: RepairParams = RepairPar
     status = materialise(standing(pieces), "word-status")  # with n, the rows of each word
     unknown = status.where((F.col("df") <= 0) & ~F.contains("word", F.lit("-")) & (F.length("word") >= 3)).select("word", "train")
     fixes, cut = _corrections(unknown, known, truth, params)
-    scored = spread_join(pieces, status.drop("n").join(fixes, ["word", "train"], "left"), ["word", "train"], sizes=status)
+    scored = spread_join(pieces, status.drop("n").join(fixes.hint("merge"), ["word", "train"], "left"), ["word", "train"], sizes=status)
     entries = scored.groupBy("paper_id", "section_idx").agg(F.collect_list(F.struct("line", "role", "word", "df", "best", "score")).alias("entries"))
     judged = materialise(parted.drop("words").join(entries, ["paper_id", "section_idx"], "left"), "scored-units")
 
