@@ -58,6 +58,7 @@ _SHORT = regex.compile(r"(?:^|\s)[(«„“\"']*(\p{L}[\p{L}.-]{0,8})\.(?=\s+\S)
 #: What may be put after an artificial cut.
 _ARTIFICIAL = ["…", "...", " ...", " […]", " [...]", " [truncated]", " [cut]", " (more)", " [continued]", "--", "�", " (…)", " <truncated>"]
 FEATURES = 26
+_UNMARKED = 14  # the feature that tells such a script
 
 
 def _unbalanced(text: str) -> bool:
@@ -172,6 +173,20 @@ def strict_prefixes(values: DataFrame, column: str) -> DataFrame:
     return inner.unionByName(met.where(F.expr("startswith(first, last)") & (F.col("first") != F.col("last"))).select(F.col("last").alias("v")))
 
 
+def _mean(models: list[Boosted], x: np.ndarray) -> np.ndarray:
+    return np.mean([m.predict(x) for m in models], axis=0)
+
+
+def _crossfit(x: np.ndarray, y: np.ndarray, trees: int, depth: int, folds: int = 3) -> tuple[list[Boosted], np.ndarray]:
+    """One model per fold, fitted on the others, and for each row the score by the model that hasn't seen it."""
+    fold = np.arange(len(y)) % folds
+    models = [Boosted(trees=trees, depth=depth).fit(x[fold != f], y[fold != f]) for f in range(folds)]
+    p = np.zeros(len(y))
+    for f, m in enumerate(models):
+        p[fold == f] = m.predict(x[fold == f])
+    return models, p
+
+
 def ends(records: DataFrame, copies: DataFrame, lines: DataFrame | None = None, params: EndParams = EndParams()) -> DataFrame:
     """(kind, id, truncated, longer_copy, marked, score) of records (kind, id, text).
 
@@ -223,23 +238,25 @@ def ends(records: DataFrame, copies: DataFrame, lines: DataFrame | None = None,
     got.sort(key=lambda r: (r["trained"], r["kind"], r["id"]))
     x, y = np.array([r["x"] for r in got]), np.array([float(r["trained"] == 2) for r in got])
     if y.sum() < 20:  # nothing to fit trees on: the prefix join decides alone
-        model, least = Boosted(trees=0), 2.0
+        model, least = [Boosted(trees=0)], 2.0
     else:
         # Trees tell which of the uncut records look cut; the next ones are fitted without these.
         clear = np.ones(len(y), bool)
-        for least in params.least_clear:
-            clear = (y > 0) | (Boosted(trees=40, depth=3).fit(x[clear], y[clear]).predict(x) < least)
-        x, y = x[clear], y[clear]
-        held = np.arange(len(y)) % 3 == 0
-        model = Boosted(trees=60, depth=4).fit(x[~held], y[~held])
-        least = calibrate(model.predict(x[held]), y[held], 0.0)
+        for most in params.least_clear:
+            _, likely = _crossfit(x[clear], y[clear], 40, 3)
+            seen = np.zeros(len(y))
+            seen[clear] = likely
+            seen[~clear] = 1.0  # what was left out stays out
+            clear = (y > 0) | (seen < most) | (x[:, _UNMARKED] > 0)  # in a script without full stops whole texts look cut
+        model, p = _crossfit(x[clear], y[clear], 50, 4)
+        least = calibrate(p, y[clear], 0.0)
     shared = spark.sparkContext.broadcast((model, least))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, cutoff = shared.value
         for b in batches:
             if b.num_rows:
-                p = trees.predict(b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+                p = _mean(trees, b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
                 longer = b.column("longer_copy").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("id"), pa.array((p >= cutoff) | longer & (p >= params.least_longer)), b.column("longer_copy"), b.column("marked"), pa.array(p)], names=["kind", "id", "truncated", "longer_copy", "marked", "score"])
 
