@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirewright.llm import leakage, mixing, near_duplicates, neighbours, personal, scan_repair, sentences, splitting, truncation
+from quirewright.llm.tokens import with_tokens
 from quirewright.plans.storage import table
 
 
@@ -154,7 +155,8 @@ def p8_shares_exact(spark: SparkSession, folder: str) -> DataFrame:
 def p8_reached(spark: SparkSession, folder: str) -> DataFrame:
     """Whether each source of these mixes has its target share of all tokens, but for what half a document of each source makes."""
     chosen = _mix(spark, folder, mixing.MixParams(budget=None))
-    by = chosen.groupBy("mix_name", "source", "target_share").agg(F.sum("tokens").alias("tokens"), (F.max("tokens") / 2).alias("half"))
+    longest = with_tokens(table(spark, folder, "documents").select("source", "text"), ["source"]).groupBy("source").agg((F.max("tokens") / 2).alias("half"))
+    by = chosen.groupBy("mix_name", "source", "target_share").agg(F.sum("tokens").alias("tokens")).join(longest, "source")
     of_mix = Window.partitionBy("mix_name")  # one row per source
     share = F.col("target_share") / F.sum("target_share").over(of_mix)
     missed = F.abs(F.col("tokens") - share * F.sum("tokens").over(of_mix))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: how the vocabulary's tokenizer cuts text into words before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Where the vocabulary file is looked for unless a path is given.
+VOCABULARY = os.environ.get("QUIREWRIGHT_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 def with_tokens(rows: DataFrame, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
@@ -33,8 +35,3 @@ def with_tokens(rows: DataFrame, keep: list[str], vocabulary: str = VOCABULARY)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int64())], names=[*keep, "tokens"])
 
     return rows.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
-
-
-def token_total(counted: DataFrame) -> int:
-    """All tokens of rows that with_tokens has counted."""
-    return counted.agg(F.sum("tokens")).head()[0] or 0
