@@ -6,7 +6,6 @@ testable without a model server, and name themselves so in their results.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 import urllib.request
@@ -177,8 +176,3 @@ def complete(messages: Column, completer: Completer) -> Column:
             yield pd.DataFrame(rows, columns=RESPONSE.names)
 
     return run(messages)
-
-
-def fingerprint(path: str) -> str:
-    """A short hash of a path, for ids that must not clash."""
-    return hashlib.sha256(path.encode()).hexdigest()[:12]
