@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quirewright.config import Settings
 from quirewright.operators import analyses
-from quirewright.operators.models import Completer, Embedder, HeuristicCompleter
+from quirewright.operators.models import Completer, Embedder, HeuristicCompleter, Streamed
 from quirewright.operators.store import VectorStore
 from quirewright.plans.ship import ship
 from quirewright.sources import arxiv, papers
@@ -81,11 +79,10 @@ class Library:
     def generate(self, prompt: str, system: str | None = None) -> dict:
         return self.chat([*([{"role": "system", "content": system}] if system is not None else []), {"role": "user", "content": prompt}])
 
-    def stream(self, prompt: str, system: str | None = None) -> Iterator[str]:
-        """The reply in pieces; whole at once where the completer can't stream."""
+    def stream(self, prompt: str, system: str | None = None) -> Streamed:
+        """The reply in pieces, with its counts at the end; whole at once where the completer can't stream."""
         messages = [*([{"role": "system", "content": system}] if system is not None else []), {"role": "user", "content": prompt}]
-        completer = self.completer or HeuristicCompleter()
-        yield from completer.stream(messages) if hasattr(completer, "stream") else [completer.complete(messages)["content"]]
+        return Streamed(self.completer or HeuristicCompleter(), messages)
 
     def ask(self, question: str, n: int = 5) -> DataFrame:
         return analyses.ask(self.search(question, n), "rag_query", {"question": question}, completer=self.completer)
@@ -98,3 +95,42 @@ class Library:
 
     def critique_claims(self, claim: str, n: int = 5) -> DataFrame:
         return analyses.ask(self.search(claim, n), "critique_claims", {}, completer=self.completer)
+
+
+_DEFAULT: dict[str, Library] = {}
+
+
+def default(spark: SparkSession | None = None) -> Library:
+    """The library of the settings' store, one per application."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("there is no active session")
+    app = spark.sparkContext.applicationId
+    if app not in _DEFAULT:
+        _DEFAULT.clear()
+        _DEFAULT[app] = Library(spark)
+    return _DEFAULT[app]
+
+
+def add_folder(folder: str) -> tuple[int, DataFrame]:
+    return default().add_folder(folder)
+
+
+def search(query: str, n: int = 5, paper: str | None = None, section: str | None = None) -> DataFrame:
+    return default().search(query, n, paper, section)
+
+
+def search_similar(text: str, n: int = 5, source_path: str | None = None) -> DataFrame:
+    return default().search_similar(text, n, source_path)
+
+
+def list_papers() -> DataFrame:
+    return default().list_papers()
+
+
+def analyse(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
+    return default().analyse(rows, names)
+
+
+def rigor(rows: DataFrame) -> DataFrame:
+    return default().rigor(rows)

@@ -10,7 +10,7 @@ import json
 import re
 import urllib.request
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -86,10 +86,11 @@ class HeuristicCompleter:
             content = " ".join(picked)
         return {"content": content, "prompt_tokens": len(prompt.split()), "completion_tokens": len(content.split())}
 
-    def stream(self, messages: list[dict]) -> Iterator[str]:
-        """The reply in pieces, on the driver."""
-        for piece in re.findall(r"\S+\s*", self.complete(messages)["content"]):
-            yield piece
+    def stream(self, messages: list[dict]) -> Generator[str, None, dict | None]:
+        """The reply in pieces and its counts, on the driver."""
+        reply = self.complete(messages)
+        yield from re.findall(r"\S+\s*", reply["content"])
+        return {k: reply[k] for k in ("prompt_tokens", "completion_tokens")}
 
 
 @dataclass(frozen=True)
@@ -116,8 +117,8 @@ class HttpModel:
         r = self._post("/api/chat", {"model": self.name, "messages": messages, "stream": False, "options": options})
         return {"content": r["message"]["content"], "prompt_tokens": r.get("prompt_eval_count", 0), "completion_tokens": r.get("eval_count", 0)}
 
-    def stream(self, messages: list[dict]) -> Iterator[str]:
-        """The reply in pieces, as the server sends them; on the driver only."""
+    def stream(self, messages: list[dict]) -> Generator[str, None, dict | None]:
+        """The reply in pieces, as the server sends them, and the counts that come with the last; on the driver only."""
         body = {"model": self.name, "messages": messages, "stream": True, "options": {"temperature": self.temperature, "num_ctx": self.context_length}}
         request = urllib.request.Request(self.host.rstrip("/") + "/api/chat", json.dumps(body).encode(), {"Content-Type": "application/json"})
         with urllib.request.urlopen(request, timeout=self.timeout) as reply:
@@ -126,7 +127,7 @@ class HttpModel:
                 if text := piece.get("message", {}).get("content"):
                     yield text
                 if piece.get("done"):
-                    return
+                    return {"prompt_tokens": piece.get("prompt_eval_count", 0), "completion_tokens": piece.get("eval_count", 0)}
 
     def info(self) -> dict | None:
         """What the server knows of the model; None on any error."""
@@ -144,6 +145,39 @@ class HttpModel:
             return False
 
 
+class Streamed:
+    """A reply in pieces, to be iterated once; its content and counts are there when it has ended."""
+
+    def __init__(self, completer: Completer, messages: list[dict]):
+        self.model, self.content, self.prompt_tokens, self.completion_tokens = completer.name, "", 0, 0
+        self._pieces = completer.stream(messages) if hasattr(completer, "stream") else self._whole(completer, messages)
+
+    @staticmethod
+    def _whole(completer: Completer, messages: list[dict]) -> Generator[str, None, dict]:
+        reply = completer.complete(messages)
+        yield reply["content"]
+        return reply
+
+    def _run(self) -> Generator[str, None, None]:
+        pieces = iter(self._pieces)
+        while True:
+            try:
+                piece = next(pieces)
+            except StopIteration as end:
+                counts = end.value or {}
+                self.prompt_tokens, self.completion_tokens = counts.get("prompt_tokens") or 0, counts.get("completion_tokens") or 0
+                return
+            self.content += piece
+            yield piece
+
+    def __iter__(self) -> Iterator[str]:
+        return self._run()
+
+    @property
+    def total_tokens(self) -> int:
+        return self.prompt_tokens + self.completion_tokens
+
+
 def embed(text: Column, embedder: Embedder, batch: int = 32) -> Column:
     """The embedder's vectors as ARRAY<FLOAT>, asked in batches; a null text has a null vector."""
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import http.client
 import os
 import urllib.error
 import urllib.request
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,12 +15,44 @@ from pyspark.sql import functions as F
 
 from quirewright.functions.text import arxiv_file, arxiv_id, arxiv_url
 
-Fetch = Callable[[str], bytes]
+#: The content of a URL, whole or in pieces.
+Fetch = Callable[[str], bytes | Iterable[bytes]]
 
 
-def http_get(url: str, timeout: float = 30.0) -> bytes:
-    with urllib.request.urlopen(url, timeout=timeout) as reply:
-        return reply.read()
+class _Patient:
+    """Gives up connecting sooner than reading."""
+
+    connect_timeout, read_timeout = 10.0, 30.0
+
+    def connect(self) -> None:
+        self.timeout = self.connect_timeout
+        super().connect()
+        self.sock.settimeout(self.read_timeout)
+
+
+class _Http(_Patient, http.client.HTTPConnection):
+    pass
+
+
+class _Https(_Patient, http.client.HTTPSConnection):
+    pass
+
+
+class _HttpHandler(urllib.request.HTTPHandler):
+    def http_open(self, request):
+        return self.do_open(_Http, request)
+
+
+class _HttpsHandler(urllib.request.HTTPSHandler):
+    def https_open(self, request):
+        return self.do_open(_Https, request)
+
+
+def http_get(url: str, piece: int = 8_192) -> Iterator[bytes]:
+    """The content in pieces; 10 s to connect, 30 s for each read."""
+    with urllib.request.build_opener(_HttpHandler, _HttpsHandler).open(url) as reply:
+        while part := reply.read(piece):
+            yield part
 
 
 def plan(inputs: DataFrame, column: str, landed: DataFrame | None = None) -> DataFrame:
@@ -35,14 +68,15 @@ def plan(inputs: DataFrame, column: str, landed: DataFrame | None = None) -> Dat
     return rows.select("input", "arxiv_id", "url", "file", status.alias("status"))
 
 
-def save(content: bytes, folder: str, file: str) -> str:
+def save(content: bytes | Iterable[bytes], folder: str, file: str) -> str:
     """Write beside the target and rename, so that no partial file can pass for a whole one."""
     os.makedirs(folder, exist_ok=True)
     target = os.path.join(folder, file)
     fresh = f"{target}.{uuid.uuid4().hex}.part"
     try:
         with open(fresh, "wb") as f:
-            f.write(content)
+            for part in [content] if isinstance(content, bytes) else content:
+                f.write(part)
         os.replace(fresh, target)
     finally:
         if os.path.exists(fresh):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quirewright.functions.sections import detect_sections, extract_abstract
 from quirewright.functions.text import clean_text, join_pages, title_or_stem
+from quirewright.sources.pdf import decode_pdf
 
 Decoder = Callable[[bytes], tuple[list[str], dict[str, str]]]
 _DECODED = "struct<pages:array<string>,metadata:map<string,string>,error:string>"
@@ -21,13 +22,13 @@ def plain_decoder(content: bytes) -> tuple[list[str], dict[str, str]]:
 
 
 def pdf_decoder(content: bytes) -> tuple[list[str], dict[str, str]]:
-    """Pages and metadata of a PDF; needs the optional library pypdf."""
+    """Pages and metadata of a PDF, by pypdf where it is installed, else by the plain decoder of this package."""
     import io
 
     try:
         from pypdf import PdfReader
-    except ImportError as e:
-        raise RuntimeError("no PDF decoder is installed; pass one") from e
+    except ImportError:
+        return decode_pdf(content)
     reader = PdfReader(io.BytesIO(content))
     return [p.extract_text() or "" for p in reader.pages], {str(k).lstrip("/").lower(): str(v) for k, v in (reader.metadata or {}).items()}
 

@@ -238,3 +238,85 @@ def test_a_list_is_never_overwritten(store, spark):
     seen, parts = store._state()
     assert store._publish(seen, [*parts]) and not store._publish(seen, [])
     assert parts_of(store) == parts
+
+
+def pdf_file(pages: list[str], packed: bool, title: str = "On ponds") -> bytes:
+    """A small PDF file: one font, one content stream per page; packed: compressed."""
+    import zlib
+
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>", 4: b"<< /Title (" + title.encode("latin-1") + b") >>"}
+    kids = []
+    for i, page in enumerate(pages):
+        lines = b"".join(b"0 -14 Td (" + x.encode("latin-1").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") + b") Tj\n" for x in page.split("\n"))
+        data = b"BT /F1 12 Tf 72 720 Td\n" + lines + b"ET"
+        data = zlib.compress(data) if packed else data
+        n = 5 + 2 * i
+        objects[n] = b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (n + 1)
+        objects[n + 1] = b"<< /Length %d %s>>\nstream\n" % (len(data), b"/Filter /FlateDecode " if packed else b"") + data + b"\nendstream"
+        kids.append(b"%d 0 R" % n)
+    objects[2] = b"<< /Type /Pages /Count %d /Kids [ %s ] >>" % (len(pages), b" ".join(kids))
+    body = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, o) for n, o in sorted(objects.items()))
+    return body + b"trailer << /Root 1 0 R /Info 4 0 R /Size 99 >>\n%%EOF"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_pdf_files(spark, tmp_path, packed):
+    from quirewright.sources.pdf import decode_pdf
+
+    pages = ["On ponds\nAbstract\nWe count (all) herons\\ducks.", "Caf\xe9 notes\nend."]
+    assert decode_pdf(pdf_file(pages, packed)) == (pages, {"title": "On ponds"})
+    (tmp_path / "a.pdf").write_bytes(pdf_file([TEXT.replace("\n\n", "\n"), "Page two."], packed))
+    (tmp_path / "b.pdf").write_bytes(b"no PDF at all")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-1.4\n1 0 obj\n<< /Length 3 /Filter /FlateDecode >>\nstream\nxyz\nendstream\nendobj")
+    found, errors = papers.read_folder(spark, str(tmp_path))
+    got = found.collect()
+    assert len(got) == 1 and got[0]["title"] == "On ponds" and got[0]["page_count"] == 2
+    assert {"Methods", "Results"} <= {x["name"] for x in got[0]["sections"]} and errors.count() == 2
+
+
+def test_pdf_unicode_tables():
+    from quirewright.sources.pdf import _text, _unicode_table
+
+    table = _unicode_table(b"1 beginbfchar <0003> <0416> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange")
+    assert _text(b"BT /F2 9 Tf [<0003> -250 <00100011>] TJ 0 -11 Td <0012> Tj ET", {b"F2": table}) == "\u0416 ab\nc"
+
+
+def test_streamed_counts(spark, tmp_path):
+    library = Library(spark, str(tmp_path / "s"))
+    reply = library.stream("One. Two.", "sys")
+    assert "".join(reply) == reply.content and reply.completion_tokens == len(reply.content.split()) and reply.total_tokens > reply.completion_tokens
+
+
+def test_downloads_come_in_pieces(tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b"x" * 20_000)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/a"
+        assert max(map(len, arxiv.http_get(url))) <= 8_192
+        path = arxiv.save(arxiv.http_get(url), str(tmp_path), "a.pdf")
+        assert open(path, "rb").read() == b"x" * 20_000 and [p.name for p in tmp_path.iterdir()] == ["a.pdf"]
+    finally:
+        server.shutdown()
+
+
+def test_default_library(spark, tmp_path, monkeypatch):
+    from quirewright import library
+
+    library._DEFAULT.clear()
+    made = Library(spark, str(tmp_path / "s"))
+    library._DEFAULT[spark.sparkContext.applicationId] = made
+    made.add_papers(rows(spark))
+    assert library.default(spark) is made and library.list_papers().count() == 2 and library.search("herons fly", 1).count() == 1
+    library._DEFAULT.clear()
