@@ -77,7 +77,8 @@ def _protected_dots(word_boundary: bool) -> str:
         for i, c in enumerate(a):
             if c == ".":
                 places.setdefault(a[i + 1 :].replace(".", r"\."), []).append(start + a[:i].replace(".", r"\."))
-    return ("(?U)" if word_boundary else "") + "|".join(rf"(?<={'|'.join(before)})\." + (f"(?={after})" if after else "") for after, before in places.items())
+    # The stop comes first, so that nothing is tried at other letters.
+    return ("(?U)" if word_boundary else "") + r"\.(?:" + "|".join(rf"(?<=(?:{'|'.join(before)})\.)" + (f"(?={after})" if after else "") for after, before in places.items()) + ")"
 
 
 def sentences(c: Column, word_boundary: bool = False) -> Column:
